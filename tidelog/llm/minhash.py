@@ -8,7 +8,8 @@
    once the posterior probability that its similarity reaches the threshold falls under the miss probability.
    Survivors are decided on the full sets.
 4. The links give components. Buckets that still hold classes of several components are compared in full,
-   between components, in blocks; what is linked there is added and the components are taken again.
+   between components, in blocks, by the same looks and the full sets; each block gives no more links than join
+   its components. With them the components are taken again.
 """
 
 from __future__ import annotations
@@ -86,14 +87,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weights = np.cumprod(np.full(ROWS, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
-    salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype="<u2").reshape(-1, BANDS, ROWS)
-        keys = (sig.astype(np.uint64) + np.uint64(1)) * weights
-        keys = keys.sum(axis=2, dtype=np.uint64) + salt
-        keys ^= keys >> np.uint64(31)
-        keys *= np.uint64(0xBF58476D1CE4E5B9)
+        keys = _band_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype="<u2"))
         yield pa.RecordBatch.from_arrays([long_array(keys.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], names=["bucket", "id"])
 
 
@@ -140,9 +135,16 @@ def _pruned(threshold: float):
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress the texts that have their class's set; another text under the same id is left out."""
     pack = zstandard.ZstdCompressor(3)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array([pack.compress(x.as_buffer()) for x in batch.column("text")], pa.binary())], names=["id", "digest", "packed"])
+        for first, last, data, offsets in blocks(batch.column("text")):
+            wanted = batch.column("digest")[first:last].to_pylist()
+            keep = [k for k, x in enumerate(shingle_sets(data, offsets)) if len(x) and set_digest(x) == wanted[k]]
+            whole = data.tobytes()
+            packed = [pack.compress(whole[offsets[k] : offsets[k + 1]]) for k in keep]
+            at = pa.array([first + k for k in keep], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("digest").take(at), pa.array(packed, pa.binary())], names=["id", "digest", "packed"])
 
 
 def _exact(percent: int):
@@ -150,21 +152,17 @@ def _exact(percent: int):
         unpack = zstandard.ZstdDecompressor()
         last: dict[str, tuple[bytes, np.ndarray]] = {}
 
-        def shingles(side: str, digest: bytes, packed: bytes) -> np.ndarray | None:
+        def shingles(side: str, digest: bytes, packed: bytes) -> np.ndarray:
             if side not in last or last[side][0] != digest:  # a side's pairs often follow one another
                 text = np.frombuffer(unpack.decompress(packed), dtype=np.uint8)
-                got = shingle_sets(text, np.array([0, len(text)]))[0]
-                last[side] = (digest, got if set_digest(got) == digest else None)
+                last[side] = (digest, shingle_sets(text, np.array([0, len(text)]))[0])
             return last[side][1]
 
         for batch in batches:
             keep = []
             for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("digest_u", "packed_u", "digest_v", "packed_v")), strict=True)):
                 a, b = shingles("u", *row[:2]), shingles("v", *row[2:])
-                if a is None or b is None:  # the id stands on another text too; that text's row decides
-                    continue
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * same >= percent * (len(a) + len(b) - same):
+                if _linked(a, b, percent):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(keep, pa.int64())), batch.column("v").take(pa.array(keep, pa.int64()))], names=["u", "v"])
 
@@ -176,42 +174,92 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     named = lambda side: [F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("sig",))]
     pruned = pairs.join(classes.select(*named("u")), "u").join(classes.select(*named("v")), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_pruned(percent / 100), "u long, v long")
     pruned = stored(pruned, "pairs")
-    needed = pruned.select(F.col("u").alias("id")).union(pruned.select(F.col("v").alias("id"))).distinct().join(classes.select("id", "digest"), "id")
-    packed = texts.join(needed, texts.doc_id == needed.id).select("id", "digest", "text").mapInArrow(_compressed, "id long, digest binary, packed binary")
-    packed = stored(packed, "texts")
+    packed = _texts_of(pruned.select(F.col("u").alias("id")).union(pruned.select(F.col("v").alias("id"))), classes, texts)
     side = lambda s: packed.select(F.col("id").alias(s), F.col("digest").alias(f"digest_{s}"), F.col("packed").alias(f"packed_{s}"))
     return stored(pruned.join(side("u"), "u").join(side("v"), "v").mapInArrow(_exact(percent), "u long, v long").distinct(), "links")
 
 
-def _crossing(threshold: float):
-    """Pairs of different components between two blocks of a bucket."""
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    """Bucket keys [signature, band]."""
+    weights = np.cumprod(np.full(ROWS, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
+    salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    keys = ((sig.reshape(-1, BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * weights).sum(axis=2, dtype=np.uint64) + salt
+    keys ^= keys >> np.uint64(31)
+    return keys * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _crossing(percent: int):
+    """Links between different components in two blocks of a bucket, no more than join them.
+
+    A pair that shares several buckets is looked at in the first of them, and one whose components have met in
+    this group by then is left out.
+    """
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        left, right = table.filter(pa.compute.equal(table["side"], 0)), table.filter(pa.compute.equal(table["side"], 1))
-        if not right.num_rows:  # a block against itself
-            right = left
+        bucket, one_block = np.int64(key[0].as_py()).astype(np.uint64), key[1].as_py() == key[2].as_py()
+        side, ids, labels = (table[c].to_numpy() for c in ("side", "id", "label"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype="<u2").reshape(-1, VALUES)
+        bands, packed, sets = _band_keys(sig), table["packed"], {}
+        unpack, roots = zstandard.ZstdDecompressor(), {}
+
+        def root(x: int) -> int:
+            while roots.get(x, x) != x:
+                x = roots[x] = roots.get(roots[x], roots[x])
+            return x
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                text = np.frombuffer(unpack.decompress(packed[k].as_py()), dtype=np.uint8)
+                sets[k] = shingle_sets(text, np.array([0, len(text)]))[0]
+            return sets[k]
+
         u, v = [], []
-        (ids_a, lab_a, sig_a), (ids_b, lab_b, sig_b) = ((t["id"].to_numpy(), t["label"].to_numpy(), np.frombuffer(b"".join(t["sig"].to_pylist()), dtype="<u2").reshape(-1, VALUES)) for t in (left, right))
-        for k in range(len(ids_a)):
-            other = np.flatnonzero(lab_b != lab_a[k])
-            got = other[survivors(np.broadcast_to(sig_a[k], (len(other), VALUES)), sig_b[other], threshold)] if len(other) else other
-            u.append(np.maximum(ids_a[k], ids_b[got]))
-            v.append(np.minimum(ids_a[k], ids_b[got]))
-        return pa.table({"u": pa.array(np.concatenate([np.zeros(0, np.int64), *u]), pa.int64()), "v": pa.array(np.concatenate([np.zeros(0, np.int64), *v]), pa.int64())})
+        right = np.arange(len(ids)) if one_block else np.flatnonzero(side == 1)
+        for k in range(len(ids)) if one_block else np.flatnonzero(side == 0).tolist():
+            other = right[(labels[right] != labels[k]) & ((ids[right] > ids[k]) if one_block else True)]
+            if not len(other):
+                continue
+            other = other[survivors(np.broadcast_to(sig[k], (len(other), VALUES)), sig[other], percent / 100)]
+            same = bands[other] == bands[k]
+            for j in other[bands[k, same.argmax(axis=1)] == bucket].tolist():
+                mine, its = root(int(labels[k])), root(int(labels[j]))
+                if mine != its and _linked(shingles(k), shingles(j), percent):
+                    roots[mine] = its
+                    u.append(max(ids[k], ids[j]))
+                    v.append(min(ids[k], ids[j]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return compare
 
 
-def _across(bands: DataFrame, classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of classes of different components that share a bucket."""
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if percent * max(len(a), len(b)) > 100 * min(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two sorted runs: a merge
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * same >= percent * (len(both) - same)
+
+
+def _texts_of(needed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, digest, packed): the compressed texts of the classes named by ``needed.id``."""
+    wanted = needed.distinct().join(classes.select("id", "digest"), "id")
+    return stored(texts.join(wanted, texts.doc_id == wanted.id).select("id", "digest", "text").mapInArrow(_compressed, "id long, digest binary, packed binary"), "texts")
+
+
+def _across(bands: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of different components that share a bucket."""
     of = bands.join(labels, bands.id == labels.node, "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
     mixed = of.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high")
-    rows = of.join(mixed.select("bucket", "members"), "bucket").join(classes.select("id", "sig"), "id")
-    n = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
+    rows = stored(of.join(mixed.select("bucket", "members"), "bucket"), "mixed")
+    packed = _texts_of(rows.select("id"), classes, texts).groupBy("id", "digest").agg(F.first("packed").alias("packed"))
+    rows = rows.join(classes.select("id", "sig"), "id").join(packed.select("id", "packed"), "id")
+    n = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pairs = pairs.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "label", "sig")
-    return pairs.groupBy("bucket", "i", "j").applyInArrow(_crossing(threshold), "u long, v long").distinct()
+    pairs = pairs.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "label", "sig", "packed")
+    tasks = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(_crossing(percent), "u long, v long").distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,10 +280,9 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     stars = shared.filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
     links = _verified(stars, classes, docs, percent)
     labels = components(links)
-    more = stored(_across(shared.select("bucket", "id"), classes, labels, percent / 100), "across")
+    more = stored(_across(shared.select("bucket", "id"), classes, labels, docs, percent), "across")
     if not more.isEmpty():
-        links = links.union(_verified(more, classes, docs, percent))
-        labels = components(links)
+        labels = components(links.union(more))
     of_class = classes.join(labels, classes.id == labels.node, "left").select("digest", F.coalesce("label", "id").alias("component"))
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return (
