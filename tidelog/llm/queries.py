@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, minhash, sharding, toxicity, warc
+from tidelog.llm import bpe, decontaminate, langid, minhash, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents (page_id null) and all pages (doc_id null), with one model of the documents' languages."""
+    documents, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    rows = documents.select("doc_id", F.lit(None).cast("long").alias("page_id"), *langid.of_documents()).union(pages.select(F.lit(None).cast("long"), "page_id", *langid.of_pages()))
+    return langid.identify(rows, langid.fit(documents), ["doc_id", "page_id"])
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -42,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_chunk_reuse": op2_bpe_chunk_reuse,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
