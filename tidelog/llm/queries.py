@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, decontaminate, langid, licenses, minhash, sharding, toxicity, warc
+from tidelog.llm import bpe, curves, decontaminate, langid, licenses, minhash, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.search(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents (page_id null) and all pages (doc_id null), with one model of the documents' languages."""
     documents, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_chunk_reuse": op2_bpe_chunk_reuse,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
+    "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_sharding": op9_sharding,
