@@ -262,15 +262,8 @@ def _across(bands: DataFrame, classes: DataFrame, labels: DataFrame, texts: Data
     return pairs.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(_crossing(percent), "u long, v long").distinct()
 
 
-def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row.
-
-    Words are runs of non-white-space, A-Z lowered; a text of fewer than five words is one shingle. Null or
-    empty texts have no shingles and stand alone. Rows of equal sets share a component, repeated rows too.
-    Rows with a null id join no component: component_id is null and kept is true. Where one id stands on several
-    texts, each text keeps its own component. An empty table gives no rows.
-    """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and (digest, component) of all classes."""
     sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sig binary"), "sketches")
     known = sketches.filter("doc_id is not null and digest is not null")
     classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
@@ -283,7 +276,19 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     more = stored(_across(shared.select("bucket", "id"), classes, labels, docs, percent), "across")
     if not more.isEmpty():
         labels = components(links.union(more))
-    of_class = classes.join(labels, classes.id == labels.node, "left").select("digest", F.coalesce("label", "id").alias("component"))
+    return sketches, classes.join(labels, classes.id == labels.node, "left").select("digest", F.coalesce("label", "id").alias("component"))
+
+
+def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row.
+
+    Words are runs of non-white-space, A-Z lowered; a text of fewer than five words is one shingle. Null or
+    empty texts have no shingles and stand alone. Rows of equal sets share a component, repeated rows too.
+    Rows with a null id join no component: component_id is null and kept is true. Ids are taken to name one text
+    each, in one row or several; other texts under an id are grouped by their own sets. An empty table gives no rows.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketches, of_class = _grouped(docs, percent)
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return (
         sketches.select("doc_id", "n_shingles", "digest")
@@ -291,3 +296,19 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
         .select("doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def keep_one(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, that stand for their group of near-duplicates.
+
+    The document of the smallest id stays, in one row. Rows with a null id stay as they are.
+    """
+    key = F.col(id_col).cast("long")
+    groups = near_duplicates(df, percent, id_col, text_col).filter("doc_id is not null")
+    groups = stored(groups.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("rows")), "groups")
+    gone = groups.filter("component <> doc_id").select(F.col("doc_id").alias("_gone"))
+    rest = df.join(gone, key == gone["_gone"], "left_anti")
+    twice = groups.filter("component = doc_id and rows > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
+        return rest
+    return rest.join(twice, key == twice["_twice"], "left_anti").unionByName(rest.join(twice, key == twice["_twice"], "left_semi").dropDuplicates([id_col]))
