@@ -29,7 +29,7 @@ def dossiers(events: DataFrame, params: Params, scope: tuple[str, ...] = ()) ->
         out = nested(out, parts.filter(F.col("field") == field).drop("field"), name)
     refs = incidents.technique_table(events.sparkSession)
     refs = refs.groupBy("cause").agg(F.array_sort(F.collect_list(F.struct("technique", "name", "url", "condition"))).alias("mitre_refs"))
-    for name, child, order in (("processes", processes, "rank"), ("suggestions", causes.join(F.broadcast(refs), "cause", "left"), "rank"), ("sequences", chains, "rank"), ("evidence", shown, "timestamp")):
+    for name, child, order in (("processes", processes, ("rank",)), ("suggestions", causes.join(F.broadcast(refs), "cause", "left"), ("rank",)), ("sequences", chains, ("rank",)), ("evidence", shown, ("timestamp", "row"))):
         out = nested(out, child, name, order)
     return out
 

@@ -9,6 +9,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions.text import normal_header
 from tidelog.operators.issues import FIELD_NAMES
@@ -37,7 +38,7 @@ def file_facts(spark: SparkSession, paths: list[str], params: Params) -> DataFra
     small = files.filter(~huge)
     mark = F.hex(F.substring("content", 1, 2))
     encoding = F.when(mark.isin("FFFE", "FEFF"), "utf-16").otherwise("utf-8")
-    text = F.when(encoding == "utf-16", F.decode("content", F.lit("UTF-16"))).when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    text = F.when(encoding == "utf-16", F.decode("content", "UTF-16")).when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     small = small.select(F.col("path").alias("source"), "kind", encoding.alias("encoding"), text.alias("text"))
     quotes = F.length(F.regexp_replace("text", '[^"]', "")) % 2 == 1
     size = F.octet_length("text").cast("long")
@@ -71,7 +72,8 @@ def numbered(df: DataFrame) -> DataFrame:
 
     Rows are numbered where they are read; what the stretches before hold is added up for each file.
     """
-    out = df.mapInArrow(_places, df.schema.add("n", "long").add("first_line", "long").add("last_line", "long"))
+    longs = [T.StructField(c, T.LongType()) for c in ("n", "first_line", "last_line")]
+    out = df.mapInArrow(_places, T.StructType([*df.schema.fields, *longs]))
     held = out.groupBy("source", "block").agg(F.max("n").alias("rows"), F.max("last_line").alias("lines"))
     a, b = held.alias("a"), held.alias("b")
     before = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("b.block") < F.col("a.block"))).groupBy("a.source", "a.block").agg(F.sum("b.rows").alias("rows_before"), F.sum("b.lines").alias("lines_before"))
@@ -144,7 +146,7 @@ def csv_records(spark: SparkSession, paths: list[str], separator: str, columns:
     breaks = F.aggregate(F.array(*(F.length(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\n]", "")) for c in cells)), F.lit(0), lambda a, x: a + x)
     rows = read.select(*cells, _BAD, F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), breaks.alias("breaks"))
     out = numbered(rows)
-    width = F.size(F.split(F.col(_BAD), F.lit("[" + separator + "]"), -1))
+    width = F.size(F.split(F.col(_BAD), "[" + separator + "]", -1))
     return out.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in zip(cells, columns, strict=True)), "source", "row", (F.col("line_start") + 1).alias("line_start"), (F.col("line") + 1).alias("line"), F.col(_BAD).isNotNull().alias("malformed"), F.when(F.col(_BAD).isNotNull(), width).alias("width"), F.col(_BAD).alias("bad"))
 
 

@@ -23,10 +23,12 @@ def write_json(df: DataFrame, folder: str) -> None:
     as_json(df).select("json").write.mode("overwrite").text(folder)
 
 
-def nested(parent: DataFrame, child: DataFrame, name: str, order: str = "rank", key: str = "incident_id") -> DataFrame:
+def nested(parent: DataFrame, child: DataFrame, name: str, order: tuple[str, ...] = ("rank",), key: str = "incident_id") -> DataFrame:
     """``parent`` with the rows of ``child`` as an ordered array of structs. The children of a dossier are few."""
-    fields = [c for c in child.columns if c not in (key, order)]
-    rows = child.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias(name))
+    fields = [c for c in child.columns if c != key]
+    less = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    pairs = F.collect_list(F.struct(F.struct(*order).alias("k"), F.struct(*fields).alias("v")))
+    rows = child.groupBy(key).agg(F.transform(F.array_sort(pairs, less), lambda x: x["v"]).alias(name))
     kind = rows.schema[name].dataType
     return parent.join(rows, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
