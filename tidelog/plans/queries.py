@@ -512,22 +512,22 @@ def latest_starts(spark, sf_dir):
     return _shown(events(spark, sf_dir)).select("row", "match_process", "start_no")
 
 
-@query("jn5_follow_ups", f"""with {_STARTS}, f as (select shown.row as start_row, logs.row, logs.t, logs.process = 'systemd' as again from shown join logs on logs.host_key = shown.host_key and logs.process = shown.mp and (logs.t, logs.row) > (shown.t, shown.row) and logs.t <= shown.t + 1800 and (shown.explicit or shown.pid = '' or logs.pid = '' or logs.pid = shown.pid)),
-st as (select start_row, min(t * 10000000 + row) as stop from f where again group by all), k as (select f.* from f left join st using (start_row) where stop is null or t * 10000000 + row < stop)
-select start_row, row, rank, total from (select start_row, row, row_number() over (partition by start_row order by t, row)::int as rank, count(*) over (partition by start_row) as total from k) where rank <= 20""")
+@query("jn5_follow_ups", f"""with {_STARTS}, f as (select shown.row as start_row, shown.mp as match_process, logs.row, logs.t, logs.process = 'systemd' as again from shown join logs on logs.host_key = shown.host_key and logs.process = shown.mp and (logs.t, logs.row) > (shown.t, shown.row) and logs.t <= shown.t + 1800 and (shown.explicit or shown.pid = '' or logs.pid = '' or logs.pid = shown.pid)),
+st as (select start_row, match_process, min(t * 10000000 + row) as stop from f where again group by all), k as (select f.* from f left join st using (start_row, match_process) where stop is null or t * 10000000 + row < stop)
+select start_row, match_process, row, rank, total from (select start_row, match_process, row, row_number() over (partition by start_row, match_process order by t, row)::int as rank, count(*) over (partition by start_row, match_process) as total from k) where rank <= 20""")
 def follow_ups(spark, sf_dir):
     e = events(spark, sf_dir)
     shown = _shown(e)
-    return tree.follow_ups(e, shown).join(shown.select("start_no", F.col("row").alias("start_row")), "start_no").select("start_row", "row", "rank", "total")
+    return tree.follow_ups(e, shown).join(shown.select("start_no", F.col("row").alias("start_row"), "match_process"), "start_no").select("start_row", "match_process", "row", "rank", "total")
 
 
-@query("jn6_nearby", f"""with {_STARTS}, f as (select shown.row as start_row, logs.row, logs.t - shown.t as delta, (logs.t, logs.row) < (shown.t, shown.row) as before, logs.process not in (shown.mp, shown.process) and logs.row <> shown.row as other, logs.t from shown join logs on logs.host_key = shown.host_key and abs(logs.t - shown.t) <= {S_}),
-i as (select *, row_number() over (partition by start_row order by abs(delta), before desc, case when before then -t else t end, case when before then -row else row end) as n from f)
-select start_row, row, delta as delta_seconds, rank from (select *, row_number() over (partition by start_row order by n)::int as rank from i where n <= 2000 and other) where rank <= 10""")
+@query("jn6_nearby", f"""with {_STARTS}, f as (select shown.row as start_row, shown.mp as match_process, logs.row, logs.t - shown.t as delta, (logs.t, logs.row) < (shown.t, shown.row) as before, logs.process not in (shown.mp, shown.process) and logs.row <> shown.row as other, logs.t from shown join logs on logs.host_key = shown.host_key and abs(logs.t - shown.t) <= {S_}),
+i as (select *, row_number() over (partition by start_row, match_process order by abs(delta), before desc, case when before then -t else t end, case when before then -row else row end) as n from f)
+select start_row, match_process, row, delta as delta_seconds, rank from (select *, row_number() over (partition by start_row, match_process order by n)::int as rank from i where n <= 2000 and other) where rank <= 10""")
 def nearby(spark, sf_dir):
     e = events(spark, sf_dir)
     shown = _shown(e)
-    return tree.nearby(e, shown, S_).join(shown.select("start_no", F.col("row").alias("start_row")), "start_no").select("start_row", "row", "delta_seconds", "rank")
+    return tree.nearby(e, shown, S_).join(shown.select("start_no", F.col("row").alias("start_row"), "match_process"), "start_no").select("start_row", "match_process", "row", "delta_seconds", "rank")
 
 
 # --- quality ---------------------------------------------------------------------------------------------------
