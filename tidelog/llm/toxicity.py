@@ -70,24 +70,23 @@ class Chain:
 def _select(texts: list[str], toxic: np.ndarray) -> np.ndarray:
     """Keys most associated with toxic texts (likelihood ratio of document frequencies), FEATURES of them at most."""
     size = 1 << 22
+    place = lambda keys: (keys & np.uint64(size - 1)).astype(np.int64)
+    packed = pa.array(texts, pa.large_string())
     seen, pos = np.zeros(size, np.int32), np.zeros(size, np.int32)
-    packs = []
-    for first, _, data, offsets in blocks(pa.array(texts, pa.large_string())):
-        text, keys = _keys(data, offsets)
-        pairs = _distinct(text, keys)
-        packs.append((first, pairs))
-        place = (pairs[1] & np.uint64(size - 1)).astype(np.int64)
-        seen += np.bincount(place, minlength=size).astype(np.int32)
-        mine = toxic[first + pairs[0]] == 1
-        pos += np.bincount(place[mine], minlength=size).astype(np.int32)
+    for first, _, data, offsets in blocks(packed):
+        text, keys = _distinct(*_keys(data, offsets))
+        np.add.at(seen, place(keys), 1)
+        np.add.at(pos, place(keys[toxic[first + text] == 1]), 1)
     good = np.argsort(-_association(seen, pos, len(toxic), int(toxic.sum())))[: 8 * FEATURES]
     chosen = np.zeros(size, bool)
     chosen[good] = True
     owner, keys = [], []
-    for first, (text, key) in packs:
-        mine = chosen[(key & np.uint64(size - 1)).astype(np.int64)]
-        owner.append(first + text[mine])
-        keys.append(key[mine])
+    for first, _, data, offsets in blocks(packed):  # once more, for the chosen buckets alone
+        text, key = _keys(data, offsets)
+        mine = chosen[place(key)]
+        text, key = _distinct(text[mine], key[mine])
+        owner.append(first + text)
+        keys.append(key)
     owner, keys = np.concatenate(owner), np.concatenate(keys)
     names, number = np.unique(keys, return_inverse=True)
     seen, pos = np.bincount(number), np.bincount(number, weights=toxic[owner])
