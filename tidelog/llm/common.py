@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes hashed at once; bounds the working arrays at about 50 bytes for each byte of text.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
