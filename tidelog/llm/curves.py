@@ -40,7 +40,8 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
         for k in range(d):
             flip = (x[k] >> bit & 1).astype(bool)
             swap = np.where(flip, 0, (x[0] ^ x[k]) & low)
-            x[0], x[k] = x[0] ^ np.where(flip, low, swap), x[k] ^ swap if k else x[k]
+            x[k] = x[k] ^ swap  # nothing for k = 0
+            x[0] = x[0] ^ np.where(flip, low, swap)
     for k in range(1, d):
         x[k] ^= x[k - 1]
     turn = np.zeros(n, np.int64)
