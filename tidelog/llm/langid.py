@@ -203,14 +203,15 @@ def identify(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
 
 def clean_documents(df: DataFrame, model: TextModel) -> DataFrame:
     """The rows of ``df``, all columns as they are, whose language is known."""
-    names = df.columns
-    rows, share, shared = _with_evidence(df.select("*", *of_documents()), model)
+    # The row travels as one column, so that its names can't clash with those of the evidence.
+    rows, share, shared = _with_evidence(df.select(F.struct("*").alias("_row"), *of_documents()), model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _fused(shared.value, share, batch)
             best = p.argmax(axis=1)
             good = (best < p.shape[1] - 1) & (p.max(axis=1) >= LEAST_POSTERIOR)
-            yield batch.select(names).filter(pa.array(good))
+            row = batch.column(batch.schema.get_field_index("_row")).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in row.type])
 
     return rows.mapInArrow(keep, df.schema)

@@ -56,8 +56,7 @@ def rebalanced(placed: dict[int, int], loads: dict[int, int], shards: int) -> di
     """An edited map for ``shards`` shards that moves few slots.
 
     Slots of removed shards go to the lightest shards; then slots move from the heaviest to the lightest
-    shard as long as a move narrows the gap between the two. With added shards, nothing moves between old ones
-    before the new ones are filled.
+    shard as long as a move narrows the gap between the two. With added shards, slots move to these alone.
     """
     out = dict(placed)
     weight = dict.fromkeys(range(shards), 0)
@@ -72,8 +71,9 @@ def rebalanced(placed: dict[int, int], loads: dict[int, int], shards: int) -> di
         held[shard].append((loads.get(slot, 0), slot))
     for x in held.values():
         x.sort()
+    takers = [s for s in range(shards) if not held[s]] or list(range(shards))  # added shards alone, if there are any
     for _ in range(len(out) * 2):
-        low, high = min(weight, key=lambda s: (weight[s], s)), max(weight, key=lambda s: (weight[s], -s))
+        low, high = min(takers, key=lambda s: (weight[s], s)), max(weight, key=lambda s: (weight[s], -s))
         gap = weight[high] - weight[low]
         fits = [x for x in held[high] if 0 < x[0] < gap]
         if not fits:
