@@ -81,6 +81,39 @@ def test_near_duplicates_are_those_of_all_pairs(spark, texts):
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (component[i], sizes[i]) for i in texts}
 
 
+def test_near_duplicates_of_buckets_in_several_blocks(spark, monkeypatch):
+    """A large group of copies, and chains of edits that leave it, share buckets; blocks hold four classes."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    base, rows = list(rng.choice(vocabulary, 120)), {}
+    for k in range(40):  # all within a few words of the base
+        copy = list(base)
+        copy[int(rng.integers(0, 120))] = f"x{k}"
+        rows[k] = " ".join(copy)
+    for chain in range(8):  # each link close to the one before it, the ends far from the base
+        copy = list(base)
+        for k in range(6):
+            for at in rng.integers(0, 120, 2 + chain % 3):
+                copy[at] = f"y{chain}-{k}-{at}"
+            rows[100 + 10 * chain + k] = " ".join(copy)
+    order = rng.permutation(len(rows))
+    given = {int(order[n]): t for n, t in enumerate(rows.values())}
+    want, _ = groups(given, 85)
+    assert 1 < len(set(want.values())) < len(given)
+    calls, across = [], minhash._across
+
+    def watched(bands, classes, labels, texts, percent):
+        of = bands.join(labels, bands.id == labels.node, "left").groupBy("bucket").agg({"label": "count"})
+        calls.append(of.agg({"count(label)": "max"}).first()[0])
+        return across(bands, classes, labels, texts, percent)
+
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "_across", watched)
+    docs = spark.createDataFrame(list(given.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 85).collect()} == want
+    assert calls and calls[0] > 8
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 62, (300, 400), dtype=np.uint64)

@@ -9,7 +9,8 @@
    Survivors are decided on the full sets.
 4. The links give components. Buckets that still hold classes of several components are compared in full,
    between components, in blocks, by the same looks and the full sets; each block gives no more links than join
-   its components. With them the components are taken again.
+   its components. Blocks of the bucket's largest component meet those of the others alone, so that a large group
+   of copies with a few stragglers takes work in proportion to its size. The components are taken again then.
 """
 
 from __future__ import annotations
@@ -254,9 +255,16 @@ def _across(bands: DataFrame, classes: DataFrame, labels: DataFrame, texts: Data
     rows = stored(of.join(mixed.select("bucket", "members"), "bucket"), "mixed")
     packed = _texts_of(rows.select("id"), classes, texts).groupBy("id", "digest").agg(F.first("packed").alias("packed"))
     rows = rows.join(classes.select("id", "sig"), "id").join(packed.select("id", "packed"), "id")
-    n = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    # Classes of a bucket's largest component need no comparison with one another: they take the blocks after those
+    # of the other classes, and meet these alone. A bucket of a single block stays whole.
+    largest = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most")).select("bucket", F.col("most.c").alias("within"), F.col("most.label").alias("main"))
+    whole, inside = F.col("members") <= BLOCK, F.col("label") == F.col("main")
+    count = lambda c: F.ceil(c / BLOCK).cast("int")
+    rows = rows.join(largest, "bucket").withColumn("few", F.when(whole, 1).otherwise(count(F.col("members") - F.col("within")))).withColumn("many", F.when(whole, 0).otherwise(count(F.col("within"))))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    rows = rows.withColumn("block", F.when(inside & ~whole, F.col("few") + place("many")).otherwise(place("few")))
+    meets = F.col("few") + F.when(inside, 0).otherwise(F.col("many"))
+    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
     pairs = pairs.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "label", "sig", "packed")
     tasks = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return pairs.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(_crossing(percent), "u long, v long").distinct()
