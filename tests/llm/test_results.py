@@ -145,6 +145,32 @@ def test_neighbours(spark):
     assert hit / total >= 0.9
 
 
+def test_neighbours_in_windows_that_grow_with_the_table(spark):
+    """Windows are smaller than the table; queries of the check tables, then places on the curves in a larger table."""
+    rows = duckdb.sql("select vec_id, embedding from '/root/testdata/check_s/embeddings.parquet/*.parquet' order by vec_id").fetchall()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    assert 2 * curves.reach(len(x), 5) + 1 < len(x) / 10
+    got = collections.defaultdict(list)
+    for r in queries.QUERIES["op5_hilbert_neighbours"](spark, "/root/testdata/check_s").orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = curves.cosines(x[[q]], x)[0]
+        score[q] = -9
+        hit, total = hit + len(set(ids[np.lexsort((ids, -score))[:5]]) & set(got[ids[q]])), total + 5
+    assert hit / total >= 0.9
+    unit = np.random.default_rng(1).standard_normal((200_000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    score = unit[:200] @ unit.T
+    score[np.arange(200), np.arange(200)] = -9
+    near = np.argpartition(-score, 5, axis=1)[:, :5]
+    best = np.full(near.shape, len(unit))
+    for curve in range(curves.CURVES):
+        place = np.argsort(np.argsort(curves.curve_keys(unit, curve), kind="stable"))
+        best = np.minimum(best, np.abs(place[near] - place[:200, None]))
+    assert (best <= 1024).mean() < 0.9 <= (best <= curves.reach(len(unit), 5)).mean()
+
+
 def plain_edits(a, b):
     """Least edits between a and any passage of b."""
     row = [0] * (len(b) + 1)
