@@ -256,6 +256,24 @@ def test_licences(spark, texts):
     assert [r.license for r in licenses.scan(df, model).orderBy("doc_id").collect()] == list(notes)
 
 
+def test_wrapped_licences(spark, texts):
+    """Notices over several lines, with either line break and as comments; a blank line parts notices."""
+    model = licenses.train([t for i, t in sorted(texts.items())][:50])
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction."
+    bsd = "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the\nfollowing conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or\nmodify it under the terms of the GNU General Public License as\npublished by the Free Software Foundation."
+    plain = "He has a driving license and the\npermission of his parents to use\nthe car, free of charge."
+    cases = [(mit, ["mit"]), (bsd, ["bsd"]), (gpl, ["gpl"]), (plain, [])]
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "# " + t.replace("\n", "\n# "), lambda t: t.replace(" ", "\n"), lambda t: "Words ahead of it.\n\n" + t + "\nAnd after."]
+    rows = [(form(t), want) for t, want in cases for form in forms] + [(f"{mit}\n\n{gpl}", ["gpl", "mit"]), ("Permission is hereby granted,\n\nfree of charge,\n\nto any person", [])]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = licenses.scan(df, model).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [w for _, w in rows]
+    for r in got:
+        t = rows[r.doc_id][0].encode()
+        assert all(0 <= p.start_byte < p.end_byte <= len(t) for p in r.paragraphs)
+
+
 def test_warc_ranges_and_digests(spark):
     assert warc.coalesced([(0, 10), (10, 5), (1 << 20, 7), (30 << 20, 1)]) == [(0, 2, 0, 15), (2, 3, 1 << 20, 7), (3, 4, 30 << 20, 1)]
     html = dict(duckdb.sql(f"select page_id, html from '{DATA}/pages.parquet'").fetchall())

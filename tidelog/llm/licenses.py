@@ -1,6 +1,7 @@
 """Licence scans by a trained paragraph classifier.
 
-Every paragraph (line) is told a licence family by a softmax regression on word 1- to 3-grams. The model
+Every paragraph (a line, or neighbouring lines over which a notice is wrapped) is told a licence family by a
+softmax regression on word 1- to 3-grams. The model
 knows the n-grams of licence texts only; a paragraph without any of them has the scores of the bias alone, so
 that the work follows the paragraphs that hold some. The class ``unknown`` is trained on paragraphs of the
 corpus, and the probabilities are calibrated by a temperature chosen on held-out rows. A prediction counts as confirmed if
@@ -104,6 +105,10 @@ OTHERS = (
     "This work is under review and may be modified.",
 )
 FAMILIES = (*TEMPLATES, UNKNOWN)
+#: Words that a notice may run on for after the line in which it begins: those of any template.
+SPAN = max(len(t.replace("-", " ").replace("/", " ").replace(".", " ").split()) for ts in TEMPLATES.values() for t in ts)
+#: Runs of lines told at once.
+AT_ONCE = 4096
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[10, 13]] = True
 
@@ -129,6 +134,39 @@ def _hits(lookup: Lookup, words: Words, keys: list[np.ndarray]) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def wrapped(lookup: Lookup, words: Words, keys: list[np.ndarray], data: np.ndarray, edges: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first line, last line, feature rows) of runs of lines that start where a known n-gram does.
+
+    A run goes on for SPAN words after its first line, but not over a line without words or the end of the text, so
+    that a template which begins in the first line is in it as a whole. n-grams cross the line breaks.
+    """
+    if not len(of):
+        return
+    feed = (data[edges[:-1]] == 10) & (np.diff(edges) == 1) & (edges[:-1] > 0) & (data[edges[:-1] - 1] == 13)  # the second half of a line break
+    part = np.cumsum(((words.counts() == 0) & ~feed) | (np.diff(of, prepend=of[:1]) != 0))
+    last = np.minimum(np.searchsorted(words.first, words.first[1:] + SPAN) - 1, np.searchsorted(part, part, side="right") - 1)
+    owner, out = words.texts(), []
+    for n, k in zip(ORDERS, keys, strict=True):
+        place, number = lookup.find(k)
+        same = part[owner[place]] == part[owner[place + n - 1]]
+        out.append((place[same], place[same] + n, number[same]))
+    begin, end, number = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(begin, kind="stable")
+    begin, end, number = begin[order], end[order], number[order]
+    lines = np.unique(owner[begin])
+    lines = lines[words.first[last[lines] + 1] > words.first[lines + 1]]
+    for i in range(0, len(lines), AT_ONCE):
+        a = lines[i : i + AT_ONCE]
+        b = last[a]
+        low, high = np.searchsorted(begin, words.first[a]), np.searchsorted(begin, words.first[b + 1])
+        run = np.repeat(np.arange(len(a)), high - low)
+        at = np.arange(len(run)) + np.repeat(low - np.cumsum(high - low) + (high - low), high - low)
+        whole = end[at] <= words.first[b + 1][run]
+        x = np.zeros((len(a), len(lookup.keys)), np.float32)
+        x[run[whole], number[at[whole]]] = 1
+        yield a, b, x
+
+
 def _rows(lookup: Lookup, owner: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Paragraphs with a hit, and their feature rows (1 where an n-gram stands)."""
     which, row = np.unique(owner, return_inverse=True)
@@ -215,6 +253,17 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
 FOUND = "array<struct<family:string,probability:double,cover:double,confirmed:boolean,start_byte:long,end_byte:long>>"
 
 
+def _notices(model: Model, runs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], edges: np.ndarray, of: np.ndarray) -> dict[int, list[dict]]:
+    """Confirmed predictions of each text over several lines, the best covered and then the last begun ahead."""
+    out: dict[int, list[dict]] = {}
+    for first, last, x in runs:
+        family, prob, cover = model.predict(x)
+        good = np.flatnonzero((family != len(FAMILIES) - 1) & (prob >= LEAST_PROBABILITY) & (cover >= LEAST_COVER))
+        for k in good.tolist():
+            out.setdefault(int(of[first[k]]), []).append({"family": FAMILIES[family[k]], "probability": float(prob[k]), "cover": float(cover[k]), "confirmed": True, "start_byte": int(edges[first[k]]), "end_byte": int(edges[last[k] + 1])})
+    return {t: sorted(fs, key=lambda f: (-f["cover"], -f["start_byte"])) for t, fs in out.items()}
+
+
 def _scan(shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -222,13 +271,22 @@ def _scan(shared):
         for batch in batches:
             for first, last, data, offsets in blocks(batch.column("text")):
                 edges, of = paragraphs(data, offsets)
-                which, x = _rows(lookup, *_hits(lookup, *_keys(data, edges)))
+                words, keys = _keys(data, edges)
+                which, x = _rows(lookup, *_hits(lookup, words, keys))
                 found: list[list[dict]] = [[] for _ in range(last - first)]
                 if len(which):
                     for p, family, prob, cover in zip(which.tolist(), *(v.tolist() for v in model.predict(x)), strict=True):
                         if FAMILIES[family] != UNKNOWN and prob >= LEAST_PROBABILITY:
                             t = int(of[p])
                             found[t].append({"family": FAMILIES[family], "probability": prob, "cover": cover, "confirmed": cover >= LEAST_COVER, "start_byte": int(edges[p] - offsets[t]), "end_byte": int(edges[p + 1] - offsets[t])})
+                for t, notices in _notices(model, wrapped(lookup, words, keys, data, edges, of), edges, of).items():
+                    begin = offsets[t]
+                    held = [(f["family"], f["start_byte"], f["end_byte"]) for f in found[t] if f["confirmed"]]
+                    for f in notices:
+                        i, j = int(f["start_byte"] - begin), int(f["end_byte"] - begin)
+                        if not any(name == f["family"] and a < j and i < b for name, a, b in held):
+                            held.append((f["family"], i, j))
+                            found[t].append(f | {"start_byte": i, "end_byte": j})
                 kind = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64()), ("cover", pa.float64()), ("confirmed", pa.bool_()), ("start_byte", pa.int64()), ("end_byte", pa.int64())]))
                 best = [max((f for f in fs if f["confirmed"]), key=lambda f: (f["probability"], -f["start_byte"]), default=None) for fs in found]
                 yield pa.RecordBatch.from_arrays(
@@ -250,7 +308,8 @@ def scan(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, license, probability, cover, licenses, paragraphs) of each row.
 
     ``license`` is the family of the likeliest confirmed paragraph, ``unknown`` where there is none; ``licenses``
-    are all confirmed families, ``paragraphs`` all predictions with their byte ranges. Null and empty texts are
+    are all confirmed families, ``paragraphs`` all predictions on lines with their byte ranges, then the confirmed ones on
+    several lines that hold no confirmed line of their family. Null and empty texts are
     unknown. Repeated rows and null ids keep their rows; other columns are left out. An empty table gives no rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
