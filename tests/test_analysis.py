@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -145,3 +146,15 @@ def test_results_do_not_depend_on_partitions(load):
     events, _, _ = load(demo())
     a = sorted(map(str, windows.candidates(events, P).collect()))
     assert a == sorted(map(str, windows.candidates(events.repartition(7), P).collect()))
+
+
+def test_csv_export_loses_no_rows_to_the_limits(spark, monkeypatch):
+    """More events in a partition than an import reads of a file, and more bytes than it takes."""
+    from tidelog.plans import queries
+
+    data = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{data}/events.parquet").count()
+    for limit in ({"max_events": 300}, {"max_file_bytes": 50_000}):
+        monkeypatch.setattr(queries, "_TABLES", {})
+        monkeypatch.setattr(queries, "PARAMS", replace(queries.PARAMS, **limit))
+        assert queries.csv_export(spark, data).agg(F.sum("n")).first()[0] == rows

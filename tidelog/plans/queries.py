@@ -579,15 +579,21 @@ def timestamp_sources(spark, sf_dir):
 # --- files -----------------------------------------------------------------------------------------------------
 
 
+#: Bytes of an exported record, line breaks and quotes included, stay below this.
+RECORD_BYTES = 1024
 _HEADER = ["TimeGenerated", "Computer", "Facility", "SecurityLevel", "SyslogMessage", "Processname", "HostIP"]
 
 
 @query("src1_csv_export", f"with {LOGS} select t as timestamp, host_key, process, pid, severity, facility, host_ip, case when row % 5 = 0 then message || chr(10) || 'second, \"quoted\" line' else message end as message, count(*) as n from logs group by all")
 def csv_export(spark, sf_dir):
-    """Events written as a CSV export with line breaks and quotes in cells, read again and normalised."""
+    """Events written as a CSV export with line breaks and quotes in cells, read again and normalised.
+
+    Files hold so few records that neither limit of an import is reached, and none is lost on the way back.
+    """
     path = _folder(spark, "csv")
     r = records(spark, sf_dir).withColumn("SyslogMessage", F.when(F.col("row") % 5 == 0, F.concat("SyslogMessage", F.lit('\nsecond, "quoted" line'))).otherwise(F.col("SyslogMessage")))
-    r.select(_HEADER).write.options(header=True, quote='"', escape='"', sep=";", emptyValue="").csv(path)
+    most = max(1, min(PARAMS.max_events, PARAMS.max_file_bytes // RECORD_BYTES))
+    r.select(_HEADER).write.options(maxRecordsPerFile=most, header=True, quote='"', escape='"', sep=";", emptyValue="").csv(path)
     e = _kept(spark, sf_dir, "exported", lambda: readers.read_logs(spark, [path], PARAMS)[0])
     return e.groupBy(seconds(), "host_key", "process", "pid", "severity", "facility", "host_ip", "message").agg(F.count(F.lit(1)).alias("n"))
 
