@@ -17,7 +17,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidelog.llm import bpe, curves, decontaminate, langid, licenses, minhash, queries, sharding, toxicity, warc
+from tidelog.llm import bpe, curves, decontaminate, langid, licenses, lm, minhash, queries, sharding, toxicity, warc
 from tidelog.llm.common import Words, blocks
 
 DATA = "/root/testdata/sf0.001"
@@ -225,6 +225,27 @@ def test_lm_base_and_model(spark, texts):
     assert all(r.score < 0 for r in got)
 
 
+def test_lm_counts_all_training_rows(spark, texts, monkeypatch):
+    """Ids and pairs of symbols of every training row are in the model's tables, however small the attention's sample is."""
+    source = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coder, given = lm.Subwords.of(source), []
+    train = lm.train
+    monkeypatch.setattr(lm, "SAMPLE_ROWS", 5)
+    monkeypatch.setattr(lm, "STEPS", 2)
+    monkeypatch.setattr(lm, "train", lambda *a: given.append((a, train(*a))) or given[-1][1])
+    lm.score(spark.read.parquet(f"{DATA}/documents.parquet"), source)
+    (_, sampled, counts, pairs), model = given[0]
+    seen = [t or "" for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    assert len(sampled) < len(seen)
+    want, after = collections.Counter(), collections.Counter()
+    for t in seen:
+        ids = [*coder.encoding.encode_ordinary("".join(" " + w.decode() for w in lowered_words(t))), coder.end]
+        want.update(ids)
+        after.update(zip([lm.SYMBOLS, *model.symbol[ids[:-1]].tolist()], model.symbol[ids].tolist(), strict=True))
+    assert {int(k): int(counts[k]) for k in np.flatnonzero(counts)} == want
+    assert {(int(a), int(b)): int(pairs[a, b]) for a, b in np.argwhere(pairs)} == after
+
+
 def test_language_by_text_alone():
     rows = duckdb.sql(f"select doc_id, text, lang from '{DATA}/documents.parquet' where length(text) > 200 order by doc_id").fetchall()
     model = langid.train([r[1] for r in rows if r[0] % 2], [r[2] for r in rows if r[0] % 2])
