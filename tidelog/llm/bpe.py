@@ -10,6 +10,8 @@ window's ids agree with the ids on both sides.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,28 +22,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelog.llm.common import blocks, mix, powers
+from tidelog.llm.common import blocks, stored
 
 #: The rolling hash sees so many bytes; a chunk has this many bytes on average, and at most the greatest number.
 WINDOW, AVERAGE, GREATEST = 32, 512, 8192
 LEAST = 128
-#: Bits of the sketch of repeated chunk hashes. A chunk that is in it by accident is encoded apart and sent, no more.
-SKETCH_BITS = 1 << 24
+#: Least and most bits of the sketch of repeated chunk hashes, and bits for each of these chunks between them. A chunk
+#: that is in it by accident is encoded apart and sent, no more.
+SKETCH_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 28, 16
 _BITMAP_BITS = 8 * 4096
-#: Encoded words that a worker remembers.
-WORDS_KEPT = 150_000
+DIGEST = 12
+#: Encoded words that a worker remembers in each of two generations.
+WORDS_KEPT = 100_000
+_GEAR = np.random.default_rng(20240701).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Chunk edges of each text (first 0, last its length), never inside a UTF-8 sequence."""
-    n = len(data)
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    found = np.zeros(0, dtype=np.int64)
-    if n >= WINDOW:
-        rolled = mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: n - WINDOW + 1])
-        found = np.flatnonzero((rolled & np.uint64(AVERAGE - 1)) == 0) + WINDOW
+    """Chunk edges of each text (first 0, last its length), never inside a UTF-8 sequence.
+
+    The rolling hash is the sum of a random number of each of the last WINDOW bytes, shifted by the byte's distance;
+    it is summed up by doubling.
+    """
+    rolled, k = _GEAR[data], 1
+    while k < WINDOW:
+        rolled[k:] += rolled[:-k] << np.uint32(k)
+        k *= 2
+    found = np.flatnonzero(rolled < np.uint32((1 << 32) // AVERAGE)) + 1
     out = []
     for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         edges, last = [0], begin
@@ -65,14 +71,14 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def chunk_digest(chunk: bytes) -> bytes:
     """96 bits, so that different chunks don't meet by chance in a large corpus."""
-    return hashlib.blake2b(chunk, digest_size=12).digest()
+    return hashlib.blake2b(chunk, digest_size=DIGEST).digest()
 
 
 class Encoder:
     """Encodes and decodes with one tokenizer file, remembering words.
 
-    White space (the six ASCII characters) is dropped by the tokenizer and parts what stands beside it, so that
-    a text's ids are those of its words in order.
+    White space (the six ASCII characters) must be dropped by the tokenizer and part what stands beside it, so that
+    a text's ids are those of its words in order; and there must be no decoder. Other files are refused.
     """
 
     _open: dict[str, Encoder] = {}
@@ -81,8 +87,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if self.tokenizer.decoder is not None or ids(" \ta\n\r\x0b\x0cb ") != ids("a") + ids("b"):
+            raise ValueError(f"{path}: a tokenizer that drops white space and has no decoder is needed")
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.pieces, self.special = _ascii_pieces(json.loads(self.tokenizer.to_str()))
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -91,14 +102,30 @@ class Encoder:
         return cls._open[path]
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode the words not yet known; the memory starts anew when it is full."""
+        """Encode the words not yet known. Words that come up again stay known when a new generation begins."""
         if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
+            self.words, self.before = {}, self.words
+        known, before, new, ids = self.words, self.before, [], {}
+        tokenize, pieces, special = self.tokenizer.model.tokenize, self.pieces, self.special
+        for w in words:
+            if w in known:
+                continue
+            if w in before:
+                known[w] = before[w]
+            elif pieces and w.isascii() and (text := w.decode()).isprintable() and not special(text):
+                # Printable ASCII is cut by the tokenizer's pattern, and its pieces go to the model one by one.
+                whole = b""
+                for piece in pieces(text.lower()):
+                    if piece not in ids:
+                        ids[piece] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(piece)])
+                    whole += ids[piece]
+                known[w] = whole
+            else:
+                new.append(w)
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -112,6 +139,22 @@ class Encoder:
         return " ".join([tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
+def _ascii_pieces(file: dict):
+    """(how the file's pattern cuts a word of printable, lower-case ASCII; whether a text holds a special token).
+
+    None for files whose steps ahead of the model do more to such a word than to lower it, cut it by one pattern
+    and map its bytes to characters.
+    """
+    steps = lambda part, many: (part or {}).get(many, [part] if part else [])
+    normal, cut = steps(file["normalizer"], "normalizers"), steps(file["pre_tokenizer"], "pretokenizers")
+    special = re.compile("|".join(re.escape(t["content"]) for t in file["added_tokens"]) or "(?!)").search
+    plain = {x["type"] for x in normal} in ({"NFC", "Lowercase"}, {"NFC", "Lowercase", "Replace"}) and all(x["pattern"] == {"Regex": r"\s+"} for x in normal if x["type"] == "Replace")
+    split = [x for x in cut if x["type"] == "Split"]
+    if not plain or [x["type"] for x in cut] != ["Split", "ByteLevel"] or file["post_processor"] or not (split[0]["invert"] and split[0]["behavior"] == "Removed" and "Regex" in split[0]["pattern"]) or cut[1]["use_regex"] or cut[1]["add_prefix_space"]:
+        return None, special
+    return re.compile(split[0]["pattern"]["Regex"].replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall, special
+
+
 def _plain(byte: int) -> bool:
     return byte not in b" \t\n\r\x0b\x0c"
 
@@ -150,14 +193,15 @@ def joined(text: bytes, edges: list[int], parts: list[bytes], encode) -> bytes:
 
 
 def _repeated(chunks: DataFrame) -> bytes:
-    """Bitmap of the chunks that occur more than once: SKETCH_BITS / 8 bytes, whatever the number of chunks."""
-    bit = F.pmod(F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long"), F.lit(SKETCH_BITS))
+    """Bitmap of the chunks that occur more than once; its size follows from their number, within bounds."""
+    seen = stored(chunks.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest"), "repeated")
+    size = min(MOST_BITS, max(SKETCH_BITS, 1 << (seen.count() * BITS_EACH).bit_length()))
+    bit = F.pmod(F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("long"), F.lit(size))
     rows = (
-        chunks.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1")
-        .select(F.floor(bit / _BITMAP_BITS).cast("int").alias("bucket"), F.pmod(bit, F.lit(_BITMAP_BITS)).alias("bit"))
-        .groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
+        seen.select(F.floor(bit / _BITMAP_BITS).cast("int").alias("bucket"), F.pmod(bit, F.lit(_BITMAP_BITS)).alias("bit"))
+        .groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toLocalIterator()
     )
-    out = bytearray(SKETCH_BITS // 8)
+    out = bytearray(size // 8)
     for r in rows:
         out[r["bucket"] * 4096 : r["bucket"] * 4096 + 4096] = r["bits"]
     return bytes(out)
@@ -165,7 +209,8 @@ def _repeated(chunks: DataFrame) -> bytes:
 
 def _in(bits: np.ndarray, digests: list[bytes]) -> np.ndarray:
     """Which chunks are in the sketch; the first six bytes of a digest are its number there."""
-    place = np.array([int.from_bytes(x[:6], "big") for x in digests], dtype=np.int64) % SKETCH_BITS
+    first = np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, DIGEST)[:, :6].astype(np.int64)
+    place = (first << np.arange(40, -1, -8)).sum(axis=1) % (8 * len(bits))
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -180,10 +225,20 @@ def _chunked(column: pa.Array) -> Iterator[tuple[int, list[tuple[bytes, list[int
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key and chunk digests, one after the other, of each row."""
     for batch in batches:
-        for _, rows in _chunked(batch.column("text")):
-            counts = Counter(d for x in rows for d in x[2])
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["digest", "n"])
+        for first, rows in _chunked(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([batch.column("key")[first : first + len(rows)], pa.array([b"".join(r[2]) for r in rows], pa.binary())], names=["key", "digests"])
+
+
+def _parted(digests: bytes) -> list[bytes]:
+    return [digests[k : k + DIGEST] for k in range(0, len(digests), DIGEST)]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = Counter(d for x in batch.column("digests").to_pylist() for d in _parted(x))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["digest", "n"])
 
 
 def _shared_chunks(bits):
@@ -208,10 +263,11 @@ def _places(bits):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(bits.value, dtype=np.uint8)
         for batch in batches:
-            keys = batch.column("key").to_pylist()
-            for first, rows in _chunked(batch.column("text")):
-                held = {(keys[first + k], digests[i]) for k, (_, _, digests) in enumerate(rows) for i in np.flatnonzero(_in(sketch, digests)).tolist()}
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.binary())], names=["key", "digest"])
+            held = set()
+            for key, digests in zip(*(batch.column(c).to_pylist() for c in ("key", "digests")), strict=True):
+                parts = _parted(digests)
+                held.update((key, parts[i]) for i in np.flatnonzero(_in(sketch, parts)).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.binary())], names=["key", "digest"])
 
     return find
 
@@ -314,15 +370,16 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     ``ids`` are little-endian unsigned 32-bit values. A null text is empty and has no ids. Null and repeated ids
     are kept, one row for each input row; other columns are left out. An empty table gives no rows. The tokenizer
-    file has to lie at the same path on all machines; it must drop white space and have no decoder of its own.
+    file has to lie at the same path on all machines; one that keeps white space or has a decoder is refused.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    bits = spark.sparkContext.broadcast(_repeated(docs.select("text").mapInArrow(_digests, "digest binary, n long")))
+    digests = stored(docs.select("key", "text").mapInArrow(_digests, "key long, digests binary"), "digests")
+    bits = spark.sparkContext.broadcast(_repeated(digests.select("digests").mapInArrow(_counted, "digest binary, n long")))
     chunks = docs.select("text").mapInArrow(_shared_chunks(bits), "digest binary, chunk binary").groupBy("digest").agg(F.first("chunk").alias("chunk"))
     ids = chunks.mapInArrow(_encode_chunks(tokenizer_path), "digest binary, ids binary")
-    places = docs.select("key", "text").mapInArrow(_places(bits), "key long, digest binary").distinct()
+    places = digests.mapInArrow(_places(bits), "key long, digest binary").distinct()
     given = places.join(ids, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "ids")).alias("chunks"))
     result = OUTPUT if with_ids else RESULT
     own = docs.mapInArrow(_own(tokenizer_path, bits, with_ids), f"key long, packed binary, {result}")
