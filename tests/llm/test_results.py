@@ -14,10 +14,11 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidelog.llm import bpe, curves, decontaminate, langid, licenses, lm, minhash, queries, sharding, toxicity, warc
+from tidelog.llm import bpe, curves, decontaminate, langid, licenses, linear, lm, minhash, queries, sharding, toxicity, warc
 from tidelog.llm.common import Words, blocks
 
 DATA = "/root/testdata/sf0.001"
@@ -225,25 +226,63 @@ def test_lm_base_and_model(spark, texts):
     assert all(r.score < 0 for r in got)
 
 
-def test_lm_counts_all_training_rows(spark, texts, monkeypatch):
-    """Ids and pairs of symbols of every training row are in the model's tables, however small the attention's sample is."""
+def test_lm_learns_from_all_training_rows(spark, texts, monkeypatch):
+    """Counts of ids and pairs are over all training rows; the model is a distribution and beats its counts on held-out rows."""
     source = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coder, given = lm.Subwords.of(source), []
-    train = lm.train
-    monkeypatch.setattr(lm, "SAMPLE_ROWS", 5)
-    monkeypatch.setattr(lm, "STEPS", 2)
-    monkeypatch.setattr(lm, "train", lambda *a: given.append((a, train(*a))) or given[-1][1])
+    coder, given, models, drawn = lm.Subwords.of(source), [], [], []
+    frequencies, train, begin = lm.frequencies, lm.train, lm.begin
+    monkeypatch.setattr(lm, "frequencies", lambda *a: given.append(a) or frequencies(*a))
+    monkeypatch.setattr(lm, "train", lambda *a: models.append(train(*a)) or models[-1])
+    monkeypatch.setattr(lm, "begin", lambda model, x, goal: drawn.append(len(x)) or begin(model, x, goal))
     lm.score(spark.read.parquet(f"{DATA}/documents.parquet"), source)
-    (_, sampled, counts, pairs), model = given[0]
-    seen = [t or "" for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
-    assert len(sampled) < len(seen)
+    (counts, pairs), model = given[0], models[0]
+    ids = {i: np.array([*coder.encoding.encode_ordinary("".join(" " + w.decode() for w in lowered_words(t))), coder.end]) for i, t in texts.items()}
+    training = [x for i, x in ids.items() if zlib.crc32(str(i).encode()) % 10]
     want, after = collections.Counter(), collections.Counter()
-    for t in seen:
-        ids = [*coder.encoding.encode_ordinary("".join(" " + w.decode() for w in lowered_words(t))), coder.end]
-        want.update(ids)
-        after.update(zip([lm.SYMBOLS, *model.symbol[ids[:-1]].tolist()], model.symbol[ids].tolist(), strict=True))
+    for x in training:
+        want.update(x.tolist())
+        after.update(zip([lm.SYMBOLS, *model.symbol[x[:-1]].tolist()], model.symbol[x].tolist(), strict=True))
     assert {int(k): int(counts[k]) for k in np.flatnonzero(counts)} == want
     assert {(int(a), int(b)): int(pairs[a, b]) for a, b in np.argwhere(pairs)} == after
+    assert drawn == [min(lm.LEAST_WINDOWS, sum(-(-len(x) // lm.BLOCK) for x in training))]  # of a small table, all windows
+    one = lambda x: model.score(np.array(x, np.int64), np.array([0, len(x)]))[0]
+    for x in (training[0][:37].tolist(), []):
+        ends = np.arange(coder.size)
+        many = np.hstack([np.tile(np.array(x, np.int64), (coder.size, 1)), ends[:, None]])
+        logs = model.score(many.ravel(), np.arange(coder.size + 1) * many.shape[1])
+        assert abs(np.exp(logs - one(x)).sum() - 1) < 1e-3
+    held = [x for i, x in ids.items() if zlib.crc32(str(i).encode()) % 10 == 0]
+    assert np.allclose(model.score(np.concatenate(held), np.cumsum([0, *map(len, held)])), [one(x) for x in held], rtol=1e-4)
+    assert np.allclose([one(x) for x in held[:3]], [plain_attention(model, x) for x in held[:3]], rtol=1e-4)
+    full = sum(map(one, held))
+    model.weights = {n: np.zeros_like(v) if n in "om" else v for n, v in model.weights.items()}
+    assert full > sum(map(one, held))
+
+
+def plain_attention(model, ids):
+    """Log probability of a text, place by place, from the unfolded weights."""
+    w, total = model.weights, 0.0
+    before = np.append(lm.SYMBOLS, model.symbol[ids])
+    for i in range(len(ids)):
+        block = i // lm.BLOCK * lm.BLOCK - lm.BLOCK
+        seen = [before[k] if k > 0 else lm.SYMBOLS for k in range(block, i + 1)]
+        e = w["e"][seen]
+        z = (e @ w["k"]) @ (e[-1] @ w["q"]) / np.sqrt(lm.WIDTH) + w["d"][np.arange(len(seen))[::-1]]
+        share = np.exp(z - z.max())
+        h = np.maximum(share / share.sum() @ (e @ w["v"]) + e[-1] @ w["r"] + w["c"], 0)
+        cluster, member = divmod(int(model.number[ids[i]]), lm.SIDE)
+        for scores, at in ((h @ w["o"] + model.cluster_after[seen[-1]], cluster), (h @ w["m"][cluster] + model.member_after[seen[-1], cluster], member)):
+            total += scores[at] - np.log(np.exp(scores).sum())
+    return total + model.within[ids].sum()
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    rows = spark.range(50_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("id"), F.lit("x" * 100).alias("t"))
+    got = [r.id for r in linear.sample(rows, "id", 1200).collect()]
+    assert len(got) == len(set(got)) == 1200
+    assert linear.sample(rows.filter("id is null"), "id", 1200).count() == 1 and linear.sample(rows.limit(0), "id", 5).count() == 0
+    monkeypatch.setattr(linear, "SAMPLE_BYTES", 10_050)
+    assert linear.sample(rows, "id", 1200, "t").count() == 101
 
 
 def test_language_by_text_alone():

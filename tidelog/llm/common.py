@@ -20,9 +20,11 @@ _LOWER[65:91] += 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; sets a local one where the session names none."""
+    """A new folder under spark.checkpoint.dir; a local session that names none gets a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -153,3 +155,16 @@ def list_of(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Arra
     offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column whose rows hold the bytes of the next ``sizes`` values."""
+    offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
+    np.cumsum(sizes * values.dtype.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def flat_values(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, bounds of the rows among them) of a column of ``binaries``."""
+    data, offsets = buffers(column)
+    return np.frombuffer(data.tobytes(), dtype=kind), offsets // kind.itemsize

@@ -85,7 +85,7 @@ def train(texts: list[str | None], labels: list[str]) -> TextModel:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> TextModel:
     """The text model of a bounded sample of rows with a label."""
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lower(F.trim(label_col)).alias("_label")).filter("_label <> '' and _id is not null")
-    got = sample(rows, "_id", SAMPLE_ROWS).orderBy("_id", "_label", "_text").toArrow()
+    got = sample(rows, "_id", SAMPLE_ROWS, "_text").orderBy("_id", "_label", "_text").toArrow()
     return train(got["_text"].to_pylist(), got["_label"].to_pylist())
 
 

@@ -6,20 +6,37 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelog.llm.common import _LOWER, Words, buffers, mix, powers
 
 _LUT_BITS = 22
 
 
-def sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows of the whole table, chosen by a hash of ``key``: those of the smallest hashes.
+#: Bytes of text in a sample, but for its last row.
+SAMPLE_BYTES = 32 << 20
 
-    Rows of one key stay together, so that repeated keys may add some.
+
+def sample(df: DataFrame, key: str, rows: int, text: str | None = None) -> DataFrame:
+    """``rows`` rows at most, of different keys and from the whole table: those of the smallest hashes of ``key``.
+
+    Of the rows of one key the smallest stands for all, so that a key that is repeated often gives one row. If ``text``
+    names a column, the sample ends with the row in which its bytes reach SAMPLE_BYTES.
     """
     h = F.xxhash64(F.lit(17), F.col(key))
-    last = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return df.filter(h <= F.lit(last)) if last is not None else df
+    total, share = df.count(), 0.0
+    while True:
+        share = 16 * share or 2 * rows / max(total, 1)
+        part = df if share >= 1 else df.filter(h < F.lit(int((share - 0.5) * (1 << 64))))
+        last, found = part.select(h.alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h"), F.count(F.lit(1))).first()
+        if found == rows or share >= 1:
+            break
+    chosen = df.filter(h <= F.lit(last)) if last is not None else df.limit(0)
+    chosen = chosen.groupBy(h.alias("_h")).agg(F.min(F.struct(*df.columns)).alias("_row"))
+    if text:
+        ahead = F.sum(F.coalesce(F.octet_length(f"_row.{text}"), F.lit(0))).over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1))
+        chosen = chosen.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).filter(F.col("_ahead") < SAMPLE_BYTES)
+    return chosen.select("_row.*")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 200) -> np.ndarray:
