@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidelog.llm import bpe, curves, decontaminate, langid, licenses, lm, minhash, sharding, toxicity, warc
 from tidelog.llm.common import shared_folder
 
@@ -86,6 +87,11 @@ def test_language(docs, nothing):
     kept = langid.clean_documents(docs, model)
     assert kept.columns == docs.columns and kept.filter("doc_id = 0").count() == 1
     assert langid.clean_documents(nothing, model).count() == 0
+    for empty in (nothing, docs.withColumn("lang", F.lit(None).cast("string"))):  # no labels: nothing is told or rejected
+        model = langid.fit(empty)
+        told = langid.identify(empty.select("doc_id", *langid.of_documents()), model, ["doc_id"]).collect()
+        assert len(told) == empty.count() and not any(r.rejected for r in told)
+        assert langid.clean_documents(empty, model).count() == empty.count()
 
 
 def test_near_duplicates(docs, nothing):
@@ -97,6 +103,25 @@ def test_near_duplicates(docs, nothing):
     kept = minhash.keep_one(docs)
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     assert ids.count(3) == 1 and ids.count(None) == 2 and 26 not in ids and kept.columns == docs.columns
+    assert minhash.keep_one(nothing).count() == 0
+    # Two texts under one id: the copy goes, the other stays.
+    both = docs.filter("doc_id in (2, 4)").union(docs.filter("doc_id = 2").withColumn("doc_id", F.lit(7).cast("long"))).union(docs.filter("doc_id = 5").withColumn("doc_id", F.lit(7).cast("long")))
+    assert sorted((r.doc_id, r.text) for r in minhash.keep_one(both).collect()) == sorted([(2, PROSE[2]), (4, PROSE[4]), (7, PROSE[5])])
+
+
+def test_pipeline(spark, docs, nothing, labels, tmp_path):
+    items = spark.createDataFrame([(1, PROSE[2])], "item_id long, text string")
+    for name, table in (("some", docs), ("none", nothing), ("unlabelled", docs.withColumn("lang", F.lit(None).cast("string")))):
+        folder = f"file://{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        at = table
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            at = function(spark, at, folder)
+            assert at.columns == docs.columns, stage
+        got = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
+        assert got == set() if name == "none" else {0, 1, 3} <= got and 2 not in got
 
 
 def test_lm(docs, nothing):

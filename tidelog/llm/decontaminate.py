@@ -2,17 +2,20 @@
 
 A benchmark item of n words is contained in a document if some passage is within n // EDITS_PER word edits
 of it (a fifth, by default). Windows of an item's length are embedded by CGK random walks, which turn edit distance into
-Hamming distance; repeated samples of embedding places make the LSH tables whose number follows from the
-target recall. What collides is decided by the exact edit distance.
-
-Windows are laid where they can match at all: if n words differ by k edits, one of the k + 1 stretches
-between edits stays whole and has at least ceil((n - k) / (k + 1)) words, so that a window without such a run
-of the item's words is no match. This drops no match and keeps the work in proportion to the text. Documents are
+Hamming distance. Each LSH table has a walk of its own and samples places of the embedding; the sampled values name
+a bucket, and the items of a window's buckets are its candidates. The number of tables follows from the target recall
+and the least chance that two texts at the edit limit share a bucket. Candidates are decided by the exact edit distance.
+
+Only windows that can match at all are embedded: if n words differ by k edits, one of the k + 1 stretches
+between edits stays whole and has at least ceil((n - k) / (k + 1)) words, so that a match holds such a run of some item
+of its length, and begins so many words ahead of it as in the item. This drops no match and keeps the work in
+proportion to the text; ``everywhere`` embeds all windows. Documents are
 never shuffled; the benchmark goes to the tasks in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,15 +28,17 @@ from tidelog.llm.common import Words, blocks, grams, mix
 
 #: One edit is allowed for so many words of an item.
 EDITS_PER = 5
-#: LSH tables (random walks) and embedding places sampled in each; the tests measure the recall at the edit limit.
-TABLES, SAMPLED = 48, 2
+#: Share of the matches at the edit limit that the tables find at least; places sampled in each table, out of the first
+#: REACHED n steps of a walk over n words, most of which it takes before its text ends.
+RECALL, SAMPLED, REACHED = 0.99, 2, 1.5
 #: Text bytes of the benchmark that go to the tasks in one pass; a larger one takes several passes.
 ITEM_BYTES = 16 << 20
 _LUT_BITS = 20
 #: Letters, digits and all bytes beyond ASCII make words; punctuation doesn't.
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_SEEDS = np.random.default_rng(20240202).integers(1, 1 << 63, TABLES, dtype=np.uint64)
+#: Windows embedded at once.
+AT_ONCE = 256
 
 
 def allowed(n: int) -> int:
@@ -46,21 +51,37 @@ def run_length(n: int) -> int:
     return -(-(n - k) // (k + 1))
 
 
-def walks(symbols: np.ndarray, begins: np.ndarray, lengths: np.ndarray, steps: int) -> np.ndarray:
-    """CGK embeddings [table, window, step] of ``symbols[begin : begin + length]``; 0 past the end.
+def tables(n: int) -> int:
+    """LSH tables for items of n words.
 
-    At each step a walk writes its present symbol and moves on by a bit that depends on step and symbol alone.
+    Two texts at the edit limit share a bucket of a table with a chance of at least min(0.18, 0.7 / sqrt(n)), as
+    measured over random edits for lengths from 5 to 200.
     """
-    place = np.zeros((TABLES, len(begins)), dtype=np.int64)
-    out = np.zeros((TABLES, len(begins), steps), dtype=np.uint64)
-    top = len(symbols) - 1
-    for j in range(steps):
-        inside = place < lengths
-        now = np.where(inside, symbols[np.clip(begins + place, 0, top)], np.uint64(0))
-        out[:, :, j] = now
-        salt = _SEEDS * np.uint64(2 * j + 1)
-        place += ((mix(now ^ salt[:, None]) & np.uint64(1)) == 1) & inside
-    return out
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - min(0.18, 0.7 / math.sqrt(n))))
+
+
+def sampled_places(n: int) -> np.ndarray:
+    """[table, sample]: steps of the walks over n words whose symbols name the buckets."""
+    return np.sort(np.random.default_rng((20240203, n)).integers(0, max(1, int(REACHED * n)), (tables(n), SAMPLED)), axis=1)
+
+
+def buckets(symbols: np.ndarray, begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Bucket keys [table, window] of ``symbols[begin:end]``, embedded as texts of n words.
+
+    At each step a walk writes its present symbol and moves on by a bit that depends on table, step and symbol
+    alone; past the end it writes 0.
+    """
+    places = sampled_places(n)
+    seeds = mix(np.arange(1, len(places) + 1, dtype=np.uint64))[:, None]
+    at = np.repeat(begins[None], len(places), axis=0)
+    keys, top = np.zeros(at.shape, dtype=np.uint64), len(symbols) - 1
+    for j in range(int(places.max()) + 1):
+        now = np.where(at < ends, symbols[np.minimum(at, top)], np.uint64(0))
+        for k in range(SAMPLED):
+            rows = np.flatnonzero(places[:, k] == j)
+            keys[rows] = mix(keys[rows] + now[rows] + np.uint64(k + 1))
+        at += (mix(now ^ (seeds * np.uint64(2 * j + 1))) & np.uint64(1)).astype(np.int64)
+    return mix(keys ^ (seeds + np.uint64(n)))
 
 
 def edit_match(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -104,56 +125,62 @@ class Items:
             lut = np.zeros(1 << _LUT_BITS, dtype=bool)
             lut[keys & np.uint64((1 << _LUT_BITS) - 1)] = True
             self.runs[q] = keys[order], owner[order], place[order], lut
-        flat = np.concatenate([*self.words, np.zeros(1, np.uint64)])
-        begins = np.concatenate([[0], np.cumsum(self.sizes)])[:-1].astype(np.int64)
-        rng = np.random.default_rng(20240203)
-        self.places = np.stack([rng.integers(0, 3 * int(n), (TABLES, SAMPLED)) for n in self.sizes], axis=1) if kept else np.zeros((TABLES, 0, SAMPLED), np.int64)
-        self.samples = self._sampled(flat, begins, self.sizes, np.arange(len(self.ids)))
-
-    def _sampled(self, symbols: np.ndarray, begins: np.ndarray, lengths: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Embedding values at the sampled places of each window's item: [table, window, sample]."""
-        out = np.zeros((TABLES, len(begins), SAMPLED), dtype=np.uint64)
-        for k in range(0, len(begins), 256):
-            rows = slice(k, k + 256)
-            embedded = walks(symbols, begins[rows], lengths[rows], 3 * int(self.sizes[item[rows]].max()))
-            out[:, rows] = np.take_along_axis(embedded, self.places[:, item[rows]], axis=2)
-        return out
-
-    def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (text, item, first word in the block) of windows that share a run with their item."""
-        text, found = words.texts(), []
-        for q, (keys, owner, place, lut) in self.runs.items():
+        self.lengths = np.unique(self.sizes)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each length: sorted bucket keys of all tables, their items
+        for n in self.lengths.tolist():
+            mine = np.flatnonzero(self.sizes == n)
+            keys = buckets(np.concatenate([self.words[k] for k in mine]), np.arange(len(mine)) * n, np.arange(1, len(mine) + 1) * n, n).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.tables[n] = keys[order], np.tile(mine, len(keys) // len(mine))[order]
+
+    def windows(self, words: Words, everywhere: bool) -> np.ndarray:
+        """Distinct (text, length, first word in the block) of the windows to embed."""
+        text, found = words.texts(), [np.zeros((0, 3), np.int64)]
+        if everywhere:
+            found += [np.stack([text, np.full(len(text), n), np.arange(len(text))], axis=1) for n in self.lengths.tolist()]
+        for q, (keys, owner, place, lut) in self.runs.items() if not everywhere else ():
             runs = grams(words.hashes, q)
             hit = np.flatnonzero(lut[runs & np.uint64((1 << _LUT_BITS) - 1)])
             hit = hit[text[hit] == text[hit + q - 1]]
-            low, high = np.searchsorted(keys, runs[hit]), np.searchsorted(keys, runs[hit], side="right")
-            many = high - low
-            at = np.repeat(hit, many)
-            which = np.repeat(low, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-            found.append(np.stack([text[at], owner[which], at - place[which]], axis=1))
-        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-        return rows[:, 0], rows[:, 1], rows[:, 2]
-
-    def matches(self, words: Words) -> list[tuple[int, int, int, int, int]]:
+            at, which = _spread(keys, runs[hit])
+            found.append(np.stack([text[hit[at]], self.sizes[owner[which]], hit[at] - place[which]], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def candidates(self, words: Words, everywhere: bool = False) -> np.ndarray:
+        """Distinct (text, item, first word) of windows and items that share a bucket."""
+        rows, out = self.windows(words, everywhere), [np.zeros((0, 3), np.int64)]
+        for n, (keys, owner) in self.tables.items():
+            mine = rows[rows[:, 1] == n]
+            for k in range(0, len(mine), AT_ONCE):
+                text, _, start = mine[k : k + AT_ONCE].T
+                named = buckets(words.hashes, np.maximum(start, words.first[text]), np.minimum(start + n, words.first[text + 1]), n)
+                at, which = _spread(keys, named.ravel())
+                at %= len(text)
+                out.append(np.unique(np.stack([text[at], owner[which], start[at]], axis=1), axis=0))
+        return np.concatenate(out)
+
+    def matches(self, words: Words, everywhere: bool = False) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, first word, end word) of the best passage of each text and item within the limit."""
-        text, item, start = self.windows(words)
-        if not len(text):
-            return []
-        first, last = words.first[text], words.first[text + 1]
-        begin, end = np.maximum(start, first), np.minimum(start + self.sizes[item], last)
-        near = np.flatnonzero((self._sampled(words.hashes, begin, end - begin, item) == self.samples[:, item]).all(axis=2).any(axis=0))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k in near.tolist():
-            key, n = (int(text[k]), int(item[k])), int(self.sizes[item[k]])
-            if best.get(key, (1,))[0] == 0:
+        for text, item, start in self.candidates(words, everywhere).tolist():
+            n, most = int(self.sizes[item]), allowed(int(self.sizes[item]))
+            if best.get((text, item), (1,))[0] == 0:
                 continue
-            low, high = max(int(first[k]), int(start[k]) - 2 * allowed(n)), min(int(last[k]), int(start[k]) + n + 2 * allowed(n))
-            edits, a, b = edit_match(self.words[key[1]], words.hashes[low:high])
-            if edits <= allowed(n):
-                best[key] = min(best.get(key, (edits, low + a, low + b)), (edits, low + a, low + b))
+            low, high = max(int(words.first[text]), start - 2 * most), min(int(words.first[text + 1]), start + n + 2 * most)
+            edits, a, b = edit_match(self.words[item], words.hashes[low:high])
+            if edits <= most:
+                best[text, item] = min(best.get((text, item), (edits, low + a, low + b)), (edits, low + a, low + b))
         return [(*key, *value) for key, value in best.items()]
 
 
+def _spread(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in values, places in the sorted keys) of all equal pairs."""
+    low, high = np.searchsorted(keys, values), np.searchsorted(keys, values, side="right")
+    many = high - low
+    at = np.repeat(np.arange(len(values)), many)
+    return at, np.arange(len(at)) + np.repeat(low - np.cumsum(many) + many, many)
+
+
 _prepared: dict[int, Items] = {}
 
 

@@ -33,7 +33,7 @@ UND_PRIOR = 1e-3
 PULL = 20.0
 #: A row is rejected as long as no language reaches this posterior.
 LEAST_POSTERIOR = 0.5
-# Bytes that carry language (letters, white space, everything beyond ASCII); others read as a space.
+#: Bytes that carry language (letters, white space, everything beyond ASCII); others read as a space.
 _LETTER = np.full(256, 32, dtype=np.uint8)
 _LETTER[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
 
@@ -108,7 +108,8 @@ def of_pages() -> list[Column]:
     html, host = F.coalesce("html", F.lit("")), F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
     text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     declared = F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z-]+)", 1)
-    return evidence(text, host, F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), declared, F.regexp_extract(host, r"\.([^.]+)$", 1))
+    domain = F.regexp_extract(host, r"([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[A-Za-z]{2}|[^.]+))$", 1)
+    return evidence(text, host, domain, declared, F.regexp_extract(host, r"\.([^.]+)$", 1))
 
 
 def _text_posteriors(model):
@@ -182,10 +183,13 @@ def _with_evidence(df: DataFrame, model: TextModel) -> tuple[DataFrame, list[flo
 def identify(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
     """``keys`` of each row with language, posterior, declared language, text_chars and rejected.
 
-    ``df`` holds the columns of ``evidence``. A null text, or one without letters, is told by the other evidence
+    ``df`` holds the columns of ``evidence``. A model without languages, as of a table without labels, tells nothing: every row
+    is ``und``, its posterior null, and none is rejected. A null text, or one without letters, is told by the other evidence
     alone. Rejected are rows of language ``und`` and those whose best posterior is under LEAST_POSTERIOR. Repeated
     rows keep their rows and count as often; an empty table gives no rows.
     """
+    if not model.languages:
+        return df.select(*keys, F.lit(UND).alias("language"), F.lit(None).cast("double").alias("posterior"), F.col("_declared").alias("declared"), F.lit(False).alias("rejected"))
     rows, share, shared = _with_evidence(df, model)
     fields = [rows.schema[k] for k in keys]
 
@@ -202,7 +206,9 @@ def identify(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
 
 
 def clean_documents(df: DataFrame, model: TextModel) -> DataFrame:
-    """The rows of ``df``, all columns as they are, whose language is known."""
+    """The rows of ``df``, all columns as they are, whose language is known; all rows if the model has no languages."""
+    if not model.languages:
+        return df
     # The row travels as one column, so that its names can't clash with those of the evidence.
     rows, share, shared = _with_evidence(df.select(F.struct("*").alias("_row"), *of_documents()), model)
 

@@ -10,7 +10,8 @@
 4. The links give components. Buckets that still hold classes of several components are compared in full,
    between components, in blocks, by the same looks and the full sets; each block gives no more links than join
    its components. Blocks of the bucket's largest component meet those of the others alone, so that a large group
-   of copies with a few stragglers takes work in proportion to its size. The components are taken again then.
+   of copies with a few stragglers takes work in proportion to its size. Of buckets with the same members, one is
+   compared. The components are taken again then.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ VALUES = BANDS * ROWS
 BATCH = 15
 #: Posterior probability of a similarity at the threshold under which a pair is pruned.
 MISS = 1e-7
-#: Classes in one block of a comparison within a mixed bucket.
-BLOCK = 1024
+#: Classes in one block of a comparison within a mixed bucket, and bytes of their compressed texts.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 _random = np.random.default_rng(20240101)
 _FLIP = _random.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLY = _random.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,18 +80,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id")[first:last],
+                    batch.column("text_hash")[first:last],
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([set_digest(x) if len(x) else None for x in sets], pa.binary()),
                     pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sig"],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "sig"],
             )
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = _band_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype="<u2"))
-        yield pa.RecordBatch.from_arrays([long_array(keys.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], names=["bucket", "id"])
+        yield pa.RecordBatch.from_arrays([long_array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], names=["bucket", "band", "id"])
 
 
 @cache
@@ -250,17 +252,23 @@ def _texts_of(needed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
 
 def _across(bands: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links between classes of different components that share a bucket."""
-    of = bands.join(labels, bands.id == labels.node, "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    mixed = of.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high")
-    rows = stored(of.join(mixed.select("bucket", "members"), "bucket"), "mixed")
-    packed = _texts_of(rows.select("id"), classes, texts).groupBy("id", "digest").agg(F.first("packed").alias("packed"))
+    of = bands.join(labels, bands.id == labels.node, "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label"))
+    # A row for each mixed bucket. Of those with the same members, the one of the first band sees all of their pairs: a
+    # pair is looked at in the first bucket that it shares.
+    inside = of.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.min("band").alias("band"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("held"))
+    mixed = inside.groupBy("bucket").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("members"), F.max(F.struct("c", "label")).alias("most"), F.sum("held").alias("held")).filter("labels > 1")
+    mixed = stored(mixed.groupBy("members", "held").agg(F.min_by(F.struct("bucket", F.col("most.c").alias("within"), F.col("most.label").alias("main")), "band").alias("b")).select("b.*", "members"), "mixed")
+    rows = stored(of.join(mixed, "bucket"), "rows")
+    packed = stored(_texts_of(rows.select("id"), classes, texts).groupBy("id", "digest").agg(F.first("packed").alias("packed")), "packed")
     rows = rows.join(classes.select("id", "sig"), "id").join(packed.select("id", "packed"), "id")
     # Classes of a bucket's largest component need no comparison with one another: they take the blocks after those
     # of the other classes, and meet these alone. A bucket of a single block stays whole.
-    largest = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most")).select("bucket", F.col("most.c").alias("within"), F.col("most.label").alias("main"))
-    whole, inside = F.col("members") <= BLOCK, F.col("label") == F.col("main")
-    count = lambda c: F.ceil(c / BLOCK).cast("int")
-    rows = rows.join(largest, "bucket").withColumn("few", F.when(whole, 1).otherwise(count(F.col("members") - F.col("within")))).withColumn("many", F.when(whole, 0).otherwise(count(F.col("within"))))
+    inside, weight = F.col("label") == F.col("main"), F.octet_length("packed")
+    bytes_of = rows.groupBy("bucket").agg(F.sum(F.when(inside, weight).otherwise(0)).alias("main_bytes"), F.sum(weight).alias("bytes"))
+    rows = rows.join(stored(bytes_of, "bytes"), "bucket")
+    whole = (F.col("members") <= BLOCK) & (F.col("bytes") <= BLOCK_BYTES)
+    count = lambda c, size: F.greatest(F.ceil(c / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    rows = rows.withColumn("few", F.when(whole, 1).otherwise(count(F.col("members") - F.col("within"), F.col("bytes") - F.col("main_bytes")))).withColumn("many", F.when(whole, 0).otherwise(count(F.col("within"), F.col("main_bytes"))))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     rows = rows.withColumn("block", F.when(inside & ~whole, F.col("few") + place("many")).otherwise(place("few")))
     meets = F.col("few") + F.when(inside, 0).otherwise(F.col("many"))
@@ -272,19 +280,20 @@ def _across(bands: DataFrame, classes: DataFrame, labels: DataFrame, texts: Data
 
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and (digest, component) of all classes."""
-    sketches = stored(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, sig binary"), "sketches")
+    sketches = stored(docs.mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary"), "sketches")
     known = sketches.filter("doc_id is not null and digest is not null")
     classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
-    bands = stored(classes.select("id", "sig").mapInArrow(_bands, "bucket long, id long"), "bands")
-    leaders = bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = stored(bands.join(leaders, "bucket").select("bucket", "id", "leader"), "shared")
+    bands = stored(classes.select("id", "sig").mapInArrow(_bands, "bucket long, band int, id long"), "bands")
+    # Stored first, so that both sides of the join are plain exchanges, whose large partitions Spark splits.
+    leaders = stored(bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "leaders")
+    shared = stored(bands.join(leaders, "bucket").select("bucket", "band", "id", "leader"), "shared")
     stars = shared.filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
     links = _verified(stars, classes, docs, percent)
     labels = components(links)
-    more = stored(_across(shared.select("bucket", "id"), classes, labels, docs, percent), "across")
+    more = stored(_across(shared.select("bucket", "band", "id"), classes, labels, docs, percent), "across")
     if not more.isEmpty():
         labels = components(links.union(more))
-    return sketches, classes.join(labels, classes.id == labels.node, "left").select("digest", F.coalesce("label", "id").alias("component"))
+    return sketches, stored(classes.join(labels, classes.id == labels.node, "left").select("digest", F.coalesce("label", "id").alias("component")), "components")
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,28 +304,35 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     Rows with a null id join no component: component_id is null and kept is true. Ids are taken to name one text
     each, in one row or several; other texts under an id are grouped by their own sets. An empty table gives no rows.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = _components(df, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _components(df: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     sketches, of_class = _grouped(docs, percent)
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return (
-        sketches.select("doc_id", "n_shingles", "digest")
-        .join(of_class, "digest", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    rows = sketches.select("doc_id", "text_hash", "n_shingles", "digest")
+    # Rows without a set or an id are in no class; they are kept out of the join, where they would meet in one task.
+    alone = rows.filter("doc_id is null or digest is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    grouped = rows.filter("doc_id is not null and digest is not null").join(of_class, "digest").select("doc_id", "text_hash", "n_shingles", F.col("component").alias("component_id"))
+    return grouped.union(alone)
 
 
 def keep_one(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns as they are, that stand for their group of near-duplicates.
 
-    The document of the smallest id stays, in one row. Rows with a null id stay as they are.
+    The document of the smallest id stays, in one row. Rows are told apart by id and text: a row of another text under
+    an id stays or goes by its own group, and both stay if neither has a smaller id in its group. Rows with a null id
+    stay as they are.
     """
-    key = F.col(id_col).cast("long")
-    groups = near_duplicates(df, percent, id_col, text_col).filter("doc_id is not null")
-    groups = stored(groups.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("rows")), "groups")
-    gone = groups.filter("component <> doc_id").select(F.col("doc_id").alias("_gone"))
-    rest = df.join(gone, key == gone["_gone"], "left_anti")
-    twice = groups.filter("component = doc_id and rows > 1").select(F.col("doc_id").alias("_twice"))
-    if twice.isEmpty():
-        return rest
-    return rest.join(twice, key == twice["_twice"], "left_anti").unionByName(rest.join(twice, key == twice["_twice"], "left_semi").dropDuplicates([id_col]))
+    groups = _components(df, percent, id_col, text_col).filter("doc_id is not null")
+    groups = groups.groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component"), F.count(F.lit(1)).alias("rows"))
+    groups = stored(groups.filter("component <> doc_id or rows > 1"), "groups")
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    named = groups.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    rest = rows.join(named, ["_id", "_hash"], "left_anti").select("_row")
+    twice = groups.filter("component = doc_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    if not twice.isEmpty():
+        first = rows.join(twice, ["_id", "_hash"], "left_semi").groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
+        rest = rest.union(first.select("_row"))
+    return rest.select("_row.*")

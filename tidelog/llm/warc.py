@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import remove_at_exit, shared_folder
+from tidelog.llm.common import remove_at_exit, shared_folder, stored
 
 #: A file is closed once it holds so many bytes.
 FILE_BYTES = 64 << 20
@@ -40,7 +40,7 @@ INDEX_SCHEMA = T.StructType([
     T.StructField("record_type", T.StringType()),
     T.StructField("refers_to", T.LongType()),
 ])
-READ_SCHEMA = T.StructType([*INDEX_SCHEMA.fields, T.StructField("payload", T.BinaryType())])
+READ_SCHEMA = T.StructType([*INDEX_SCHEMA.fields, T.StructField("payload", T.BinaryType()), T.StructField("payload_bytes", T.LongType())])
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -49,7 +49,7 @@ def record_id(page_id: int | None, digest: str) -> str:
 
 
 def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or a revisit without one."""
+    """One WARC/1.1 record: a response with its payload, or a revisit with the HTTP header alone, which tells the payload's length."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     revisit = refers_to is not None
     block = http if revisit else http + payload
@@ -68,12 +68,13 @@ def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, ref
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (lower-case names) and payload of one record."""
+def parse(record: bytes) -> tuple[dict[str, str], bytes, int]:
+    """Header fields (lower-case names), payload, and the payload's length by the HTTP header of one record."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
-    block = rest[: int(fields["content-length"])]
-    return fields, block.partition(b"\r\n\r\n")[2]
+    named = lambda part: {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in part.decode().split("\r\n")[1:])}
+    fields = named(head)
+    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
+    return fields, payload, int(named(http)["content-length"])
 
 
 def _writer(folder: str):
@@ -85,7 +86,7 @@ def _writer(folder: str):
             for page_id, url, html, digest, first in zip(*(batch.column(k) for k in ("page_id", "url", "html", "digest", "first")), strict=True):
                 page_id, digest, first = page_id.as_py(), digest.as_py(), first.as_py()
                 refers_to = first if first is not None and first != page_id else None
-                payload = html.as_buffer().to_pybytes() if html.is_valid and refers_to is None else b""
+                payload = html.as_buffer().to_pybytes() if html.is_valid else b""
                 data = gzip.compress(record_bytes(page_id, url.as_py() or "", payload, digest, refers_to), 4, mtime=0)
                 if out is None:
                     # A name of its own for each attempt: files of lost attempts are in no index and never read.
@@ -121,13 +122,15 @@ def write_archive(pages: DataFrame, folder: str, min_payload: int = 0, id_col: s
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("html")).withColumn("sha1", F.sha1("html"))
-    firsts = (
-        rows.filter((F.octet_length("html") >= min_payload) & F.col("page_id").isNotNull())
-        .groupBy("sha1")
-        .agg(F.min("page_id").alias("first"))
-    )
+    # Only ids and digests are shuffled, and of these only the rows that revisit another come back to the pages.
+    ids = stored(rows.filter(F.octet_length("html") >= min_payload).select("page_id", "sha1"), "ids")
+    firsts = stored(ids.filter("page_id is not null").groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("pages")), "firsts")
+    several = firsts.filter("pages > 1").select("sha1", "first")
+    named = ids.join(several, "sha1").filter("page_id <> first").groupBy("page_id", "sha1").agg(F.min("first").alias("first"))
+    nameless = ids.filter("page_id is null").select("sha1").distinct().join(firsts.select("sha1", "first"), "sha1").select(F.lit(None).cast("long").alias("page_id"), "sha1", "first")
+    revisits = stored(named.union(nameless), "revisits").select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "first")
     to_base32 = F.pandas_udf(lambda s: s.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode()), T.StringType())
-    placed = rows.join(firsts, "sha1", "left").withColumn("first", F.when(F.octet_length("html") >= min_payload, F.col("first")))
+    placed = rows.join(revisits, rows.page_id.eqNullSafe(revisits["_page"]) & (rows.sha1 == revisits["_sha1"]), "left")
     _make_folder(spark, f"{folder}/records")
     index = placed.select("page_id", "url", "html", to_base32("sha1").alias("digest"), "first").mapInArrow(_writer(f"{folder}/records"), INDEX_SCHEMA)
     index.write.option("compression", "zstd").parquet(f"{folder}/index")
@@ -171,7 +174,7 @@ def _reader(folder: str):
                     data = source.read_at(length, offset)
                     got = rows[begin + first : begin + last]
                     for x in got:
-                        fields, x["payload"] = parse(gzip.decompress(data[x["offset"] - offset : x["offset"] - offset + x["length"]]))
+                        fields, x["payload"], x["payload_bytes"] = parse(gzip.decompress(data[x["offset"] - offset : x["offset"] - offset + x["length"]]))
                         x["record_type"], x["digest"] = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                     yield pa.RecordBatch.from_pylist(got, schema=_arrow(READ_SCHEMA))
                 begin = end
@@ -191,8 +194,8 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages to archives, read the records back through the index, and describe each page.
 
-    Size and digest of a response are computed from the payload that was read back; a revisit takes the size
-    from the response that it names. A record whose payload does not match its header's digest fails the job.
+    Size and digest of a response are computed from the payload that was read back; a revisit has them from its own
+    headers. A record whose payload does not match its headers fails the job.
     """
     folder = shared_folder(pages.sparkSession)
     index = write_archive(pages, folder)
@@ -200,17 +203,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests = [], []
-            for kind, named, payload in zip(batch.column("record_type").to_pylist(), batch.column("digest").to_pylist(), batch.column("payload"), strict=True):
+            for kind, named, size, payload in zip(*(batch.column(c).to_pylist() for c in ("record_type", "digest", "payload_bytes")), batch.column("payload"), strict=True):
                 data = payload.as_buffer()
-                found = base64.b32encode(hashlib.sha1(data).digest()).decode() if kind == "response" else named
-                if found != named:
-                    raise ValueError(f"payload of digest {found} under a header that says {named}")
-                sizes.append(data.size if kind == "response" else None)
-                digests.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), batch.column("record_type"), batch.column("refers_to"), batch.column("url")], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
-
-    read = read_archive(index, folder).mapInArrow(digest, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
-    cached = read.checkpoint(eager=True)
-    sizes = cached.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("of_response"))
-    return cached.join(sizes, "payload_digest", "left").select("page_id", F.coalesce("payload_bytes", "of_response").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "url")
+                if kind == "response" and (data.size, found := base64.b32encode(hashlib.sha1(data).digest()).decode()) != (size, named):
+                    raise ValueError(f"payload of {data.size} bytes and digest {found} under headers that say {size} and {named}")
+            yield batch.select(["page_id", "payload_bytes", "digest", "record_type", "refers_to", "url"]).rename_columns(["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
+
+    return read_archive(index, folder).mapInArrow(digest, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
