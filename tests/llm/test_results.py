@@ -341,14 +341,18 @@ def test_toxicity_on_held_out_rows():
     rows = duckdb.sql("select d.doc_id, text, toxic from '/root/testdata/sf0.01/documents.parquet' d join '/root/testdata/sf0.01/labels.parquet' using (doc_id) where lang = 'en' order by 1").fetchall()
     chain = toxicity.train([(t, y) for i, t, y in rows if i % 2])
     test = [(t, y) for i, t, y in rows if i % 2 == 0]
-    told = chain.probabilities(toxicity._features(chain.lookup(), [t for t, _ in test]))[:, -1] >= chain.threshold
+    p = chain.probabilities(toxicity._features(chain.lookup(), [t for t, _ in test]))
+    told = p[:, -1] >= chain.threshold
+    assert chain.gain > -0.01 and all(0.05 < (p[told, k] > 0.5).mean() for k in range(2))  # both kinds are found among toxic rows
     y = np.array([v for _, v in test]) == 1
     assert (told & ~y).sum() <= 0.02 * (~y).sum() and (told & y).sum() >= 0.7 * y.sum()
 
 
 def test_licences(spark, texts):
     model = licenses.train([t for i, t in sorted(texts.items())][:50])
-    notes = {"apache": "Licensed under the Apache License, Version 2.0.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "cc-by-sa": "This page is licensed under CC BY-SA 4.0", "mit": "Foo is released under the MIT License.", "unknown": "The license of the pub was granted."}
+    notes = {"apache": "Licensed under the Apache License, Version 2.0.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "cc-by-sa": "This page is licensed under CC BY-SA 4.0", "mit": "Foo is released under the MIT License.", "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted.", "unknown": "The license of the pub was granted."}
+    denials = ["This tool is not licensed under the MIT License.", "It is not released under the GNU General Public License."]
+    assert [r.licenses for r in licenses.scan(spark.createDataFrame(list(enumerate(denials)), "doc_id long, text string"), model).collect()] == [[], []]
     df = spark.createDataFrame([(k, f"Some words first.\n{t}\nAnd more.") for k, t in enumerate(notes.values())], "doc_id long, text string")
     assert [r.license for r in licenses.scan(df, model).orderBy("doc_id").collect()] == list(notes)
 

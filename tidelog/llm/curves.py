@@ -2,8 +2,9 @@
 
 Vectors are scaled to length one, turned by a random rotation, cut to a few coordinates, shifted, and put in
 the order of a Hilbert curve; this is done for several rotations. In each order, Spark range-partitions the keys and
-every query is compared with the rows within a window of positions around it, which grows with the table. The windows' best rows of all
-curves are merged and ranked by their exact cosine.
+every query is compared with the rows within a window of positions around it, which grows with the table. The curves carry
+ids and vectors of a byte a component; the windows' best rows of all curves are merged, and the vectors themselves are
+fetched once, for the best of these, which are ranked by their exact cosine.
 
 Equal vectors are one point on the curves, so that copies can't fill a window; their ids come back at the end.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm.common import stored
+from tidelog.llm.common import binaries, stored
 
 #: Orders, coordinates on each curve, bits of a coordinate.
 CURVES, COORDINATES, BITS = 24, 16, 3
@@ -28,6 +29,10 @@ CURVES, COORDINATES, BITS = 24, 16, 3
 BLOCK, MOST_BLOCK, SCORES = 2048, 1 << 15, 1 << 19
 
 
+#: Rows kept by their byte vectors for each row asked for, before the exact ranking.
+SPARE = 4
+
+
 def reach(rows: int, k: int) -> int:
     """Positions compared on each side of a query.
 
@@ -97,6 +102,7 @@ def _packed(vector: str, dim: int):
 
 
 def _matrix(packed: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of a column whose rows are all floats or all doubles."""
     data = b"".join(packed.to_pylist())
     kind = "<f4" if len(packed) and len(data) == 4 * dim * len(packed) else "<f8"
     return np.frombuffer(data, dtype=kind).reshape(-1, dim).astype(np.float64)
@@ -111,8 +117,9 @@ def _keyed(dim: int):
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit = _unit(_matrix(batch.column("packed"), dim))
+            codes = binaries(np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True, initial=0))).astype(np.int8), np.full(len(unit), dim)) if len(unit) else pa.array([], pa.binary())
             for curve in range(CURVES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), curve, np.int32)), pa.array(curve_keys(unit, curve)), *(batch.column(c) for c in ("id", "asks", "packed"))], names=["curve", "key", "id", "asks", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), curve, np.int32)), pa.array(curve_keys(unit, curve)), batch.column("id"), batch.column("asks"), codes], names=["curve", "key", "id", "asks", "codes"])
 
     return key
 
@@ -122,29 +129,49 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         place = np.arange(n, n + batch.num_rows)
         n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("curve", "id", "asks", "packed")), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(place)], names=["curve", "id", "asks", "packed", "part", "place"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("curve", "id", "asks", "codes")), pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(place)], names=["curve", "id", "asks", "codes", "part", "place"])
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """[a, b] cosines in double precision."""
+    a, b = _scaled(a), _scaled(b)
     return a @ b.T / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which change no digit, so that squares of very large or small numbers stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
+def _exact(dim: int):
+    """The cosine of each pair of vectors."""
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_scaled(_matrix(batch.column(c), dim)) for c in ("asked", "packed"))
+            score = (a * b).sum(axis=1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("id"), pa.array(score, pa.float64())], names=["query", "id", "score"])
+
+    return exact
+
+
 def _ranked(dim: int, k: int, within: int):
-    """Each query's best rows within its window in one block."""
+    """Each query's best rows, by their byte vectors, within its window in one block."""
 
     def rank(table: pa.Table) -> pa.Table:
         asks = table["role"].to_numpy() == 1
         ids, pos = table["id"].to_numpy(), table["pos"].to_numpy()
-        x = _matrix(table["packed"].combine_chunks(), dim)
+        x = np.frombuffer(b"".join(table["codes"].to_pylist()), dtype=np.int8).reshape(-1, dim).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
         q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
         for rows in np.array_split(q, max(1, len(q) * len(c) // SCORES)):
             if not len(rows) or not len(c):
                 continue
-            score = cosines(x[rows], x[c])
+            score = x[rows] @ x[c].T
             score[(np.abs(pos[rows][:, None] - pos[c]) > within) | (ids[rows][:, None] == ids[c])] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids[c], score.shape), -score), axis=1)[:, :k]
+            most = min(k, len(c))
+            order = np.argpartition(-score, most - 1, axis=1)[:, :most]
             best = np.take_along_axis(score, order, axis=1)
             good = np.isfinite(best)
             out.append((np.repeat(ids[rows], good.sum(axis=1)), ids[c][order[good]], best[good]))
@@ -167,9 +194,9 @@ def search(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", v
     members = stored(rows.mapInArrow(_packed("vector", dim), "vec_id long, packed binary"), "members")
     asks = F.pmod("vec_id", F.lit(every)) == 0
     classes = stored(members.groupBy("packed").agg(F.min("vec_id").alias("id"), F.max(asks).alias("asks")), "classes")
-    curves = classes.mapInArrow(_keyed(dim), "curve int, key long, id long, asks boolean, packed binary")
+    curves = classes.mapInArrow(_keyed(dim), "curve int, key long, id long, asks boolean, codes binary")
     ordered = curves.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
-    ordered = stored(ordered.mapInArrow(_numbered, "curve int, id long, asks boolean, packed binary, part int, place long"), "ordered")
+    ordered = stored(ordered.mapInArrow(_numbered, "curve int, id long, asks boolean, codes binary, part int, place long"), "ordered")
     counts = sorted((r["part"], r["n"]) for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
     total = sum(n for _, n in counts) // CURVES
     begins, seen = [], 0
@@ -181,20 +208,24 @@ def search(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", v
     within = reach(total, k)
     size = min(max(BLOCK, within // 4), MOST_BLOCK)
     block = lambda c: F.floor(c / size)
-    rest = ["curve", "pos", "id", "packed"]
+    rest = ["curve", "pos", "id", "codes"]
     near = placed.select(block(F.col("pos")).alias("block"), F.lit(0).alias("role"), *rest)
     last = block(F.lit(max(total - 1, 0)))
     span = F.sequence(block(F.greatest(F.col("pos") - within, F.lit(0))), F.least(block(F.col("pos") + within), last))
     asking = placed.filter("asks").select(F.explode(span).alias("block"), F.lit(1).alias("role"), *rest)
-    found = near.union(asking).groupBy("curve", "block").applyInArrow(_ranked(dim, k, within), "query long, id long, score double")
+    found = near.union(asking).groupBy("curve", "block").applyInArrow(_ranked(dim, SPARE * k, within), "query long, id long, score float")
     merged = found.groupBy("query", "id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    merged = merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("query", "id", "score")
+    merged = merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= SPARE * k).select("query", "id")
+    merged = merged.union(classes.filter("asks").select(F.col("id").alias("query"), "id"))  # copies of a query's own vector
+    vectors = classes.select("id", "packed")
+    merged = merged.join(vectors.select(F.col("id").alias("query"), F.col("packed").alias("asked")), "query").join(vectors, "id")
+    merged = merged.select("query", "id", "asked", "packed").mapInArrow(_exact(dim), "query long, id long, score double")
+    merged = stored(merged, "merged")
     # Back from classes to rows: the smallest ids of each class are enough for a list of k.
     of = members.join(classes.select("packed", "id"), "packed").select("id", "vec_id").distinct()
     few = of.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).filter(F.col("r") <= k + 1).select("id", "vec_id")
-    own = classes.filter("asks").select(F.col("id").alias("query"), "id", F.lit(1.0).alias("score"))
-    lists = merged.union(own).join(few, "id").select("query", "vec_id", "score")
+    lists = merged.join(few, "id").select("query", "vec_id", "score")
     top = lists.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
     queries = of.filter(asks).select(F.col("id").alias("query"), F.col("vec_id").alias("query_id"))
     final = queries.join(top.select("query", "vec_id", "score"), "query").filter("query_id <> vec_id")

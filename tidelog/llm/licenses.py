@@ -23,8 +23,10 @@ from tidelog.llm.decontaminate import _WORD
 from tidelog.llm.linear import Lookup, fit_logistic, sample, softmax, texts_of
 
 UNKNOWN = "unknown"
-#: Documents that give the unknown class its paragraphs, and paragraphs taken from each at most.
-SAMPLE_ROWS, PARAGRAPHS = 800, 10
+#: Documents that give the unknown class its lines, and lines taken from all of them at most.
+SAMPLE_ROWS, SAMPLE_LINES = 800, 8000
+#: A word that stands in one of so many lines of the corpus is no feature by itself.
+COMMON = 200
 #: Variants of each template in the training set.
 VARIANTS = 60
 ORDERS = (1, 2, 3)
@@ -32,7 +34,7 @@ LEAST_PROBABILITY = 0.5
 #: Share of a template's n-grams that the paragraph must hold.
 LEAST_COVER = 0.5
 
-# Notices by which works are put under licences of each family.
+# Notices by which works are put under licences of each family.
 TEMPLATES = {
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
@@ -68,6 +70,11 @@ TEMPLATES = {
         "SPDX-License-Identifier: BSD-3-Clause",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
@@ -95,7 +102,7 @@ TEMPLATES = {
         "All rights reserved. Unauthorized copying of this file is strictly prohibited.",
     ),
 }
-# Sentences on licences that put nothing under one.
+# Sentences on licences that put nothing under one.
 OTHERS = (
     "The city council granted a license to the new restaurant.",
     "Please read the terms of service before you use this website.",
@@ -104,6 +111,9 @@ OTHERS = (
     "The library is free and open to the general public.",
     "This work is under review and may be modified.",
 )
+# Beginnings and ends of sentences that deny a notice; the runs of words that begin with their "not" are features.
+DENIED = ("This work is not licensed under the", "This software is not released under the", "It is not distributed under the", "This program is not licensed under a", "This file is not subject to the")
+NAMES = ("Apache License, Version 2.0.", "MIT License.", "GNU General Public License, version 3.", "GNU Lesser General Public License, version 2.1.", "GNU Affero General Public License.", "BSD 3-Clause License.", "ISC License.", "Mozilla Public License 2.0.", "Creative Commons Attribution 4.0 International License.", "CC0 1.0 Universal.")
 FAMILIES = (*TEMPLATES, UNKNOWN)
 #: Words that a notice may run on for after the line in which it begins: those of any template.
 SPAN = max(len(t.replace("-", " ").replace("/", " ").replace(".", " ").split()) for ts in TEMPLATES.values() for t in ts)
@@ -203,7 +213,29 @@ def _variants(text: str, rng: np.random.Generator, fillers: list[str]) -> Iterat
         yield " ".join([*before, *mid, *after])
 
 
-def train(corpus: list[str]) -> Model:
+def template_words() -> np.ndarray:
+    """Hashes of the templates' words."""
+    return np.unique(Words(*texts_of([t for ts in TEMPLATES.values() for t in ts]), _WORD).hashes)
+
+
+def word_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How often each of the templates' words stands in all texts, and the number of their lines."""
+    names = texts.sparkSession.sparkContext.broadcast(template_words())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(names.value)
+        sums, lines = np.zeros(len(names.value), np.int64), 0
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(0)):
+                sums += np.bincount(lookup.find(Words(data, offsets, _WORD).hashes)[1], minlength=len(sums))
+                lines += len(paragraphs(data, offsets)[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(sums))), pa.array(np.append(lines, sums))], names=["word", "n"])
+
+    got = {r["word"]: r["n"] for r in texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return np.array([got.get(k, 0) for k in range(len(names.value))]), got.get(-1, 0)
+
+
+def train(corpus: list[str], counts: np.ndarray | None = None, lines: int = 0) -> Model:
     """Fit on variants of the templates and on paragraphs of the corpus; every fifth row is held out to calibrate."""
     rng = np.random.default_rng(20240401)
     fillers = [w for t in (*corpus[:50], *OTHERS) for w in t.split()[:20]]
@@ -213,7 +245,8 @@ def train(corpus: list[str]) -> Model:
             for v in _variants(t, rng, fillers):
                 texts.append(v)
                 y.append(k)
-    for t in (*corpus, *(o for o in OTHERS for _ in range(VARIANTS))):
+    denied = [f"{a} {b}" for a in DENIED for b in NAMES]
+    for t in (*corpus, *(o for o in OTHERS for _ in range(VARIANTS)), *denied * (VARIANTS // 5)):
         texts.append(t)
         y.append(len(FAMILIES) - 1)
     y = np.array(y)
@@ -223,10 +256,13 @@ def train(corpus: list[str]) -> Model:
     words, keys = _keys(*texts_of(templates))
     owner = words.texts()
     parts = [k[owner[: len(k)] == owner[n - 1 :]] for n, k in zip(ORDERS, keys, strict=True)]
-    common = Words(*texts_of([*corpus, *OTHERS]), _WORD)
-    names, seen = np.unique(common.hashes, return_counts=True)
-    single = grams(names[seen >= max(3, len(corpus) // 200)], 1)
-    known = np.unique(np.concatenate([parts[0][~np.isin(parts[0], single)], *parts[1:]]))
+    if counts is None:  # of the given paragraphs alone
+        common, lines = Lookup(template_words()), len(corpus)
+        counts = np.bincount(common.find(Words(*texts_of(corpus), _WORD).hashes)[1], minlength=len(common.keys))
+    single = grams(template_words()[counts >= max(3, lines / COMMON)], 1)
+    denying, against = _keys(*texts_of([t[t.index("not ") :].rpartition(" ")[0] for t in DENIED]))
+    first = denying.first[:-1]
+    known = np.unique(np.concatenate([parts[0][~np.isin(parts[0], single)], *parts[1:], *(against[n - 1][first] for n in ORDERS[1:])]))
     lookup = Lookup(known)
     which, x = _rows(lookup, *_hits(lookup, *_keys(*texts_of(texts))))
     full = np.zeros((len(texts), len(known)), np.float32)
@@ -241,13 +277,16 @@ def train(corpus: list[str]) -> Model:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model whose unknown class is trained on paragraphs of a bounded sample of the documents.
+    """A model whose unknown class is trained on whole lines of a bounded sample, chosen by a hash from whole texts.
 
-    Lines that name a licence word are left out of it: they may be notices.
+    Lines that name a licence word are left out of it: they may be notices. The words that are too common to be
+    features are counted over all documents.
     """
-    rows = sample(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null"), "_id", SAMPLE_ROWS)
-    lines = rows.select("_id", F.explode(F.slice(F.split("_text", r"[\r\n]+"), 1, PARAGRAPHS)).alias("_line")).filter("trim(_line) <> ''").filter(~F.col("_line").rlike(r"(?i)licen[cs]e|copyright|rights|permi|redistrib|spdx|public domain|\bcc"))
-    return train(sorted(r[0] for r in lines.distinct().select(F.substring("_line", 1, 2000)).collect()))
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text is not null")
+    rows = sample(texts.filter("_id is not null"), "_id", SAMPLE_ROWS, "_text")
+    lines = rows.select(F.explode(F.split("_text", r"[\r\n]+")).alias("_line")).filter("trim(_line) <> ''").filter(~F.col("_line").rlike(r"(?i)licen[cs]e|copyright|rights|permi|redistrib|spdx|public domain|\bcc"))
+    lines = lines.distinct().orderBy(F.xxhash64("_line"), "_line").limit(SAMPLE_LINES)
+    return train(sorted(r[0] for r in lines.collect()), *word_counts(texts.select("_text")))
 
 
 FOUND = "array<struct<family:string,probability:double,cover:double,confirmed:boolean,start_byte:long,end_byte:long>>"

@@ -4,8 +4,9 @@ The categories are predicted one after the other, the last being the labelled on
 regression on counts of chosen words and word beginnings and on the logits of the earlier links. In training,
 these come from models that have not seen the row (out of fold), as they do in use.
 
-The labels name no category besides toxic. A toxic document counts as a case of an earlier category if it
-holds a word of that category's list.
+The labels name no category besides toxic. The earlier categories are kinds of toxic wording found in the data: the
+chosen words are parted by how they stand together in labelled toxic rows, and a toxic row is a case of each kind
+that a fair share of its chosen words belongs to.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import Words, blocks
 from tidelog.llm.decontaminate import _WORD
-from tidelog.llm.linear import Lookup, fit_logistic, logit, sample, softmax, texts_of, word_starts
+from tidelog.llm.linear import Lookup, fit_logistic, logit, sample, softmax, word_starts
 
 #: Labelled rows that the chain is fitted on at most (more only where ids repeat).
 SAMPLE_ROWS = 6000
@@ -28,12 +29,9 @@ FEATURES = 512
 FOLDS = 4
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
-# Word lists that name the earlier categories.
-CATEGORY_WORDS = {
-    "contempt": ("trash", "worthless", "scum", "pathetic", "disgusting", "garbage", "vermin"),
-    "insult": ("idiot", "stupid", "clown", "loser", "moron", "dumb", "fool"),
-}
-CATEGORIES = (*CATEGORY_WORDS, "toxic")
+CATEGORIES = ("kind_1", "kind_2", "toxic")
+#: Share of a toxic row's chosen words that makes it a case of a kind.
+LEAST_SHARE = 1 / 3
 
 
 def _keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +53,8 @@ class Chain:
     keys: np.ndarray
     links: list[np.ndarray]
     threshold: float
+    #: Out-of-fold log loss of the last link without the earlier categories less that with them.
+    gain: float = 0.0
 
     def lookup(self) -> Lookup:
         return Lookup(self.keys)
@@ -111,6 +111,22 @@ def _association(seen: np.ndarray, pos: np.ndarray, n: int, positives: int) -> n
     return np.where((pos > expected) & (seen > 2), np.nan_to_num(g), 0.0)
 
 
+def kinds(x: np.ndarray) -> list[np.ndarray]:
+    """Cases (0/1 of each row) of the earlier categories among toxic rows with features x.
+
+    The features are parted by the sign of the main direction in which their columns, scaled to length one, differ.
+    """
+    columns = x / np.maximum(np.linalg.norm(x, axis=0), 1e-9)
+    columns = columns - columns.mean(axis=1, keepdims=True)
+    v = np.linspace(1, 2, len(x))
+    for _ in range(50):
+        v = columns @ (v @ columns)
+        v /= np.linalg.norm(v) + 1e-12
+    side = v @ columns > 0
+    total = np.maximum(x.sum(axis=1), 1e-9)
+    return [(x[:, part].sum(axis=1) / total >= LEAST_SHARE).astype(np.int64) for part in (side, ~side)]
+
+
 def train(labelled: list[tuple[str | None, int]]) -> Chain | None:
     """Fit the chain on (text, toxic 0/1) rows; None if either class has fewer than FOLDS rows."""
     texts, toxic = [t or "" for t, _ in labelled], np.array([y for _, y in labelled], dtype=np.int64)
@@ -121,23 +137,25 @@ def train(labelled: list[tuple[str | None, int]]) -> Chain | None:
         return None
     chain = Chain(keys, [], 0.5)
     x = _features(chain.lookup(), texts)
-    labels = []
-    for words in CATEGORY_WORDS.values():
-        known = Lookup(Words(*texts_of(list(words)), _WORD).hashes)
-        has = np.zeros(len(texts), np.int64)
-        for first, _, data, offsets in blocks(pa.array(texts, pa.large_string())):
-            found = Words(data, offsets, _WORD)
-            has[first + found.texts()[known.find(found.hashes)[0]]] = 1
-        labels.append(has * toxic)
+    rows, labels = np.flatnonzero(toxic == 1), []
+    for cases in kinds(x[rows]):
+        labels.append(np.zeros(len(texts), np.int64))
+        labels[-1][rows] = cases
     fold = np.random.default_rng(20240301).permutation(len(texts)) % FOLDS
-    earlier = np.zeros((len(texts), 0), np.float32)
-    for y in [*labels, toxic]:
-        inputs, out = np.hstack([x, logit(earlier)]).astype(np.float32), np.zeros(len(texts), np.float32)
+
+    def out_of_fold(inputs: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(texts), np.float32)
         for k in range(FOLDS):
             held = fold == k
             out[held] = softmax(np.hstack([inputs[held], np.ones((held.sum(), 1), np.float32)]) @ _fit(inputs[~held], y[~held]).T)[:, 1]
+        return out
+
+    earlier = np.zeros((len(texts), 0), np.float32)
+    for y in [*labels, toxic]:
+        inputs = np.hstack([x, logit(earlier)]).astype(np.float32)
         chain.links.append(_fit(inputs, y))
-        earlier = np.hstack([earlier, out[:, None]])
+        earlier = np.hstack([earlier, out_of_fold(inputs, y)[:, None]])
+    chain.gain = _loss(out_of_fold(x, toxic), toxic) - _loss(earlier[:, -1], toxic)
     chain.threshold = best_threshold(earlier[:, -1], toxic)
     return chain
 
@@ -150,6 +168,10 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return fit_logistic(x, y, ridge=0.2, rounds=150)
 
 
+def _loss(p: np.ndarray, y: np.ndarray) -> float:
+    return float(-np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-6, 1)).mean())
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The middle of the gap in which F0.5 (precision counts twice) on out-of-fold predictions is best."""
     order = np.argsort(-p)
@@ -186,7 +208,7 @@ def _scores(chain, column: pa.Array) -> np.ndarray:
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """(doc_id, p_contempt, p_insult, p_toxic, toxic) of each row.
+    """(doc_id, p_kind_1, p_kind_2, p_toxic, toxic) of each row.
 
     A null or empty text has no features and gets the base rates. Labels that are null or have no document are
     left out of the training; with too few labels of either class, all probabilities are 0 and nothing is toxic.
