@@ -296,3 +296,23 @@ TECHNIQUES = (
     Technique("T1046", "Network Service Discovery", "https://attack.mitre.org/techniques/T1046/", "Segnalazioni esplicite di scansione oppure connessioni in uscita verso molte destinazioni o porte; verificare lo scopo della scansione."),
     Technique("T1071.004", "Application Layer Protocol: DNS", "https://attack.mitre.org/techniques/T1071/004/", "Segnalazioni esplicite di tunnel/beacon DNS; semplici errori DNS non soddisfano la regola."),
 )
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """A rule catalogue: the given one, or another one of the same kind."""
+
+    categories: tuple[Category, ...] = CATEGORIES
+    causes: tuple[Cause, ...] = CAUSES
+    techniques: tuple[Technique, ...] = TECHNIQUES
+    other: str = OTHER
+    other_label: str = OTHER_LABEL
+    version: str = VERSION
+    reviewed: str = REVIEWED
+
+    @property
+    def labels(self) -> dict[str, str]:
+        return {**{c.id: c.label for c in self.categories}, self.other: self.other_label}
+
+
+DEFAULT = Catalog()

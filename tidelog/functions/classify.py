@@ -16,7 +16,7 @@ _STARTED = r"\b(?:process|service|daemon|server|processo|servizio)\b.{0,60}\b(?:
 _STARTED_FIRST = r"^(?:started|avviato)\b"
 
 
-def classify(process: Column, message: Column, categories: tuple[Category, ...] = CATEGORIES) -> Column:
+def classify(process: Column, message: Column, categories: tuple[Category, ...] = CATEGORIES, other: str = OTHER) -> Column:
     """The first category, in the catalogue's order, that a message falls under; ``other`` if there is none."""
     context = F.concat(process, F.lit(" "), message)
     cases = []
@@ -24,7 +24,7 @@ def classify(process: Column, message: Column, categories: tuple[Category, ...]
         hit = any_of([t.rlike(FLAGS + p) for p in c.patterns for t in (message, context)])
         shut = any_of([message.rlike(FLAGS + p) for p in c.exclude])
         cases.append(F.when(hit & ~shut if c.exclude else hit, c.id))
-    return F.coalesce(*cases, F.lit(OTHER))
+    return F.coalesce(*cases, F.lit(other))
 
 
 def message_template(message: Column) -> Column:

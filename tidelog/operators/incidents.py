@@ -1,7 +1,8 @@
 """Dossiers of the reported windows: distributions, hypotheses, login sequences and evidence.
 
 The reported windows are few (their number is a limit of the report), so that their keys go to the events by
-broadcast; events of a window are aggregated and ranked, never gathered in one row.
+broadcast; events of a window are aggregated and ranked, never gathered in one row. Under a scope, windows are told
+apart by scope and incident_id, and events always by source and row.
 """
 
 from __future__ import annotations
@@ -10,74 +11,72 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.catalog import CATEGORIES, CAUSES, OTHER, OTHER_LABEL, TECHNIQUES
+from tidelog.catalog import DEFAULT, Catalog
 from tidelog.functions.text import UNKNOWN
-from tidelog.operators.windows import bucket_of, usable
+from tidelog.operators.windows import AT, bucket_of, small, usable
 from tidelog.schema import LOOKBACK, MOST_EVIDENCE, Params
 
-LABELS = {**{c.id: c.label for c in CATEGORIES}, OTHER: OTHER_LABEL}
 #: Distributions of a dossier: field, column, entries at most, and whether only events with an endpoint count.
 FIELDS = (
     ("category", F.col, "category", None), ("facility", F.col, "facility", None), ("severity", F.col, "severity", None), ("template", F.col, "template", 10),
     ("direction", F.col, "network.direction", None), ("source", F.col, "network.src", 10), ("destination", F.col, "network.dst", 10),
 )
-_AT = ["timestamp", "row"]
 
-
-def label(name: Column) -> Column:
+def label(name: Column, catalog: Catalog = DEFAULT) -> Column:
     out = name
-    for k, v in LABELS.items():
+    for k, v in catalog.labels.items():
         out = F.when(name == k, v).otherwise(out)
     return out
 
 
 def incident_events(events: DataFrame, top: DataFrame, params: Params, scope: tuple[str, ...] = ()) -> DataFrame:
-    """The events of the reported windows, with incident_id. ``top`` has MOST_INCIDENTS rows at most."""
+    """The events of the reported windows, with incident_id. ``top`` has MOST_INCIDENTS rows at most, for each scope."""
     keys = [*scope, "host_key", "bucket"]
     rows = usable(events).withColumn("bucket", bucket_of(F.col("timestamp"), params.seconds))
-    return rows.join(F.broadcast(top.select(*keys, "incident_id")), keys)
+    return rows.join(small(top.select(*keys, "incident_id"), scope), keys)
 
 
 def previous_categories(events: DataFrame, top: DataFrame, params: Params, scope: tuple[str, ...] = ()) -> DataFrame:
-    """(incident_id, category, count) over the 12 windows before each reported window of the same host."""
+    """(scope, incident_id, category, count) over the 12 windows before each reported window of the same host."""
     counts = usable(events).groupBy(*scope, "host_key", bucket_of(F.col("timestamp"), params.seconds).alias("bucket"), "category").agg(F.count(F.lit(1)).alias("n"))
     t = top.select(*[F.col(c).alias(f"_{c}") for c in (*scope, "host_key")], F.col("bucket").alias("_bucket"), "incident_id")
     same = [F.col(c) == F.col(f"_{c}") for c in (*scope, "host_key")]
     near = F.col("bucket").between(F.col("_bucket") - LOOKBACK * params.seconds, F.col("_bucket") - params.seconds)
-    found = counts.join(F.broadcast(t), [*same, near]).groupBy("incident_id", "category").agg(F.sum("n").alias("count"))
+    found = counts.join(small(t, scope), [*same, near]).groupBy(*scope, "incident_id", "category").agg(F.sum("n").alias("count"))
     return found if params.use_history else found.limit(0)
 
 
-def distributions(rows: DataFrame) -> DataFrame:
-    """(incident_id, field, name, label, count, percent, rank): the values of each field, by count, then first seen.
+def distributions(rows: DataFrame, scope: tuple[str, ...] = (), catalog: Catalog = DEFAULT) -> DataFrame:
+    """(scope, incident_id, field, name, label, count, percent, rank): the values of each field, by count, then first seen.
 
     Shares are of all events of the window, those of directions of the events with an endpoint. Empty
     addresses don't count, nor do directions of events without an endpoint.
     """
+    key = [*scope, "incident_id"]
     network = (F.col("network.src") != "") | (F.col("network.dst") != "")
     pairs = []
     for field, col, name, _ in FIELDS:
         value = col(name)
         value = F.when(network, value) if field == "direction" else F.nullif(value, F.lit("")) if field in ("source", "destination") else value
         pairs.append(F.struct(F.lit(field).alias("field"), value.alias("name")))
-    sizes = rows.groupBy("incident_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(network).alias("with_endpoints"))
-    values = rows.select("incident_id", *_AT, F.explode(F.array(*pairs)).alias("p")).select("incident_id", *_AT, "p.field", "p.name").filter("name is not null")
-    counts = values.groupBy("incident_id", "field", "name").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*_AT)).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("incident_id", "field").orderBy(F.desc("count"), "first"))
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("total"), F.count_if(network).alias("with_endpoints"))
+    values = rows.select(*key, *AT, F.explode(F.array(*pairs)).alias("p")).select(*key, *AT, "p.field", "p.name").filter("name is not null")
+    counts = values.groupBy(*key, "field", "name").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*AT)).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(*key, "field").orderBy(F.desc("count"), "first"))
     limit = F.lit(1 << 30)
     for field, _, _, most in FIELDS:
         limit = F.when(F.col("field") == field, most).otherwise(limit) if most else limit
     whole = F.when(F.col("field") == "direction", F.col("with_endpoints")).otherwise(F.col("total"))
     return (
-        counts.withColumn("rank", rank).filter(F.col("rank") <= limit).join(F.broadcast(sizes), "incident_id")
-        .select("incident_id", "field", "name", F.when(F.col("field") == "category", label(F.col("name"))).otherwise(F.col("name")).alias("label"), "count", F.bround(100 * F.col("count") / whole, 2).alias("percent"), "rank")
+        counts.withColumn("rank", rank).filter(F.col("rank") <= limit).join(small(sizes, scope), key)
+        .select(*key, "field", "name", F.when(F.col("field") == "category", label(F.col("name"), catalog)).otherwise(F.col("name")).alias("label"), "count", F.bround(100 * F.col("count") / whole, 2).alias("percent"), "rank")
     )
 
 
-def network_summary(rows: DataFrame) -> DataFrame:
-    """(incident_id, total, with_endpoints, distinct_destinations, distinct_ports, host_ips)."""
+def network_summary(rows: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, incident_id, total, with_endpoints, distinct_destinations, distinct_ports, host_ips)."""
     network = (F.col("network.src") != "") | (F.col("network.dst") != "")
-    return rows.groupBy("incident_id").agg(
+    return rows.groupBy(*scope, "incident_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(network).alias("with_endpoints"),
         F.count_distinct(F.nullif("network.dst", F.lit(""))).alias("distinct_destinations"),
@@ -86,27 +85,28 @@ def network_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def cause_table(spark) -> DataFrame:
-    """(cause, title, kind, category, min_count, min_percent, gate): a row for each category of each cause."""
-    return spark.createDataFrame([(c.id, c.title, c.kind, k, c.min_count, c.min_percent, c.gate) for c in CAUSES for k in c.categories], "cause string, title string, kind string, category string, min_count int, min_percent int, gate string")
+def cause_table(spark, catalog: Catalog = DEFAULT) -> DataFrame:
+    """(cause, title, kind, checks, category, min_count, min_percent, gate): a row for each category of each cause."""
+    return spark.createDataFrame([(c.id, c.title, c.kind, [*c.checks], k, c.min_count, c.min_percent, c.gate) for c in catalog.causes for k in c.categories], "cause string, title string, kind string, checks array<string>, category string, min_count int, min_percent int, gate string")
 
 
-def technique_table(spark) -> DataFrame:
+def technique_table(spark, catalog: Catalog = DEFAULT) -> DataFrame:
     """(cause, technique, name, url, condition)."""
-    of = {t.id: t for t in TECHNIQUES}
-    return spark.createDataFrame([(c.id, t, of[t].name, of[t].url, of[t].condition) for c in CAUSES for t in c.mitre], "cause string, technique string, name string, url string, condition string")
+    of = {t.id: t for t in catalog.techniques}
+    return spark.createDataFrame([(c.id, t, of[t].name, of[t].url, of[t].condition) for c in catalog.causes for t in c.mitre], "cause string, technique string, name string, url string, condition string")
 
 
-def hypotheses(rows: DataFrame, previous: DataFrame) -> DataFrame:
-    """Causes whose rule and gate a window meets: counts, shares, comparison with before, reason and first rows.
+def hypotheses(rows: DataFrame, previous: DataFrame, scope: tuple[str, ...] = (), catalog: Catalog = DEFAULT) -> DataFrame:
+    """Causes whose rule and gate a window meets: counts, shares, comparison with before, reason, checks and first rows.
 
     rank orders a window's causes by share, then name.
     """
     spark = rows.sparkSession
-    causes = F.broadcast(cause_table(spark))
+    key = [*scope, "incident_id"]
+    causes = F.broadcast(cause_table(spark, catalog))
     out_ = F.col("network.direction") == "outbound"
     matching = rows.join(causes, "category")
-    facts = matching.groupBy("incident_id", "cause", "title", "kind", "min_count", "min_percent", "gate").agg(
+    facts = matching.groupBy(*key, "cause", "title", "kind", "checks", "min_count", "min_percent", "gate").agg(
         F.count(F.lit(1)).alias("count"),
         F.count_if(out_).alias("outbound"),
         F.count_distinct(F.when(out_, F.nullif("network.dst", F.lit("")))).alias("destinations"),
@@ -114,15 +114,15 @@ def hypotheses(rows: DataFrame, previous: DataFrame) -> DataFrame:
         F.count_if(F.col("category") == "service_failure").alias("failures"),
         F.count_if(F.col("category") == "scan_alert").alias("scans"),
     )
-    totals = rows.groupBy("incident_id").agg(F.count(F.lit(1)).alias("total"))
-    peers = matching.filter((F.col("gate") == "auth_peer") & (F.col("network.src") != "")).groupBy("incident_id", "cause", F.col("network.src").alias("peer")).agg(F.count(F.lit(1)).alias("attempts"), F.min(F.struct(*_AT)).alias("first"))
-    best = Window.partitionBy("incident_id", "cause").orderBy(F.desc("attempts"), "first")
-    peers = peers.withColumn("r", F.row_number().over(best)).filter("r = 1").select("incident_id", "cause", "peer", "attempts")
-    firsts = matching.withColumn("r", F.row_number().over(Window.partitionBy("incident_id", "cause").orderBy(*_AT))).filter("r <= 5")
-    firsts = firsts.groupBy("incident_id", "cause").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda x: x["row"]).alias("evidence_rows"))
-    past = previous.groupBy("incident_id").agg(F.sum("count").alias("past_total"))
-    past_of = previous.join(causes, "category").groupBy("incident_id", "cause").agg(F.sum("count").alias("past"))
-    f = facts.join(totals, "incident_id").join(peers, ["incident_id", "cause"], "left").join(past, "incident_id", "left").join(past_of, ["incident_id", "cause"], "left").join(firsts, ["incident_id", "cause"])
+    totals = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
+    peers = matching.filter((F.col("gate") == "auth_peer") & (F.col("network.src") != "")).groupBy(*key, "cause", F.col("network.src").alias("peer")).agg(F.count(F.lit(1)).alias("attempts"), F.min(F.struct(*AT)).alias("first"))
+    best = Window.partitionBy(*key, "cause").orderBy(F.desc("attempts"), "first")
+    peers = peers.withColumn("r", F.row_number().over(best)).filter("r = 1").select(*key, "cause", "peer", "attempts")
+    firsts = matching.withColumn("r", F.row_number().over(Window.partitionBy(*key, "cause").orderBy(*AT))).filter("r <= 5")
+    firsts = firsts.groupBy(*key, "cause").agg(F.array_sort(F.collect_list(F.struct("r", "source", "row"))).alias("_first")).select(*key, "cause", F.transform("_first", lambda x: x["row"]).alias("evidence_rows"), F.transform("_first", lambda x: x.dropFields("r")).alias("evidence_at"))
+    past = previous.groupBy(*key).agg(F.sum("count").alias("past_total"))
+    past_of = previous.join(causes, "category").groupBy(*key, "cause").agg(F.sum("count").alias("past"))
+    f = facts.join(totals, key).join(peers, [*key, "cause"], "left").join(past, key, "left").join(past_of, [*key, "cause"], "left").join(firsts, [*key, "cause"])
     share = 100 * F.col("count") / F.col("total")
     before = F.when(F.col("past_total") > 0, 100 * F.coalesce("past", F.lit(0)) / F.col("past_total"))
     gate = (
@@ -141,71 +141,77 @@ def hypotheses(rows: DataFrame, previous: DataFrame) -> DataFrame:
     reason = F.concat(F.format_string("%d/%d eventi (%.1f%%). Regola: almeno %d eventi e %d%%.", "count", "total", F.bround(share, 1), "min_count", "min_percent"), why)
     kept = f.filter((F.col("count") >= F.col("min_count")) & (share >= F.col("min_percent")) & gate)
     out = kept.select(
-        "incident_id", "cause", "title", "kind", "count", F.bround(share, 2).alias("percent"), F.bround(before, 2).alias("baseline_percent"), F.bround(share - before, 2).alias("delta_pp"),
-        reason.alias("reason"), F.when(share >= 60, "componente dominante").otherwise("contributo parziale").alias("support"), "evidence_rows",
+        *key, "cause", "title", "kind", "checks", "count", F.bround(share, 2).alias("percent"), F.bround(before, 2).alias("baseline_percent"), F.bround(share - before, 2).alias("delta_pp"),
+        reason.alias("reason"), F.when(share >= 60, "componente dominante").otherwise("contributo parziale").alias("support"), "evidence_rows", "evidence_at",
     )
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("percent"), "cause")))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("percent"), "cause")))
 
 
-def auth_sequences(rows: DataFrame) -> DataFrame:
+def auth_sequences(rows: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Three or more failed logins from one address for one user, then a login: the first ten of each window.
 
     A login after fewer failures takes none of them away; one that ends a sequence takes them all. Failures are
     summed up between logins first, and only these sums are folded.
     """
-    keys = ["incident_id", "src", "user"]
+    key = [*scope, "incident_id"]
+    keys = [*key, "src", "user"]
+    place = ["timestamp", "_file", "row"]
     logins = rows.filter(F.col("category").isin("auth_failure", "auth_success") & (F.col("network.src") != "") & (F.col("network.user") != ""))
-    logins = logins.select("incident_id", F.col("network.src").alias("src"), F.col("network.user").alias("user"), *_AT, (F.col("category") == "auth_success").alias("ok"))
-    ordered = Window.partitionBy(*keys).orderBy(*_AT)
+    logins = logins.select(*key, F.col("network.src").alias("src"), F.col("network.user").alias("user"), "timestamp", F.col("source").alias("_file"), "row", (F.col("category") == "auth_success").alias("ok"))
+    ordered = Window.partitionBy(*keys).orderBy(*place)
     logins = logins.withColumn("segment", F.count_if("ok").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
-    at = F.row_number().over(Window.partitionBy(*keys, "segment").orderBy(F.col("ok"), *_AT))
+    at = F.row_number().over(Window.partitionBy(*keys, "segment").orderBy(F.col("ok"), *place))
     logins = logins.withColumn("n", at)
     segments = logins.groupBy(*keys, "segment").agg(
         F.count_if(~F.col("ok")).alias("failures"),
         F.min(F.when(~F.col("ok"), F.col("timestamp"))).alias("begin"),
-        F.sort_array(F.collect_list(F.when(~F.col("ok") & (F.col("n") <= 4), F.struct("n", "row")))).alias("firsts"),
-        F.max(F.when(F.col("ok"), F.struct(*_AT))).alias("success"),
+        F.sort_array(F.collect_list(F.when(~F.col("ok") & (F.col("n") <= 4), F.struct("n", F.col("_file").alias("source"), "row")))).alias("firsts"),
+        F.max(F.when(F.col("ok"), F.struct("timestamp", F.col("_file").alias("source"), "row"))).alias("success"),
     )
-    steps = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("segment", "failures", "begin", F.transform("firsts", lambda x: x["row"]).alias("rows"), "success"))).alias("steps"))
-    chain = "struct<failures:bigint,begin:timestamp,end:timestamp,rows:array<bigint>,end_row:bigint>"
-    state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("timestamp").alias("begin"), F.array().cast("array<bigint>").alias("rows"), F.array().cast(f"array<{chain}>").alias("out"))
+    steps = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("segment", "failures", "begin", F.transform("firsts", lambda x: x.dropFields("n")).alias("rows"), "success"))).alias("steps"))
+    chain = "struct<failures:bigint,begin:timestamp,end:timestamp,rows:array<struct<source:string,row:bigint>>,end_at:struct<source:string,row:bigint>>"
+    state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("timestamp").alias("begin"), F.array().cast("array<struct<source:string,row:bigint>>").alias("rows"), F.array().cast(f"array<{chain}>").alias("out"))
 
     def fold(a, x):
         n, begin = a["n"] + x["failures"], F.coalesce(a["begin"], x["begin"])
         rows_ = F.slice(F.concat(a["rows"], x["rows"]), 1, 4)
         ends = x["success"].isNotNull() & (n >= 3)
-        made = F.struct(n.alias("failures"), begin.alias("begin"), x["success"]["timestamp"].alias("end"), F.concat(rows_, F.array(x["success"]["row"])).alias("rows"), x["success"]["row"].alias("end_row"))
+        made = F.struct(n.alias("failures"), begin.alias("begin"), x["success"]["timestamp"].alias("end"), F.concat(rows_, F.array(x["success"].dropFields("timestamp"))).alias("rows"), x["success"].dropFields("timestamp").alias("end_at"))
         return F.struct(
             F.when(ends, F.lit(0).cast("long")).otherwise(n).alias("n"),
             F.when(~ends, begin).alias("begin"),
-            F.when(ends, F.array().cast("array<bigint>")).otherwise(rows_).alias("rows"),
+            F.when(ends, F.array().cast("array<struct<source:string,row:bigint>>")).otherwise(rows_).alias("rows"),
             F.when(ends, F.concat(a["out"], F.array(made))).otherwise(a["out"]).alias("out"),
         )
 
     found = steps.select(*keys, F.explode(F.aggregate("steps", state, fold)["out"]).alias("c")).select(*keys, "c.*")
-    rank = F.row_number().over(Window.partitionBy("incident_id").orderBy("end", "end_row"))
-    return found.withColumn("rank", rank).filter("rank <= 10").drop("end_row")
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("end", "end_at"))
+    out = found.withColumn("rank", rank).filter("rank <= 10").drop("end_at")
+    return out.withColumn("rows_at", F.col("rows")).withColumn("rows", F.transform("rows_at", lambda x: x["row"]))
 
 
-def evidence_rows(rows: DataFrame, causes: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(incident_id, row) of the 30 events shown for each window: those cited first, then the earliest."""
-    of_causes = causes.select("incident_id", F.lit(0).alias("part"), F.col("rank").alias("a"), F.posexplode("evidence_rows").alias("b", "row"))
-    of_sequences = sequences.select("incident_id", F.lit(1).alias("part"), F.col("rank").alias("a"), F.posexplode("rows").alias("b", "row"))
-    earliest = rows.withColumn("a", F.row_number().over(Window.partitionBy("incident_id").orderBy(*_AT))).filter(F.col("a") <= MOST_EVIDENCE)
-    cited = of_causes.union(of_sequences).union(earliest.select("incident_id", F.lit(2).alias("part"), "a", F.lit(0).alias("b"), "row"))
-    cited = cited.groupBy("incident_id", "row").agg(F.min(F.struct("part", "a", "b")).alias("place"))
-    rank = F.row_number().over(Window.partitionBy("incident_id").orderBy("place"))
-    return cited.withColumn("rank", rank).filter(F.col("rank") <= MOST_EVIDENCE).select("incident_id", "row", F.col("rank").alias("evidence_rank"))
+def evidence_rows(rows: DataFrame, causes: DataFrame, sequences: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, incident_id, source, row) of the 30 events shown for each window: those cited first, then the earliest."""
+    key = [*scope, "incident_id"]
+    other = [c for c in key if c != "source"]
+    cited_by = lambda df, part, column: df.select(*other, F.lit(part).alias("part"), F.col("rank").alias("a"), F.posexplode(column).alias("b", "x")).select(*other, "part", "a", "b", "x.source", "x.row")
+    earliest = rows.withColumn("a", F.row_number().over(Window.partitionBy(*key).orderBy(*AT))).filter(F.col("a") <= MOST_EVIDENCE)
+    cited = cited_by(causes, 0, "evidence_at").union(cited_by(sequences, 1, "rows_at")).union(earliest.select(*other, F.lit(2).alias("part"), "a", F.lit(0).alias("b"), "source", "row"))
+    cited = cited.groupBy(*other, "source", "row").agg(F.min(F.struct("part", "a", "b")).alias("place"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("place", "source", "row"))
+    return cited.withColumn("rank", rank).filter(F.col("rank") <= MOST_EVIDENCE).select(*other, "source", "row", F.col("rank").alias("evidence_rank"))
 
 
-def evidence(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The chosen events with their texts cut to 2,000 characters."""
+def evidence(rows: DataFrame, chosen: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The chosen events with their place, provenance and texts, these cut to 2,000 characters."""
     cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 2000)
     long = lambda c: F.length(F.coalesce(c, F.lit(""))) > 2000
-    columns = "columns" in rows.columns
+    maps = [c for c in ("columns", "metadata") if c in rows.columns]
     too_long = long(F.col("raw")) | long(F.col("message"))
-    if columns:
+    if "columns" in maps:
         too_long = too_long | F.coalesce(F.exists(F.map_values("columns"), lambda x: F.length(x) > 2000), F.lit(False))
-    shown = rows.join(F.broadcast(chosen), ["incident_id", "row"])
-    extra = [F.transform_values("columns", lambda _, v: F.substring(v, 1, 2000)).alias("columns")] if columns else []
-    return shown.select("incident_id", "row", "evidence_rank", "timestamp", "host", "host_ip", "process", "pid", "facility", "severity", "category", cut(F.col("message")).alias("message"), cut(F.col("raw")).alias("raw"), too_long.alias("text_truncated"), "network", *extra)
+    other = [c for c in (*scope, "incident_id") if c != "source"]
+    shown = rows.join(small(chosen, scope), [*other, "source", "row"])
+    extra = [F.transform_values(c, lambda _, v: F.substring(v, 1, 2000)).alias(c) for c in maps]
+    told = [cut(F.col(c)).alias(c) if c == "timestamp_original" else F.col(c) for c in ("line", "timestamp_source", "timestamp_original", "time_generated", "event_time", "column_sources") if c in rows.columns]
+    return shown.select(*other, "source", "row", "evidence_rank", "timestamp", *told, "host", "host_ip", "process", "pid", "facility", "severity", "category", cut(F.col("message")).alias("message"), cut(F.col("raw")).alias("raw"), too_long.alias("text_truncated"), "network", *extra)

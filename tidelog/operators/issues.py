@@ -178,7 +178,7 @@ ISSUES = (
         "",
         "Colonna attesa assente",
         "Il campo può essere recuperato dal messaggio syslog quando riconoscibile; altrimenti resta mancante.",
-        "Verifica le colonne selezionate nell'export e gli alias indicati nel README.",
+        "Verifica le colonne selezionate nell'export e gli alias elencati in schema.ALIASES.",
     ),
     (
         "empty_header",
@@ -210,7 +210,7 @@ ISSUES = (
         "",
         "Limite di record raggiunto",
         "L'analisi è parziale: il resto del file non è stato esaminato.",
-        "Aumenta --max-events all'avvio e ricarica il file, oppure suddividi l'export per macchina o intervallo di tempo.",
+        "Aumenta Params.max_events e rileggi il file, oppure suddividi l'export per macchina o intervallo di tempo.",
     ),
     (
         "file_too_large",
@@ -218,7 +218,7 @@ ISSUES = (
         "",
         "Contenuto troppo grande",
         "Importazione bloccata: il contenuto UTF-8 supera il limite configurato, indicato nel dettaglio.",
-        "Aumenta --max-file-mb all'avvio e ricarica il file, oppure suddividi l'export in intervalli più piccoli.",
+        "Aumenta Params.max_file_bytes e rileggi il file, oppure suddividi l'export in intervalli più piccoli.",
     ),
     (
         "null_bytes",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.catalog import DEFAULT, Catalog
 from tidelog.functions.classify import classify, message_template
 from tidelog.functions.network import clean_ip, with_endpoints
 from tidelog.functions.syslog import FACILITIES, SEVERITIES, normalize_facility, normalize_severity, split_tag, with_parsed_line
@@ -130,7 +131,7 @@ def with_identity_flags(events: DataFrame, scope: tuple[str, ...] = ("source",))
     return joined.withColumn("flags", F.concat("flags", more)).drop("_h1", "_h2", "_first")
 
 
-def enrich(events: DataFrame) -> DataFrame:
+def enrich(events: DataFrame, catalog: Catalog = DEFAULT) -> DataFrame:
     """Add category, template and network to events."""
-    out = events.withColumn("category", classify(F.col("process"), F.col("message"))).withColumn("template", message_template(F.col("message")))
+    out = events.withColumn("category", classify(F.col("process"), F.col("message"), catalog.categories, catalog.other)).withColumn("template", message_template(F.col("message")))
     return with_endpoints(out)

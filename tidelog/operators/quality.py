@@ -53,13 +53,23 @@ def diagnostics(found: DataFrame) -> DataFrame:
     return counts.join(examples, keys).join(issues, "code").select("source", "code", "level", "field", "title", "impact", "action", "count", "examples")
 
 
-def level_order():
+def level_order() -> list:
+    """Diagnostics by level, then code."""
     out = F.lit(9)
     for level, n in _LEVELS.items():
         out = F.when(F.col("level") == level, n).otherwise(out)
     return [out, F.col("code")]
 
 
+def import_report(report_rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(source, json): the report of each file with its diagnostics in order, as one JSON document."""
+    place = F.struct(level_order()[0].alias("level_place"), F.col("code").alias("code_place"))
+    parts = diagnostics(found).select("source", F.struct(place.alias("place"), "code", "level", "field", "title", "impact", "action", "count", "examples").alias("d"))
+    parts = parts.groupBy("source").agg(F.transform(F.array_sort(F.collect_list("d"), lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)), lambda x: x.dropFields("place")).alias("diagnostics"))
+    out = report_rows.join(parts, "source", "left")
+    return out.select("source", F.to_json(F.struct(*out.columns)).alias("json"))
+
+
 def report(events: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame:
     """One row for each file: status, issue counts by level and code, records read, kept, skipped and usable.
 
@@ -79,7 +89,7 @@ def report(events: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame:
     )
     return r.select(
         "source", status.alias("status"), n("errors").alias("errors"), n("warnings").alias("warnings"), n("infos").alias("infos"), "counts", "records_read", "skipped", "truncated",
-        live("parsed").alias("analyzed_records"), n("records_with_issues").alias("records_with_issues"), live("with_timestamp").alias("with_timestamp"), live("usable").alias("usable_for_windows"),
+        live("parsed").alias("analyzed_records"), F.when(F.col("blocked"), n("parsed")).otherwise(0).alias("parsed_before_block"), (~F.col("blocked") & ~F.col("truncated")).alias("complete"), *(["sha256"] if "sha256" in files.columns else []), n("records_with_issues").alias("records_with_issues"), live("with_timestamp").alias("with_timestamp"), live("usable").alias("usable_for_windows"),
     )
 
 

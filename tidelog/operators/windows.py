@@ -14,6 +14,10 @@ from tidelog.functions.text import UNKNOWN
 from tidelog.schema import LEAST_BASELINE, LOOKBACK, MOST_INCIDENTS, Params
 
 
+#: An event's place in time. Records of several files are told apart by source and row.
+AT = ("timestamp", "source", "row")
+
+
 def bucket_of(ts: Column, seconds: int) -> Column:
     """First second of the window that an instant falls in, counted from the epoch."""
     return (F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)) * seconds).cast("long")
@@ -25,8 +29,8 @@ def usable(events: DataFrame) -> DataFrame:
 
 
 def process_counts(events: DataFrame, seconds: int, scope: tuple[str, ...] = ()) -> DataFrame:
-    """(scope, host_key, process, bucket, count, first): events of each process in each window, first by time and row."""
-    return usable(events).groupBy(*scope, "host_key", "process", bucket_of(F.col("timestamp"), seconds).alias("bucket")).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("timestamp", "row")).alias("first"))
+    """(scope, host_key, process, bucket, count, first): events of each process in each window, first by time and place."""
+    return usable(events).groupBy(*scope, "host_key", "process", bucket_of(F.col("timestamp"), seconds).alias("bucket")).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*AT)).alias("first"))
 
 
 def host_counts(counts: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -118,16 +122,25 @@ def ranking() -> list[Column]:
     return [F.desc("flagged"), F.desc(F.col("count") - F.coalesce("baseline", F.lit(0.0))), F.desc("count"), F.asc("host_key"), F.asc("bucket")]
 
 
-def top_incidents(found: DataFrame, limit: int = MOST_INCIDENTS) -> DataFrame:
-    """The first candidates: flagged ones first, then by excess over the baseline, count, host and time."""
+def top_incidents(found: DataFrame, limit: int = MOST_INCIDENTS, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The first candidates, of each scope: flagged ones first, then by excess over the baseline, count, host and time."""
+    if scope:
+        rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*ranking()))
+        return found.withColumn("_r", rank).filter(F.col("_r") <= limit).drop("_r").withColumn("incident_id", incident_id())
     return found.orderBy(*ranking()).limit(limit).withColumn("incident_id", incident_id())
 
 
+def small(df: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """A broadcast of a table whose size is a limit of the report; under a scope it grows with the scopes, and Spark decides."""
+    return df if scope else F.broadcast(df)
+
+
 def incident_id() -> Column:
+    """The id of a host's window. Under a scope, windows are told apart by scope and id."""
     return F.substring(F.sha2(F.concat_ws("|", "host_key", F.col("bucket").cast("string")), 256), 1, 16)
 
 
-def window_totals(found: DataFrame) -> DataFrame:
-    """One row: candidate, flagged and detected windows."""
+def window_totals(found: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each scope: candidate, flagged and detected windows."""
     detected = F.col("detected") | F.col("process_detected")
-    return found.agg(F.count(F.lit(1)).alias("incident_count"), F.count_if("flagged").alias("flagged_count"), F.count_if(detected).alias("spike_count"))
+    return found.groupBy(*scope).agg(F.count(F.lit(1)).alias("incident_count"), F.count_if("flagged").alias("flagged_count"), F.count_if(detected).alias("spike_count"))

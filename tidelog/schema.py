@@ -12,7 +12,7 @@ LOOKBACK, LEAST_BASELINE, MOST_INCIDENTS = 12, 3, 50
 #: Evidence rows of an incident, examples of a diagnostic.
 MOST_EVIDENCE, MOST_EXAMPLES = 30, 5
 
-#: Names by which each field may stand in a header, in order of preference (normalised).
+#: Names by which each field may stand in a header, in order of preference (normalised).
 ALIASES = {
     "timestamp": ("timegenerated[utc]", "timegenerated", "timestamp", "time", "datetime", "date", "@timestamp", "data", "ora"),
     "event_time": ("eventtime[utc]", "eventtime"),
