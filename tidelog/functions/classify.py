@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidelog.catalog import CATEGORIES, OTHER, Category
-from tidelog.functions.network import any_of
 from tidelog.functions.text import FLAGS, UNKNOWN, strip
 
 # What tells of a start, and what takes it back.
@@ -18,19 +17,22 @@ _STARTED_FIRST = r"^(?:started|avviato)\b"
 
 def classify(process: Column, message: Column, categories: tuple[Category, ...] = CATEGORIES, other: str = OTHER) -> Column:
     """The first category, in the catalogue's order, that a message falls under; ``other`` if there is none."""
+    # What is found in the message is found in "process message" too, but for patterns that hold on to the beginning.
     context = F.concat(process, F.lit(" "), message)
+    either = lambda patterns: FLAGS + "|".join(f"(?:{p})" for p in patterns)
     cases = []
     for c in categories:
-        hit = any_of([t.rlike(FLAGS + p) for p in c.patterns for t in (message, context)])
-        shut = any_of([message.rlike(FLAGS + p) for p in c.exclude])
-        cases.append(F.when(hit & ~shut if c.exclude else hit, c.id))
+        hit = context.rlike(either(c.patterns))
+        first = [p for p in c.patterns if "^" in p or r"\A" in p or "(?<" in p]
+        hit = hit | message.rlike(either(first)) if first else hit
+        cases.append(F.when(hit & ~message.rlike(either(c.exclude)) if c.exclude else hit, c.id))
     return F.coalesce(*cases, F.lit(other))
 
 
 def message_template(message: Column) -> Column:
     """The message with addresses, ids and process numbers masked, white space folded, 300 characters at most."""
     out = message
-    for pattern, mask in (
+    for pattern, mask in (  # fixed values
         (r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>"),
         (r"(?iU)\b[0-9a-f]{8}-[0-9a-f-]{27,}\b", "<id>"),
         (r"(?iU)\bpid[=: ]+\d+", "pid=<pid>"),

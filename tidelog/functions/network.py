@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import group, let, nonempty
+from tidelog.functions.text import group, let
 
 _IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
@@ -67,7 +65,9 @@ def with_endpoints(events: DataFrame) -> DataFrame:
         port("spt|sport|src_port").alias("_spt"), port("dpt|dport|dst_port").alias("_dpt"),
         F.regexp_replace(user, r"^[\"']+|[\"']+$", "").alias("_user"),
     )
-    clean = texts.withColumns({c: clean_ip(F.col(c)) for c in ("_src", "_dst", "_peer")} | {"_own": clean_ip(F.col("host_ip"))})
+    addresses = ("_src", "_dst", "_peer", "_own")
+    told = texts.withColumn("_ips", F.transform(F.array("_src", "_dst", "_peer", "host_ip"), clean_ip))
+    clean = told.withColumns({c: F.get("_ips", k) for k, c in enumerate(addresses)})
     known = clean.withColumn("_src", F.when(F.col("_src") == "", F.col("_peer")).otherwise(F.col("_src")))
     own, src, dst = F.col("_own"), F.col("_src"), F.col("_dst")
     direction = (
@@ -76,12 +76,4 @@ def with_endpoints(events: DataFrame) -> DataFrame:
         .otherwise("unknown")
     )
     network = F.struct(src.alias("src"), dst.alias("dst"), F.col("_spt").alias("src_port"), F.col("_dpt").alias("dst_port"), F.col("_user").alias("user"), direction.alias("direction"))
-    return known.withColumn("network", network).drop("_src", "_dst", "_peer", "_spt", "_dpt", "_user", "_own")
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
-def first_nonempty(*columns: Column) -> Column:
-    return F.coalesce(*map(nonempty, columns), F.lit(""))
+    return known.withColumn("network", network).drop("_src", "_dst", "_peer", "_spt", "_dpt", "_user", "_own", "_ips")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import UNKNOWN, clean, or_unknown, strip
+from tidelog.functions.text import MARK, UNKNOWN, clean, or_unknown, strip
 from tidelog.functions.time import with_timestamp
 
 # Severities 0 to 7, facilities 0 to 23, and other names of severities.
@@ -68,29 +68,39 @@ def priority(pri: Column) -> Column:
     )
 
 
-def with_parsed_line(df: DataFrame, column: str, offset: str = "+00:00", date_order: str = "DMY", as_of_year: int | None = None) -> DataFrame:
+def with_parsed_line(df: DataFrame, column: str, offset: str = "+00:00", date_order: str = "DMY", as_of_year: int | None = None, timed: Column | None = None) -> DataFrame:
     """Add line_: struct(ts, flags, host, process, pid, severity, facility, message, raw, timestamp_text) of a text column.
 
     RFC 5424, RFC 3164 and ISO-prefixed lines are told apart by their shape; else ``name[pid]: message`` gives a
-    process, and anything else is all message. timestamp_text is null where the line holds no time.
+    process, and anything else is all message. timestamp_text is null where the line holds no time. ``timed`` says for
+    which rows the time is read at all.
     """
     raw, form = F.col("_raw"), F.col("_form")
-    x = lambda p, n: F.regexp_extract(raw, p, n)
-    # In steps: each names what the one before has made, so that no expression is written out many times.
+    shape = lambda *parts: F.lit(MARK.join(parts))
+    p = lambda k: F.get("_line_parts", k)
+    # In steps: each names what the one before has made, so that no expression is written out many times. A line that fits
+    # is rewritten once, as the number of its shape, PRI, time, host, tag, pid and the rest.
     df = df.withColumn("_raw", strip(F.coalesce(F.col(column), F.lit(""))))
-    df = df.withColumn("_form", F.when(raw.rlike(_RFC5424), 1).when(raw.rlike(_RFC3164), 2).when(raw.rlike(_ISO_LINE), 3).when(raw.rlike(_BARE), 4).otherwise(0))
+    told = raw
+    for pattern, parts in ((_RFC5424, ("1", "$1", "$2", "$3", "$4", "$5", "$6")), (_RFC3164, ("2", "$1", "$2", "$3", "$4", "", "$5")), (_ISO_LINE, ("3", "", "$1", "$2", "$3", "", "$4")), (_BARE, ("4", "", "", "", "$1", "", "$2"))):
+        told = F.regexp_replace(told, F.lit(pattern), shape(*parts))
+    df = df.withColumn("_told", told)
+    df = df.withColumn("_line_parts", F.when(F.col("_told") != raw, F.split("_told", MARK, 7))).withColumn("_form", F.coalesce(p(0).try_cast("int"), F.lit(0)))
+    own = lambda k: F.when(form == 1, clean(p(k))).otherwise(F.coalesce(p(k), F.lit("")))
+    time = F.when(form.between(1, 3), p(2))
     df = df.select(
         "*",
-        F.when(form == 1, x(_RFC5424, 2)).when(form == 2, x(_RFC3164, 2)).when(form == 3, x(_ISO_LINE, 1)).alias("_time"),
-        F.when(form == 1, clean(x(_RFC5424, 3))).when(form == 2, x(_RFC3164, 3)).when(form == 3, x(_ISO_LINE, 2)).otherwise("").alias("_host"),
-        F.when(form == 1, clean(x(_RFC5424, 4))).when(form == 2, x(_RFC3164, 4)).when(form == 3, x(_ISO_LINE, 3)).when(form == 4, x(_BARE, 1)).otherwise("").alias("_tag"),
-        F.when(form == 1, clean(x(_RFC5424, 5))).otherwise("").alias("_pid"),
-        F.when(form == 1, x(_RFC5424, 1)).when(form == 2, x(_RFC3164, 1)).try_cast("int").alias("_pri"),
-        F.when(form == 1, x(_RFC5424, 6)).when(form == 2, x(_RFC3164, 5)).when(form == 3, x(_ISO_LINE, 4)).when(form == 4, x(_BARE, 2)).otherwise(raw).alias("_rest"),
+        time.alias("_time"),
+        own(3).alias("_host"),
+        own(4).alias("_tag"),
+        own(5).alias("_pid"),
+        p(1).try_cast("int").alias("_pri"),
+        F.coalesce(p(6), raw).alias("_rest"),
+        (time if timed is None else F.when(timed, time)).alias("_read_time"),
     )
     tag, pri = split_tag(F.col("_tag")), priority(F.col("_pri"))
     df = df.withColumn("_message", F.when(form == 1, strip_structured_data(F.col("_rest"))).otherwise(F.col("_rest")))
-    df = with_timestamp(df, "_at", "_time", offset, date_order, as_of_year)
+    df = with_timestamp(df, "_at", "_read_time", offset, date_order, as_of_year)
     line = F.struct(
         F.col("_at.ts").alias("ts"),
         F.col("_at.flags").alias("flags"),
@@ -103,4 +113,4 @@ def with_parsed_line(df: DataFrame, column: str, offset: str = "+00:00", date_or
         raw.alias("raw"),
         F.col("_time").alias("timestamp_text"),
     )
-    return df.withColumn("line_", line).drop("_raw", "_form", "_time", "_host", "_tag", "_pid", "_pri", "_rest", "_message", "_at")
+    return df.withColumn("line_", line).drop("_raw", "_told", "_line_parts", "_form", "_time", "_read_time", "_host", "_tag", "_pid", "_pri", "_rest", "_message", "_at")

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
+#: A noncharacter, which no text holds: parts what one pattern has told apart.
+MARK = "\uffff"
 #: Case-insensitive by Unicode, Unicode classes, and only a line feed ends a line.
 FLAGS = "(?iUd)"
 
@@ -42,8 +44,3 @@ def nonempty(c: Column) -> Column:
 def normal_header(name: str | None) -> str:
     """A column name without byte order mark, white space, underscores and hyphens, in lower case."""
     return "".join(ch for ch in (name or "").lstrip("\ufeff") if not ch.isspace() and ch not in "_-").lower()
-
-
-def normal_header_col(c: Column) -> Column:
-    """``normal_header`` of a column of names."""
-    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff+", ""), r"(?U)[\s_\-]", ""))

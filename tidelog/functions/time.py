@@ -7,10 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import clean
+from tidelog.functions.text import MARK, clean
 
+# The accepted shapes. Each is rewritten as its number, year, month, day, hour, minute, second, fraction, half of
+# the day and zone, parted by a noncharacter.
 _ISO = r"^(\d{4})-(\d\d)-(\d\d)(?:[T ](\d\d)(?::(\d\d)(?::(\d\d)(?:\.(\d+))?)?)?)?\s*([+-]\d\d:?\d\d)?$"
-_SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6}))?)?(?: ([AaPp][Mm]))?\s*([+-]\d\d:?\d\d)?$"
+_SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?:,\s*| )(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6}))?)?(?: ([AaPp][Mm]))?\s*([+-]\d\d:?\d\d)?$"
 _MONTH = r"^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d\d):(\d\d):(\d\d)\s*([+-]\d\d:?\d\d)?$"
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
@@ -53,28 +55,28 @@ def with_timestamp(df: DataFrame, name: str, column: str, offset: str = "+00:00"
     missing_timestamp, an unreadable one invalid_timestamp. declared_utc: the column's name says UTC.
     """
     declared = F.lit(declared_utc) if isinstance(declared_utc, bool) else declared_utc
-    text, local, form = F.col("_t_text"), F.col("_t_local"), F.col("_t_form")
-    p = lambda k: F.get("_t_parts", k - 1)
-    parts = lambda c, pattern, n: F.array(*(F.regexp_extract(c, pattern, k) for k in range(1, n + 1)))
-    # In steps: each names what the one before has made, so that no expression is written out many times.
+    text, form = F.col("_t_text"), F.col("_t_form")
+    p = lambda k: F.get("_t_parts", k)
+    shape = lambda *parts: F.lit(MARK.join(parts))
+    # In steps: each names what the one before has made, so that no expression is written out many times. A value that has
+    # been rewritten begins with its number and fits no other shape.
     df = df.withColumn("_t_text", F.regexp_replace(clean(F.col(column)), r"(?i)\s*(?:UTC|Z)$", "+00:00"))
-    df = df.withColumn("_t_local", F.regexp_replace(text, r"^(\d{1,2}/\d{1,2}/\d{4}),\s*", "$1 "))
-    df = df.withColumn("_t_form", F.when(text.rlike(_ISO), 1).when(local.rlike(_SLASH), 2).when(local.rlike(_MONTH), 3).otherwise(0))
-    df = df.withColumn("_t_parts", F.when(form == 1, parts(text, _ISO, 8)).when(form == 2, parts(local, _SLASH, 9)).when(form == 3, parts(local, _MONTH, 6)))
-    a, b, hour, clock = p(1).try_cast("int"), p(2).try_cast("int"), p(4).try_cast("int"), F.lower(p(8))
-    day, month = (p(1), p(2)) if date_order == "DMY" else (p(2), p(1))
-    hour24 = F.when(clock == "", hour).when(hour.between(1, 12), hour % 12 + F.when(clock == "pm", 12).otherwise(0))
-    number = F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), p(1)), F.lit(0))
+    told = F.regexp_replace(text, F.lit(_ISO), shape("1", "$1", "$2", "$3", "$4", "$5", "$6", "$7", "", "$8"))
+    told = F.regexp_replace(told, F.lit(_SLASH), shape("2", "$3", *(("$2", "$1") if date_order == "DMY" else ("$1", "$2")), "$4", "$5", "$6", "$7", "$8", "$9"))
+    told = F.regexp_replace(told, F.lit(_MONTH), shape("3", "", "$1", "$2", "$3", "$4", "$5", "", "", "$6"))
+    df = df.withColumn("_t_told", told)
+    df = df.withColumn("_t_parts", F.when(F.col("_t_told") != text, F.split("_t_told", MARK))).withColumn("_t_form", F.coalesce(p(0).try_cast("int"), F.lit(0)))
+    number = F.nullif(F.array_position(F.array(*map(F.lit, _MONTHS)), p(2)), F.lit(0)).cast("string")
     year = F.lit(str(as_of_year)) if as_of_year is not None else F.year(F.current_timestamp()).cast("string")
-    moment = (
-        F.when(form == 1, _moment(*(p(k) for k in range(1, 8))))
-        .when((form == 2) & hour24.isNotNull(), _moment(p(3), month, day, hour24.cast("string"), p(5), p(6), p(7)))
-        .when((form == 3) & number.isNotNull(), _moment(year, number.cast("string"), p(2), p(3), p(4), p(5), F.lit("")))
-    )
-    zone = F.when(form == 1, p(8)).when(form == 2, p(9)).when(form == 3, p(6)).otherwise("")
-    df = df.withColumn("_t_moment", moment).withColumn("_t_zone", zone)
+    hour, clock = p(4).try_cast("int"), F.lower(p(8))
+    hour24 = F.when(clock == "", F.coalesce(hour, F.lit(0))).when(hour.between(1, 12), hour % 12 + F.when(clock == "pm", 12).otherwise(0))
+    df = df.withColumn("_t_year", F.when(form == 3, year).otherwise(p(1))).withColumn("_t_month", F.when(form == 3, number).otherwise(p(2))).withColumn("_t_hour", hour24)
+    moment = _moment(F.col("_t_year"), F.col("_t_month"), p(3), F.col("_t_hour").cast("string"), p(5), p(6), p(7))
+    known = (form > 0) & F.col("_t_month").isNotNull() & F.col("_t_hour").isNotNull()
+    df = df.withColumn("_t_moment", F.when(known, moment)).withColumn("_t_zone", F.coalesce(p(9), F.lit("")))
     seconds = F.when(form == 1, _zone_seconds(F.col("_t_zone"), 86399)).otherwise(_zone_seconds(F.col("_t_zone"), 14 * 3600))
     df = df.withColumn("_t_seconds", F.when(F.col("_t_zone") != "", seconds))
+    a, b = p(3).try_cast("int"), p(2).try_cast("int")
     bare = F.col("_t_zone") == ""
     shift = F.when(~bare, F.col("_t_seconds")).when(declared, 0).otherwise(offset_seconds(offset))
     df = df.withColumn("_t_ts", F.timestamp_micros(F.unix_micros("_t_moment") - shift.cast("long") * 1_000_000))
@@ -86,7 +88,7 @@ def with_timestamp(df: DataFrame, name: str, column: str, offset: str = "+00:00"
     ))
     told = F.when(text == "", F.array(F.lit("missing_timestamp"))).when(F.col("_t_ts").isNull(), F.array(F.lit("invalid_timestamp"))).otherwise(flags)
     out = df.withColumn(name, F.struct(F.col("_t_ts").alias("ts"), told.alias("flags")))
-    return out.drop("_t_text", "_t_local", "_t_form", "_t_parts", "_t_moment", "_t_zone", "_t_seconds", "_t_ts")
+    return out.drop("_t_text", "_t_told", "_t_form", "_t_parts", "_t_year", "_t_month", "_t_hour", "_t_moment", "_t_zone", "_t_seconds", "_t_ts")
 
 
 def iso_utc(ts: Column) -> Column:

@@ -44,8 +44,12 @@ def normalize(records: DataFrame, params: Params, keep: tuple[str, ...] = ("sour
     picked = {f: pick(c) for f, c in fields.items()}
     staged = records.select(*keep, *(x.alias(f"{n}_{f}") for f in fields for x, n in zip(picked[f], ("v", "o", "c"), strict=True)))
     args = (params.naive_offset, params.date_order, params.as_of_year)
-    staged = with_parsed_line(staged, "v_message", *args)
+    # The message's time is read only where neither column has one.
+    staged = with_parsed_line(staged, "v_message", *args, timed=(F.col("v_timestamp") == "") & (F.col("v_event_time") == ""))
     for name, field in (("t1", "timestamp"), ("t2", "event_time")):
+        if not fields[field]:
+            staged = staged.withColumn(name, F.struct(F.lit(None).cast("timestamp").alias("ts"), F.array(F.lit("missing_timestamp")).alias("flags")))
+            continue
         utc = [c for c in fields[field] if normal_header(c).endswith("[utc]")]
         staged = with_timestamp(staged, name, f"v_{field}", *args, declared_utc=F.coalesce(F.col(f"c_{field}").isin(*utc), F.lit(False)) if utc else False)
     # The address is cleaned, and the process and labels told, before they are named more than once.
