@@ -62,8 +62,13 @@ def test_demo_scenario(load):
     assert d["identical_records"] == 5
     report = quality.report(events, found.unionByName(quality.row_issues(events)), files).first()
     assert (report.status, report.records_read, report.usable_for_windows) == ("warning", 52, 52)
-    tickets = [r.ticket for r in sinks.ticket(dossiers(events, P)).collect()]
-    assert any("pc-b" in t and "Fallimenti seguiti da accesso riuscito" in t for t in tickets)
+    tickets = {r.ticket.split(" — ")[1]: r.ticket for r in sinks.ticket(dossiers(events, P, ("source",)), quality.report(events, found.unionByName(quality.row_issues(events)), files), P).collect()}
+    told = tickets["pc-b"].split("\n")
+    for line in ("- File: x.csv", "- Spike processo sshd: 16 eventi; baseline 1.0, soglia 5, 3 finestre di confronto.", "  Quota precedente 0.0%; variazione +93.75 punti percentuali.", "  Verifica: Identificare account, IP sorgente e applicazione che ripete i tentativi.", "- Evidenze mostrate 16/16; i testi oltre 2000 caratteri sono troncati.", "- Import: 52 record analizzati su 52 esaminati; 0 esclusi per struttura CSV non valida."):
+        assert line in told
+    assert any(t.startswith("  MITRE candidato T1110 — Brute Force") for t in told) and any("52 fallimenti" not in t and "15 fallimenti; righe [37, 38, 39, 40, 52]" in t for t in told)
+    whole = quality.import_report(quality.report(events, found.unionByName(quality.row_issues(events)), files), found.unionByName(quality.row_issues(events))).first().json
+    assert '"status":"warning"' in whole and '"code":"identical_records"' in whole
     starts = tree.starts(events).collect()
     assert sorted((s.host_key, s.match_process, s.explicit) for s in starts) == [("pc-a", "agent", False), ("pc-b", "sshd", False)]
 
@@ -112,11 +117,58 @@ def test_delimiters_lines_and_utf16(load, spark, tmp_path):
     assert [(r.host, r.message) for r in events.collect()] == [("h1", "one")]
     events, _, _ = load(["<34>Oct  5 12:00:00 host sshd[42]: Failed password", "", "  ", "plain"], "x.log", None)
     assert sorted((r.row, r.host, r.category) for r in events.collect()) == [(1, "host", "auth_failure"), (4, "unknown", "other")]
-    (tmp_path / "wide.csv").write_bytes("a".encode("utf-16"))
+    (tmp_path / "wide.csv").write_bytes(f"{HEADER}\n{row(0, 'caffè')}\n".encode("utf-16"))
+    (tmp_path / "wide.log").write_bytes("<34>Oct  5 12:00:00 host sshd[42]: perché\n\nsecond\n".encode("utf-16"))
     (tmp_path / "nul.log").write_bytes(b"a\0b")
     (tmp_path / "skip.bin").write_bytes(b"a")
-    facts = {r.source[-8:]: (r.encoding, r.problem, r.content_bytes) for r in readers.file_facts(spark, [f"file://{tmp_path}"], P).filter(F.col("source").rlike("wide|nul|skip")).collect()}
-    assert facts == {"wide.csv": ("utf-16", None, 1), "/nul.log": ("utf-8", "null_bytes", 3)}
+    facts = {r.source[-8:]: (r.encoding, r.problem) for r in readers.file_facts(spark, [f"file://{tmp_path}"], P).filter(F.col("source").rlike("wide|nul|skip")).collect()}
+    assert facts == {"wide.csv": ("utf-16", None), "wide.log": ("utf-16", None), "/nul.log": ("utf-8", "null_bytes")}
+    events, found, files = readers.read_logs(spark, [f"file://{tmp_path}/wide.csv", f"file://{tmp_path}/wide.log"], P)
+    assert sorted((r.row, r.host, r.message) for r in events.collect()) == [(1, "host", "perché"), (1, "pc-a", "caffè"), (3, "unknown", "second")]
+    assert found.count() == 0 and not any(r.blocked for r in files.collect())
+
+
+def test_large_files_are_checked_by_lines(load, spark, tmp_path, monkeypatch):
+    whole, _, _ = load([row(k, "x, y") for k in range(9)], "a.csv")
+    monkeypatch.setattr(readers, "WHOLE_BYTES", 50)
+    events, found, files = load([row(k, "x, y") for k in range(9)], "b.csv")
+    assert events.count() == whole.count() == 9 and found.count() == 0 and files.first().sha256 is None
+    _, found, files = load([row(0, "x"), '1,2,"open'], "c.csv")
+    assert [r.code for r in found.collect()] == ["csv_syntax"] and files.first().blocked
+
+
+def test_widths_and_numbers(load, spark, tmp_path):
+    _, found, _ = load(['one,"a, b, c"', 'x,"two\nlines",z', "1,2,3,4"], "w.csv", "Computer,Message,Process")
+    got = sorted((r.row, r.line_start, r.line, r.code, r.value.split(".")[0]) for r in found.collect() if r.stage == 1)
+    assert got == [(1, 2, 2, "missing_csv_fields", "Attese 3 colonne; trovate 2"), (3, 5, 5, "extra_csv_fields", "Attese 3 colonne; trovate 4")]
+    (tmp_path / "many.log").write_text("".join(f"line {k}\n" for k in range(1, 5001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = readers.text_lines(spark, [f"file://{tmp_path}/many.log"])
+        assert lines.rdd.getNumPartitions() > 4 and lines.filter("value <> concat('line ', row)").count() == 0 and lines.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_two_files_give_what_each_gives_alone(load, spark, tmp_path):
+    """Files with the same hosts and times, under the scope of their source, and the figures of both together."""
+    both = [demo(), [*demo(), row(15.2, "connection timed out; retrying DST=192.0.2.41 DPT=443")]]
+    alone = []
+    for k, rows in enumerate(both):
+        events, _, _ = load(rows, f"f{k}.csv")
+        alone.append(events)
+    together = alone[0].unionByName(alone[1])
+    plain = lambda r: {k: v for k, v in r.asDict(True).items() if k != "source"}
+    tidy = lambda d: {**d, "evidence": [{k: v for k, v in e.items() if k != "source"} for e in d["evidence"]]}
+    for k, events in enumerate(alone):
+        source = events.first().source
+        want = sorted((tidy(plain(r)) for r in dossiers(events, P).collect()), key=lambda d: d["incident_id"])
+        got = sorted((tidy(plain(r)) for r in dossiers(together, P, ("source",)).filter(F.col("source") == source).collect()), key=lambda d: d["incident_id"])
+        assert got == want and all(s["checks"] for d in got for s in d["suggestions"])
+        assert sorted(map(str, summary.chart(events, 300).collect())) == sorted(map(str, summary.chart(together, 300, ("source",)).filter(F.col("source") == source).drop("source").collect()))
+        assert sorted(map(str, summary.distribution(events, "category").collect())) == sorted(map(str, summary.distribution(together, "category", scope=("source",)).filter(F.col("source") == source).drop("source").collect()))
+    one = dossiers(together, P).filter("host_key = 'pc-a'").first()
+    assert one["count"] == 61 and len(one.evidence) == 30 and len({(e.source, e.row) for e in one.evidence}) == 30
 
 
 def test_missing_identity_and_sparse_dates(load):

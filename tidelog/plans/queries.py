@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidelog.catalog import CATEGORIES, CAUSES
 from tidelog.functions import classify as C
@@ -80,7 +81,11 @@ def _folder(spark, name: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-logs-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-logs-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -596,8 +601,8 @@ def csv_export(spark, sf_dir):
     """
     path = _folder(spark, "csv")
     r = records(spark, sf_dir).withColumn("SyslogMessage", F.when(F.col("row") % 5 == 0, F.concat("SyslogMessage", F.lit('\nsecond, "quoted" line'))).otherwise(F.col("SyslogMessage")))
-    most = max(1, min(PARAMS.max_events, PARAMS.max_file_bytes // RECORD_BYTES))
-    r.select(_HEADER).write.options(maxRecordsPerFile=most, header=True, quote='"', escape='"', sep=";", emptyValue="").csv(path)
+    limits = [x for x in (PARAMS.max_events, PARAMS.max_file_bytes and PARAMS.max_file_bytes // RECORD_BYTES) if x is not None]
+    r.select(_HEADER).write.options(maxRecordsPerFile=max(1, min(limits)) if limits else 0, header=True, quote='"', escape='"', sep=";", emptyValue="").csv(path)
     e = _kept(spark, sf_dir, "exported", lambda: readers.read_logs(spark, [path], PARAMS)[0])
     return e.groupBy(seconds(), "host_key", "process", "pid", "severity", "facility", "host_ip", "message").agg(F.count(F.lit(1)).alias("n"))
 
@@ -613,10 +618,14 @@ def text_file(spark, sf_dir):
 
 @query("win12_line_numbers", "select row_number() over () as row, 1::bigint as n from events")
 def line_numbers(spark, sf_dir):
-    """Lines of one large file, numbered over all its stretches."""
+    """Lines of files, each numbered over all its stretches; rows of the files are told together again."""
     path = _folder(spark, "numbered")
-    _lines(spark, sf_dir).select("value").coalesce(1).write.text(path)
-    return readers.text_lines(spark, [path]).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    _lines(spark, sf_dir).select("value").write.text(path)
+    lines = readers.text_lines(spark, [path])
+    # A file of n lines gives each number from 1 to n once; numbered on over all files, they are those of the table.
+    sizes = lines.groupBy("source").agg(F.count(F.lit(1)).alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    return lines.join(sizes.select("source", before.alias("before")), "source").groupBy((F.col("row") + F.col("before")).alias("row")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src7_file_facts")

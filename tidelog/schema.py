@@ -45,8 +45,9 @@ class Params:
     naive_offset: str = "+00:00"
     date_order: str = "DMY"
     delimiter: str = "auto"
-    max_events: int = 250_000
-    max_file_bytes: int = 200 * 1024 * 1024
+    #: Limits of an import, for each file; none by default. What they leave out is reported.
+    max_events: int | None = None
+    max_file_bytes: int | None = None
     as_of_year: int | None = None
 
     def __post_init__(self):
@@ -64,7 +65,7 @@ class Params:
         if self.delimiter not in ("auto", ",", ";", "\t", "|"):
             raise ValueError("delimiter must be auto, comma, semicolon, tab or pipe.")
         for name in ("max_events", "max_file_bytes"):
-            if not whole(getattr(self, name), 1, 1 << 62):
+            if getattr(self, name) is not None and not whole(getattr(self, name), 1, 1 << 62):
                 raise ValueError(f"{name} must be a positive whole number.")
         offset_seconds(self.naive_offset)
 

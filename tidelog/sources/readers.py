@@ -6,10 +6,12 @@ import csv
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidelog.functions.text import normal_header
 from tidelog.operators.issues import FIELD_NAMES
@@ -19,91 +21,123 @@ from tidelog.schema import ALIASES, EXPECTED, Params
 
 _BAD = "_bad_record"
 SEPARATORS = (",", ";", "\t", "|")
+#: Files of up to so many bytes are checked as a whole, larger ones line by line.
+WHOLE_BYTES = 64 << 20
 
 
 def _suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
 
 
+def _quotes(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, '[^"]', ""))
+
+
 def file_facts(spark: SparkSession, paths: list[str], params: Params) -> DataFrame:
-    """(source, kind, content_bytes, encoding, sha256, problem) of each .csv, .txt and .log file.
+    """(source, kind, content_bytes, encoding, sha256, problem, first_line) of each .csv, .txt and .log file.
 
     Encoding is UTF-16 by its mark, else UTF-8; size and digest are those of the UTF-8 text. ``problem`` is the
     code that blocks the file: file_too_large, null_bytes (also for bytes that are no UTF-8), csv_syntax (quotes left open), or null.
-    Contents of files over four times the limit are not read.
+    first_line is the first line of a CSV file that isn't blank. Of files of more than WHOLE_BYTES, the lines are checked
+    where they are read; these are taken for UTF-8 and have no digest. Files over the limit of an import aren't read.
     """
     kinds = F.when(_suffix(F.col("path")) == "csv", "csv").when(_suffix(F.col("path")).isin("txt", "log"), "syslog")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).withColumn("kind", kinds).filter("kind is not null")
-    huge = F.col("length") > 4 * params.max_file_bytes
-    small = files.filter(~huge)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).withColumn("kind", kinds).filter("kind is not null")
+    most = params.max_file_bytes
+    # UTF-16 text takes up to twice its bytes, and UTF-8 up to three halves of these.
+    huge = F.col("length") > 4 * most if most else F.lit(False)
+    large = ~huge & (F.col("length") > WHOLE_BYTES)
     mark = F.hex(F.substring("content", 1, 2))
     encoding = F.when(mark.isin("FFFE", "FEFF"), "utf-16").otherwise("utf-8")
     text = F.when(encoding == "utf-16", F.decode("content", "UTF-16")).when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    small = small.select(F.col("path").alias("source"), "kind", encoding.alias("encoding"), text.alias("text"))
-    quotes = F.length(F.regexp_replace("text", '[^"]', "")) % 2 == 1
     size = F.octet_length("text").cast("long")
-    problem = (
-        F.when(size > params.max_file_bytes, "file_too_large").when(F.col("text").isNull() | (F.instr("text", "\x00") > 0), "null_bytes")
-        .when((F.col("kind") == "csv") & quotes, "csv_syntax")
-    )
-    known = small.select("source", "kind", size.alias("content_bytes"), "encoding", F.sha2("text", 256).alias("sha256"), problem.alias("problem"))
+    too_large = size > most if most else F.lit(False)
+    first = F.when(F.col("kind") == "csv", F.regexp_extract("text", r"(?U)^\uFEFF?(?:[^\S\n]*\n)*([^\n]*)", 1))
+    problem = F.when(too_large, "file_too_large").when(F.col("text").isNull() | (F.instr("text", "\x00") > 0), "null_bytes").when((F.col("kind") == "csv") & (_quotes(F.col("text")) % 2 == 1), "csv_syntax")
+    small = listed.filter(~huge & ~large).select(F.col("path").alias("source"), "kind", encoding.alias("encoding"), text.alias("text"))
+    known = small.select("source", "kind", size.alias("content_bytes"), "encoding", F.sha2("text", 256).alias("sha256"), problem.alias("problem"), first.alias("first_line"))
     none = F.lit(None).cast("string")
-    return known.unionByName(files.filter(huge).select(F.col("path").alias("source"), "kind", F.col("length").alias("content_bytes"), none.alias("encoding"), none.alias("sha256"), F.lit("file_too_large").alias("problem")))
+    over = listed.filter(huge).select(F.col("path").alias("source"), "kind", F.col("length").alias("content_bytes"), none.alias("encoding"), none.alias("sha256"), F.lit("file_too_large").alias("problem"), none.alias("first_line"))
+    by_lines = [(r["path"], r["kind"], r["length"]) for r in listed.filter(large).select("path", "kind", "length").collect()]  # a row for each large file
+    out = known.unionByName(over)
+    if not by_lines:
+        return out
+    lines = _text(spark, [r[0] for r in by_lines])
+    seen = lines.groupBy("source").agg(
+        F.sum(_quotes(F.col("value"))).alias("quotes"),
+        F.bool_or(~F.is_valid_utf8("value") | (F.instr("value", "\x00") > 0)).alias("odd_bytes"),
+        F.min(F.when(F.col("value").rlike(r"(?U)\S"), F.struct("id", "value")))["value"].alias("first"),
+    )
+    sizes = spark.createDataFrame(by_lines, "source string, kind string, content_bytes long")
+    problem = F.when(F.col("content_bytes") > most if most else F.lit(False), "file_too_large").when(F.coalesce("odd_bytes", F.lit(False)), "null_bytes").when((F.col("kind") == "csv") & (F.col("quotes") % 2 == 1), "csv_syntax")
+    return out.unionByName(sizes.join(seen, "source", "left").select("source", "kind", "content_bytes", F.lit("utf-8").alias("encoding"), none.alias("sha256"), problem.alias("problem"), F.when(F.col("kind") == "csv", F.regexp_replace("first", "^\uFEFF", "")).alias("first_line")))
+
+
+def _text(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of text files with source, block (where their stretch of the file begins) and id, which grows along each file."""
+    return spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the rows of each stretch of a file, in the order in which a task reads them."""
+    """Number the records of each file, and the lines that they begin and end on, in the order in which a task reads them."""
     here, n, lines = None, 0, 0
     for batch in batches:
-        row, start, end = [], [], []
-        for source, block, breaks in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("source", "block", "breaks")), strict=True):
-            if (source, block) != here:
-                here, n, lines = (source, block), 0, 0
-            n += 1
-            row.append(n)
-            start.append(lines + 1)
-            lines += 1 + (breaks or 0)
-            end.append(lines)
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in (row, start, end))], names=[*batch.schema.names, "n", "first_line", "last_line"])
+        if not batch.num_rows:
+            continue
+        at = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+        codes = at("source").dictionary_encode()
+        names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        tall = at("breaks").fill_null(0).to_numpy().astype(np.int64) + 1
+        starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        row, last = np.arange(1, len(code) + 1), np.cumsum(tall)
+        for first, end in zip(starts, np.append(starts[1:], len(code)), strict=True):
+            if names[code[first]] != here:
+                here, n, lines = names[code[first]], 0, 0
+            before = last[first] - tall[first]
+            row[first:end] += n - first
+            last[first:end] += lines - before
+            n, lines = int(row[end - 1]), int(last[end - 1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row), pa.array(last - tall + 1), pa.array(last)], names=[*batch.schema.names, "row", "line_start", "line"])
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Add row, line_start and line to rows read from files (source, block, breaks: line breaks within the row).
+    """Add row, line_start and line to records of files that a task reads whole (source, breaks: line breaks within the record)."""
+    return df.mapInArrow(_places, T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in ("row", "line_start", "line"))]))
 
-    Rows are numbered where they are read; what the stretches before hold is added up for each file.
-    """
-    longs = [T.StructField(c, T.LongType()) for c in ("n", "first_line", "last_line")]
-    out = df.mapInArrow(_places, T.StructType([*df.schema.fields, *longs]))
-    held = out.groupBy("source", "block").agg(F.max("n").alias("rows"), F.max("last_line").alias("lines"))
-    a, b = held.alias("a"), held.alias("b")
-    before = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("b.block") < F.col("a.block"))).groupBy("a.source", "a.block").agg(F.sum("b.rows").alias("rows_before"), F.sum("b.lines").alias("lines_before"))
-    base = lambda c: F.coalesce(c, F.lit(0))
-    return (
-        out.join(before, ["source", "block"], "left")
-        .withColumn("row", F.col("n") + base("rows_before")).withColumn("line_start", F.col("first_line") + base("lines_before")).withColumn("line", F.col("last_line") + base("lines_before"))
-        .drop("n", "first_line", "last_line", "rows_before", "lines_before")
-    )
 
+def text_lines(spark: SparkSession, paths: list[str], wide: list[str] | None = None) -> DataFrame:
+    """(source, row, line_start, line, value) of the lines of text files that aren't blank; only a line feed ends a line.
 
-def text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source, row, line_start, line, value) of the lines of text files that aren't blank; only a line feed ends a line."""
-    lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.lit(0).alias("breaks"))
-    return numbered(lines).filter(F.col("value").rlike(r"(?U)\S")).select("source", "row", "line_start", "line", "value")
-
-
-def headers(spark: SparkSession, paths: list[str], separator: str = "auto") -> list[tuple[str, str, list[str]]]:
-    """(source, separator, columns) of each CSV file; a row for each file comes to the driver.
-
-    An unknown separator is the one by which the first line that isn't blank has most known names.
+    Lines are numbered by their place in their stretch of the file and the lines of the stretches before it. ``wide``
+    are files in UTF-16, which are decoded as a whole.
+    """
+    parts = []
+    if paths:
+        lines = _text(spark, paths)
+        held = lines.groupBy("source", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("lines"))
+        before = F.sum("lines").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+        held = held.select("source", "block", (F.coalesce(before, F.lit(0)) + 1 - F.col("first")).alias("shift"))
+        parts.append(lines.join(held, ["source", "block"]).select("source", (F.col("id") + F.col("shift")).alias("row"), "value"))
+    if wide:
+        files = spark.read.format("binaryFile").load(wide).select(F.col("path").alias("source"), F.posexplode(F.split(F.decode("content", "UTF-16"), "\n")).alias("at", "value"))
+        parts.append(files.select("source", (F.col("at") + 1).cast("long").alias("row"), "value"))
+    out = reduce(DataFrame.union, parts)
+    return out.filter(F.col("value").rlike(r"(?U)\S")).select("source", "row", F.col("row").alias("line_start"), F.col("row").alias("line"), "value")
+
+
+def headers(first_lines: list[tuple[str, str | None]], separator: str = "auto") -> list[tuple[str, str, list[str]]]:
+    """(source, separator, columns) of CSV files by their first lines.
+
+    An unknown separator is the one by which the line has most known names.
     """
-    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value").filter(F.col("value").rlike(r"(?U)\S"))
     known = {a for names in ALIASES.values() for a in names}
     out = []
-    for r in lines.groupBy("source").agg(F.min(F.struct("block", "n", "value")).alias("first")).select("source", "first.value").collect():
-        line = r["value"].lstrip("﻿").rstrip("\r")
+    for source, line in first_lines:
+        line = (line or "").lstrip("\ufeff").rstrip("\r")
         cells = {s: next(csv.reader([line], delimiter=s), []) for s in SEPARATORS}
         best = max(SEPARATORS, key=lambda s: sum(normal_header(x) in known for x in cells[s])) if separator == "auto" else separator
-        out.append((r["source"], best, cells[best]))
+        if cells[best]:
+            out.append((source, best, cells[best]))
     return sorted(out)
 
 
@@ -134,46 +168,49 @@ def header_issues(found: list[tuple[str, str, list[str]]]) -> tuple[list[tuple],
     return rows, blocked
 
 
-def csv_records(spark: SparkSession, paths: list[str], separator: str, columns: list[str], multiline: bool = True) -> DataFrame:
+def csv_records(spark: SparkSession, paths: list[str], separator: str, columns: list[str], encoding: str = "utf-8") -> DataFrame:
     """Records of CSV files of one header: its columns, source, row, line_start, line, width and malformed.
 
     Blank rows don't count; a record whose width isn't the header's is malformed and has no cells. Line numbers take in
-    line breaks within cells, but not blank lines. multiline=False lets Spark split large files that have no such breaks.
+    line breaks within cells, but not blank lines. As a cell may hold any, a file is read by one task.
     """
     cells = [f"c{k}" for k in range(len(columns))]
     schema = ", ".join([*(f"{c} string" for c in cells), f"{_BAD} string"])
-    read = spark.read.schema(schema).options(header=True, enforceSchema=True, sep=separator, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, maxCharsPerColumn=-1, nullValue="\x00", emptyValue="").csv(paths)
+    read = spark.read.schema(schema).options(header=True, enforceSchema=True, sep=separator, quote='"', escape='"', multiLine=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, maxCharsPerColumn=-1, nullValue="\x00", emptyValue="").csv(paths)
     breaks = F.aggregate(F.array(*(F.length(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\n]", "")) for c in cells)), F.lit(0), lambda a, x: a + x)
-    rows = read.select(*cells, _BAD, F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), breaks.alias("breaks"))
+    rows = read.select(*cells, _BAD, F.col("_metadata.file_path").alias("source"), breaks.alias("breaks"))
     out = numbered(rows)
-    width = F.size(F.split(F.col(_BAD), "[" + separator + "]", -1))
+    bare = F.regexp_replace(F.col(_BAD), r'"(?:[^"]|"")*"', "")  # separators within quotes part no cells
+    width = F.size(F.split(bare, "[" + separator + "]", -1))
     return out.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in zip(cells, columns, strict=True)), "source", "row", (F.col("line_start") + 1).alias("line_start"), (F.col("line") + 1).alias("line"), F.col(_BAD).isNotNull().alias("malformed"), F.when(F.col(_BAD).isNotNull(), width).alias("width"), F.col(_BAD).alias("bad"))
 
 
-def capped(records: DataFrame, limit: int) -> DataFrame:
+def capped(records: DataFrame, limit: int | None) -> DataFrame:
     """The first ``limit`` records of each file: the limit of an import. ``row`` counts records from 1."""
-    return records.filter(F.col("row") <= limit)
+    return records if limit is None else records.filter(F.col("row") <= limit)
 
 
 def read_logs(spark: SparkSession, paths: list[str], params: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, found, files) of all CSV and text files: normalised events, FOUND diagnostics, and a row for each file.
 
-    Files with a problem give no events. The two lists of paths are on the driver; contents never are.
+    Files with a problem give no events. A row for each file comes to the driver, with the first line of CSV files;
+    contents never do. Files of one header are read as one table.
     """
     facts = file_facts(spark, paths, params).cache()
-    listed = facts.select("source", "kind", "problem").collect()
-    good = {k: [r["source"] for r in listed if r["kind"] == k and r["problem"] is None] for k in ("csv", "syslog")}
+    listed = facts.select("source", "kind", "problem", "encoding", "first_line").collect()
+    good = {k: [r for r in listed if r["kind"] == k and r["problem"] is None] for k in ("csv", "syslog")}
+    wide = {r["source"] for r in listed if r["encoding"] == "utf-16"}
     rows = [(r["source"], r["problem"], 0, None, None, None, 0, "", "") for r in listed if r["problem"]]
-    heads = headers(spark, good["csv"], params.delimiter) if good["csv"] else []
+    heads = headers([(r["source"], r["first_line"]) for r in good["csv"]], params.delimiter)
     more, blocked = header_issues(heads)
     rows += more
-    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    groups: dict[tuple[str, tuple[str, ...], str], list[str]] = {}
     for source, separator, columns in heads:
         if source not in blocked:
-            groups.setdefault((separator, tuple(columns)), []).append(source)
+            groups.setdefault((separator, tuple(columns), "UTF-16" if source in wide else "UTF-8"), []).append(source)
     events, bad, read = [], [], []
-    for (separator, columns), sources in groups.items():
-        records = csv_records(spark, sources, separator, list(columns))
+    for (separator, columns, encoding), sources in groups.items():
+        records = csv_records(spark, sources, separator, list(columns), encoding)
         read.append(records.select("source", "row", "malformed"))
         records = capped(records, params.max_events)
         code = F.when(F.col("width") > len(columns), "extra_csv_fields").otherwise("missing_csv_fields")
@@ -181,12 +218,14 @@ def read_logs(spark: SparkSession, paths: list[str], params: Params = Params())
         bad.append(records.filter("malformed").select("source", code.alias("code"), F.lit(1).alias("stage"), "row", "line_start", "line", F.lit(0).alias("place"), F.lit("").alias("column"), F.substring(value, 1, 240).alias("value")))
         events.append(normalize(records.filter(~F.col("malformed")).drop("malformed", "width", "bad"), params))
     if good["syslog"]:
-        lines = text_lines(spark, good["syslog"])
+        sources = [r["source"] for r in good["syslog"]]
+        lines = text_lines(spark, [x for x in sources if x not in wide], [x for x in sources if x in wide])
         read.append(lines.select("source", "row", F.lit(False).alias("malformed")))
         events.append(normalize_lines(capped(lines, params.max_events), params))
     found = reduce(DataFrame.unionByName, [spark.createDataFrame(rows, FOUND), *bad])
     empty = spark.createDataFrame([], "source string, row long, malformed boolean")
-    counts = reduce(DataFrame.unionByName, [empty, *read]).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("malformed") & (F.col("row") <= params.max_events)).alias("skipped"), F.count_if(F.col("row") > params.max_events).alias("over"))
+    over = F.col("row") > params.max_events if params.max_events else F.lit(False)
+    counts = reduce(DataFrame.unionByName, [empty, *read]).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("malformed") & ~over).alias("skipped"), F.count_if(over).alias("over"))
     stopped = spark.createDataFrame([(s,) for s in {r[0] for r in rows if r[1] in ("duplicate_headers", "empty_header", "unrecognized_columns")}] , "source string").withColumn("stopped", F.lit(True))
     n = lambda c: F.coalesce(c, F.lit(0))
     files = (
