@@ -39,7 +39,7 @@ BATCH = 15
 #: Posterior probability of a similarity at the threshold under which a pair is pruned.
 MISS = 1e-7
 #: Classes in one block of a comparison within a mixed bucket, and bytes of their compressed texts.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 _random = np.random.default_rng(20240101)
 _FLIP = _random.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLY = _random.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
