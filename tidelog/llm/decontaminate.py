@@ -30,7 +30,7 @@ from tidelog.llm.common import Words, blocks, grams, mix
 EDITS_PER = 5
 #: Share of the matches at the edit limit that the tables find at least; places sampled in each table, out of the first
 #: REACHED n steps of a walk over n words, most of which it takes before its text ends.
-RECALL, SAMPLED, REACHED = 0.99, 2, 1.5
+RECALL, SAMPLED, REACHED = 0.999, 2, 1.5
 #: Text bytes of the benchmark that go to the tasks in one pass; a larger one takes several passes.
 ITEM_BYTES = 16 << 20
 _LUT_BITS = 20
