@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import bpe, decontaminate, langid, minhash, toxicity
-from tidelog.llm.common import shared_folder
+from tidelog.llm.common import remove_at_exit, shared_folder
 
 #: Near-duplicates of the pipeline: word 5-grams, similarity 0.8 or more.
 PERCENT = 80
@@ -56,6 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_folder(spark)
+    remove_at_exit(spark, folder)
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
