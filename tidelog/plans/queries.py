@@ -36,9 +36,19 @@ _MESSAGES = {  # event type and remainder: process tag and message, in functions
 }
 
 
-def _case(what: int) -> str:
+_BURST_MESSAGES = _MESSAGES | {  # as above, with failing services and traffic in both directions
+    "click": ("kernel", "case when event_id % 3 = 0 then concat('SRC=192.0.2.', k % 20 + 1, ' DST=10.0.0.', user_id % 8 + 1, ' SPT=', 1024 + event_id % 7, ' DPT=', k) else concat('SRC=10.0.0.', user_id % 8 + 1, ' DST=192.0.2.', k % 20 + 1, ' SPT=', 1024 + event_id % 7, ' DPT=', k) end"),
+    "view": ("systemd", "case when event_id % 3 = 0 then concat('svc', k % 7, '.service main process exited') else concat('Started svc', k % 7, '.service.') end"),
+}
+#: Hosts of the bursts: each sees mostly one kind of event.
+_BURST_HOST = "case when event_type = 'signup' and event_id % 2 = 0 then 'pc-other' when event_type in ('error', 'signup') then 'pc-auth' else concat('pc-', event_type) end"
+#: Half of a day's events of the bursts fall into its first hour.
+_BURST = "event_id % 8 < 4"
+
+
+def _case(what: int, messages: dict[str, tuple[str, str]] = _MESSAGES) -> str:
     tag = lambda t: f"'{t}'"
-    pick = {k: (tag(v[0]) if what == 0 else v[1]) for k, v in _MESSAGES.items()}
+    pick = {k: (tag(v[0]) if what == 0 else v[1]) for k, v in messages.items()}
     svc = "concat('svc', k % 7, '.service[', event_id % 3 + 100, ']')" if what == 0 else pick["purchase0"]
     return (
         f"case when event_type = 'error' and event_id % 3 = 0 then {pick['error0']} when event_type = 'error' then {pick['error']}"
@@ -51,13 +61,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the seven columns of an export, all text, with source and row."""
+def records(spark: SparkSession, sf_dir: str, bursts: bool = False) -> DataFrame:
+    """Events as the seven columns of an export, all text, with source and row; ``bursts`` moves them in time and host."""
     e = _table(spark, sf_dir, "events")
     # Parsing costs far more than reading: events of a file that can't be split are dealt to all cores first.
     cores = spark.sparkContext.defaultParallelism
     e = e.repartition(cores) if e.select("event_id").rdd.getNumPartitions() < cores else e
     e = e.withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("at", F.date_trunc("second", F.col("ts").cast("timestamp")))
+    if bursts:
+        e = e.withColumn("at", F.when(F.expr(_BURST), F.timestamp_seconds(F.unix_timestamp(F.date_trunc("day", "at")) + F.unix_timestamp("at") % 3600)).otherwise(F.col("at")))
+    host, messages = (_BURST_HOST, _BURST_MESSAGES) if bursts else ("concat('pc-', user_id % 8)", _MESSAGES)
     iso = "yyyy-MM-dd'T'HH:mm:ss"
     time = (
         F.when(F.expr("event_id % 4 = 0"), F.concat(F.date_format("at", iso), F.lit("Z")))
@@ -67,11 +80,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return e.select(
         time.alias("TimeGenerated"),
-        F.expr("concat('pc-', user_id % 8)").alias("Computer"),
+        F.expr(host).alias("Computer"),
         F.expr("case when event_id % 25 = 24 then 'weird' else cast(event_id % 25 as string) end").alias("Facility"),
         F.expr("case when event_id % 9 = 8 then 'custom' else cast(event_id % 9 as string) end").alias("SecurityLevel"),
-        F.expr(_case(1)).alias("SyslogMessage"),
-        F.expr(_case(0)).alias("Processname"),
+        F.expr(_case(1, messages)).alias("SyslogMessage"),
+        F.expr(_case(0, messages)).alias("Processname"),
         F.expr("concat('10.0.0.', user_id % 8 + 1)").alias("HostIP"),
         F.lit("events").alias("source"), (F.col("event_id") + 1).alias("row"), (F.col("event_id") + 2).alias("line_start"), (F.col("event_id") + 2).alias("line"),
     )
@@ -110,6 +123,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kept(spark, sf_dir, "events", lambda: enrich(normalize(records(spark, sf_dir), PARAMS)))
 
 
+def burst_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "bursts", lambda: enrich(normalize(records(spark, sf_dir, bursts=True), PARAMS)))
+
+
 def seconds(c: str = "timestamp"):
     return F.floor(F.unix_micros(c) / 1_000_000).alias(c)
 
@@ -136,11 +153,13 @@ def _category() -> str:
     return out + " else 'other' end"
 
 
-LOGS = f"""
+def _logs(messages: dict[str, tuple[str, str]], host: str, time: str) -> str:
+    """CTEs ending in ``logs``: what the events say as log records."""
+    return f"""
 raw as (
-  select *, cast(json_extract_string(props, '$.k') as bigint) as k, cast(floor(epoch(ts)) as bigint) as t from events
+  select *, cast(json_extract_string(props, '$.k') as bigint) as k, cast(floor(epoch(ts)) as bigint) as moment from events
 ), tagged as (
-  select event_id + 1 as row, t, {_case(0)} as tag, {_case(1)} as message, concat('pc-', user_id % 8) as host_key, concat('10.0.0.', user_id % 8 + 1) as host_ip,
+  select event_id + 1 as row, {time} as t, {_case(0, messages)} as tag, {_case(1, messages)} as message, {host} as host_key, concat('10.0.0.', user_id % 8 + 1) as host_ip,
     case when event_id % 9 = 8 then 'custom' else {_SEVERITY}[event_id % 9 + 1] end as severity,
     case when event_id % 25 = 24 then 'weird' else {_FACILITY}[event_id % 25 + 1] end as facility, event_id % 4 as form
   from raw
@@ -149,19 +168,24 @@ raw as (
 ), logs as (
   select *, {_category()} as category,
     trim(regexp_replace(regexp_replace(regexp_replace(message, '\\b(?:[0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}\\b', '<ip>', 'g'), '\\[[0-9]+\\]', '[<pid>]', 'g'), '\\s+', ' ', 'g')) as template,
-    case when process = 'kernel' then host_ip when process = 'sshd' then regexp_extract(message, 'from ([0-9.]+)', 1) else '' end as src,
+    case when process = 'kernel' then regexp_extract(message, 'SRC=([0-9.]+)', 1) when process = 'sshd' then regexp_extract(message, 'from ([0-9.]+)', 1) else '' end as src,
     regexp_extract(message, 'DST=([0-9.]+)', 1) as dst, try_cast(regexp_extract(message, 'DPT=([0-9]+)', 1) as int) as dst_port,
     try_cast(regexp_extract(message, 'SPT=([0-9]+)', 1) as int) as src_port, regexp_extract(message, ' for (user[0-9]+) ', 1) as usr,
-    case when process = 'kernel' then 'outbound' else 'unknown' end as direction, (t // {S_}) * {S_} as bucket
+    case when process <> 'kernel' then 'unknown' when message like 'SRC=10.%' then 'outbound' else 'inbound' end as direction, (t // {S_}) * {S_} as bucket
   from named
 )"""
-COUNTS = f"""{LOGS}, pc as (
+
+
+LOGS = _logs(_MESSAGES, "concat('pc-', user_id % 8)", "moment")
+BURSTS = _logs(_BURST_MESSAGES, _BURST_HOST, f"case when {_BURST} then (moment // 86400) * 86400 + moment % 3600 else moment end")
+_COUNTED = f"""pc as (
   select host_key, process, bucket, count(*) as n, min(t * 10000000 + row) as first from logs group by all
 ), hc as (
   select host_key, bucket, sum(n)::bigint as n from pc group by all
 ), begins as (
   select host_key, min(bucket) as begin from hc group by all
 )"""
+COUNTS = f"{LOGS}, {_COUNTED}"
 
 
 def _baseline(source: str, keys: str, name: str) -> str:
@@ -183,8 +207,9 @@ def _baseline(source: str, keys: str, name: str) -> str:
 )"""
 
 
-BASES = f"{COUNTS}, {_baseline('hc', 'c.host_key', 'hb')}, {_baseline('pc', 'c.host_key, c.process', 'pb')}"
-CANDIDATES = f"""{BASES}, byp as (
+_BASED = f"{_baseline('hc', 'c.host_key', 'hb')}, {_baseline('pc', 'c.host_key, c.process', 'pb')}"
+BASES = f"{COUNTS}, {_BASED}"
+_CHOSEN = f"""byp as (
   select host_key, bucket, bool_or(detected) as process_detected from pb group by all
 ), wins as (
   select hb.*, process_detected, hb.detected or process_detected as flagged from hb join byp using (host_key, bucket)
@@ -199,6 +224,8 @@ CANDIDATES = f"""{BASES}, byp as (
 ), inc as (
   select logs.*, top.incident_id from logs join top using (host_key, bucket)
 )"""
+CANDIDATES = f"{BASES}, {_CHOSEN}"
+BURST_CANDIDATES = f"{BURSTS}, {_COUNTED}, {_BASED}, {_CHOSEN}"
 _TOP_COLUMNS = "n as count, round_even(mean, 3) as baseline, nw as baseline_windows, med as median, mad, cutoff, case when mean > 0 then round_even(n / mean, 2) end as ratio, detected"
 _STATS = ["count", "baseline", "baseline_windows", "median", "mad", "cutoff", "ratio", "detected"]
 
@@ -394,38 +421,80 @@ def previous_categories(spark, sf_dir):
 _CAUSES = "(values " + ", ".join(f"({_q(c.id)}, {_q(k)}, {c.min_count}, {c.min_percent}, {_q(c.gate)})" for c in CAUSES for k in c.categories) + ") as causes(cause, category, min_count, min_percent, gate)"
 
 
-@query("agg12_hypotheses", f"""with {CANDIDATES}, m as (select inc.*, cause, min_count, min_percent, gate from inc join {_CAUSES} using (category)),
-t as (select incident_id, count(*) as total from inc group by all),
-peer as (select incident_id, cause, max(a) as attempts from (select incident_id, cause, src, count(*) as a from m where src <> '' group by all) group by all),
+_WHY = """case gate when 'auth_peer' then printf(' %d fallimenti con sorgente esplicita %s.', attempts, peer) when 'service_failure' then printf(' %d errori/riavvii di servizio.', fl)
+ when 'scan_evidence' then case when sc >= 3 then printf(' %d segnalazioni esplicite di scansione.', sc) else printf(' %d eventi in uscita, %d destinazioni e %d porte distinte.', o, d, p) end else '' end"""
+_HYPOTHESES = f"""m as (select inc.*, cause, min_count, min_percent, gate from inc join {_CAUSES} using (category)),
+tot as (select incident_id, count(*) as total from inc group by all),
+peers as (select incident_id, cause, src as peer, count(*) as attempts, min(t * 10000000 + row) as first from m where src <> '' group by all),
+best as (select * from peers qualify row_number() over (partition by incident_id, cause order by attempts desc, first) = 1),
 prev as (select incident_id, category, count(*) as n from top join logs on logs.host_key = top.host_key and logs.bucket between top.bucket - {12 * S_} and top.bucket - {S_} group by all),
 past as (select incident_id, sum(n) as past_total from prev group by all),
 pastc as (select incident_id, cause, sum(n) as past from prev join {_CAUSES} using (category) group by all),
-f as (select incident_id, cause, min_count, min_percent, gate, count(*) as count, count(*) filter (direction = 'outbound') as o, count(distinct case when direction = 'outbound' then nullif(dst, '') end) as d, count(distinct case when direction = 'outbound' then dst_port end) as p, count(*) filter (category = 'service_failure') as fl, count(*) filter (category = 'scan_alert') as sc from m group by all)
-select incident_id, cause, count, round_even(100 * count / total::double, 2) as percent, round_even(100 * coalesce(past, 0) / past_total::double, 2) as baseline_percent,
- round_even(100 * count / total::double - 100 * coalesce(past, 0) / past_total::double, 2) as delta_pp, case when 100 * count / total::double >= 60 then 'componente dominante' else 'contributo parziale' end as support
-from f join t using (incident_id) left join peer using (incident_id, cause) left join past using (incident_id) left join pastc using (incident_id, cause)
-where count >= min_count and 100 * count / total::double >= min_percent and (gate = '' or (gate = 'auth_peer' and attempts >= 5) or (gate = 'service_failure' and fl >= 2) or (gate = 'scan_evidence' and (sc >= 3 or (o >= 10 and (d >= 10 or p >= 10)))))""")
-def hypotheses(spark, sf_dir):
-    e = events(spark, sf_dir)
+f as (select incident_id, cause, min_count, min_percent, gate, count(*) as count, count(*) filter (direction = 'outbound') as o, count(distinct case when direction = 'outbound' then nullif(dst, '') end) as d, count(distinct case when direction = 'outbound' then dst_port end) as p,
+  count(*) filter (category = 'service_failure') as fl, count(*) filter (category = 'scan_alert') as sc, list(row order by t, row)[1:5] as evidence_rows from m group by all),
+gated as (select *, 100 * count / total::double as share, 100 * coalesce(past, 0) / past_total::double as before from f join tot using (incident_id) left join best using (incident_id, cause) left join past using (incident_id) left join pastc using (incident_id, cause)
+  where count >= min_count and 100 * count / total::double >= min_percent and (gate = '' or (gate = 'auth_peer' and attempts >= 5) or (gate = 'service_failure' and fl >= 2) or (gate = 'scan_evidence' and (sc >= 3 or (o >= 10 and (d >= 10 or p >= 10)))))),
+hyp as (select *, round_even(share, 2) as percent, row_number() over (partition by incident_id order by round_even(share, 2) desc, cause)::int as rank,
+  printf('%d/%d eventi (%.1f%%). Regola: almeno %d eventi e %d%%.', count, total, round_even(share, 1), min_count, min_percent) || {_WHY} as reason from gated)"""
+_HYPOTHESIS_COLUMNS = "incident_id, cause, count, percent, round_even(before, 2) as baseline_percent, round_even(share - before, 2) as delta_pp, case when share >= 60 then 'componente dominante' else 'contributo parziale' end as support, reason, rank, array_to_string(evidence_rows, ',') as evidence_rows"
+_HYPOTHESIS = ["incident_id", "cause", "count", "percent", "baseline_percent", "delta_pp", "support", "reason", "rank"]
+# Failed logins of one address and user are kept until a login ends three or more of them.
+_SEQUENCES = """lg as (select incident_id, src, usr, t, row, category = 'auth_success' as ok, row_number() over (partition by incident_id, src, usr order by t, row) as i from inc where category in ('auth_failure', 'auth_success') and src <> '' and usr <> ''),
+fold as (select incident_id, src, usr, i, case when ok then [] else [row] end::bigint[] as held, case when not ok then t end as begin, null::bigint[] as made, 0::bigint as failures, null::bigint as started, t as "end", row from lg where i = 1
+  union all select lg.incident_id, lg.src, lg.usr, lg.i, case when not ok then list_append(held, lg.row) when len(held) >= 3 then [] else held end, case when not ok then coalesce(begin, lg.t) when len(held) >= 3 then null else begin end,
+  case when ok and len(held) >= 3 then list_append(held[1:4], lg.row) end, case when ok and len(held) >= 3 then len(held) else 0 end, begin, lg.t, lg.row from fold join lg on lg.incident_id = fold.incident_id and lg.src = fold.src and lg.usr = fold.usr and lg.i = fold.i + 1),
+seq as (select incident_id, src, usr, failures, started as begin, "end", made, row_number() over (partition by incident_id order by "end", row)::int as rank from fold where made is not null qualify rank <= 10)"""
+
+
+def _hypotheses(e: DataFrame) -> DataFrame:
+    top, rows = _incident_rows(e)
+    return incidents.hypotheses(rows, incidents.previous_categories(e, top, PARAMS)).select(*_HYPOTHESIS, F.array_join("evidence_rows", ",").alias("evidence_rows"))
+
+
+def _evidence(e: DataFrame) -> DataFrame:
     top, rows = _incident_rows(e)
-    return incidents.hypotheses(rows, incidents.previous_categories(e, top, PARAMS)).select("incident_id", "cause", "count", "percent", "baseline_percent", "delta_pp", "support")
+    causes = incidents.hypotheses(rows, incidents.previous_categories(e, top, PARAMS))
+    return incidents.evidence(rows, incidents.evidence_rows(rows, causes, incidents.auth_sequences(rows)))
 
 
-@query("win10_auth_sequences")
+@query("agg12_hypotheses", f"with {CANDIDATES}, {_HYPOTHESES} select {_HYPOTHESIS_COLUMNS} from hyp")
+def hypotheses(spark, sf_dir):
+    return _hypotheses(events(spark, sf_dir))
+
+
+@query("agg13_gated_hypotheses", f"with {BURST_CANDIDATES}, {_HYPOTHESES} select {_HYPOTHESIS_COLUMNS} from hyp")
+def gated_hypotheses(spark, sf_dir):
+    """Causes of bursts, in which attackers, failing services and scans pass or miss their gates."""
+    return _hypotheses(burst_events(spark, sf_dir))
+
+
+@query("win10_auth_sequences", f"with recursive {BURST_CANDIDATES}, {_SEQUENCES} select incident_id, src, usr as user, failures, begin, \"end\", array_to_string(made, ',') as rows, rank from seq")
 def auth_sequences(spark, sf_dir):
-    """Login sequences of whole days: windows of an hour hold too few logins of one user."""
-    day = Params(window_minutes=1440, min_events=3)
-    e = events(spark, sf_dir)
-    rows = incidents.incident_events(e, windows.top_incidents(windows.candidates(e, day)), day)
+    """Login sequences of bursts: windows of the plain events hold too few logins of one user."""
+    _, rows = _incident_rows(burst_events(spark, sf_dir))
     return incidents.auth_sequences(rows).select("incident_id", "src", "user", "failures", seconds("begin"), seconds("end"), F.array_join("rows", ",").alias("rows"), "rank")
 
 
 @query("top3_evidence", f"with {CANDIDATES} select incident_id, row from (select incident_id, row, row_number() over (partition by incident_id order by t, row) as r from inc) where r <= 30")
 def evidence(spark, sf_dir):
-    e = events(spark, sf_dir)
-    top, rows = _incident_rows(e)
-    causes = incidents.hypotheses(rows, incidents.previous_categories(e, top, PARAMS))
-    return incidents.evidence(rows, incidents.evidence_rows(rows, causes, incidents.auth_sequences(rows))).select("incident_id", "row")
+    return _evidence(events(spark, sf_dir)).select("incident_id", "row")
+
+
+@query("top3_cited_evidence", f"""with recursive {BURST_CANDIDATES}, {_HYPOTHESES}, {_SEQUENCES},
+cited as (select incident_id, evidence_rows[b] as row, 0 as part, rank as a, b from hyp, range(1, 6) r(b) where b <= len(evidence_rows) union all select incident_id, made[b], 1, rank, b from seq, range(1, 6) r(b) where b <= len(made)
+  union all select incident_id, row, 2, row_number() over (partition by incident_id order by t, row), 0 from inc),
+placed as (select incident_id, row, min(part * 100000000 + a * 10 + b) as place from cited group by all),
+ranked_rows as (select *, row_number() over (partition by incident_id order by place)::int as evidence_rank from placed qualify evidence_rank <= 30)
+select incident_id, row, evidence_rank, t as timestamp, row + 1 as line, 'TimeGenerated' as timestamp_source, host_key as host, host_ip, process, pid, facility, severity, category, message, direction, false as text_truncated from ranked_rows join inc using (incident_id, row)""")
+def cited_evidence(spark, sf_dir):
+    """Evidence of bursts: events that causes and login sequences cite come first."""
+    found = _evidence(burst_events(spark, sf_dir))
+    return found.select("incident_id", "row", "evidence_rank", seconds(), "line", "timestamp_source", "host", "host_ip", "process", "pid", "facility", "severity", "category", "message", "network.direction", "text_truncated")
+
+
+@query("fn18_directions", f"with {BURSTS} select row, src, dst, src_port, dst_port, direction from logs")
+def directions(spark, sf_dir):
+    return burst_events(spark, sf_dir).select("row", "network.src", "network.dst", "network.src_port", "network.dst_port", "network.direction")
 
 
 # --- whole data set --------------------------------------------------------------------------------------------
