@@ -424,3 +424,13 @@ def test_pipeline_stages(spark, texts):
     assert clean == set(texts) - leaks
     final = corpus_pipeline.run(spark, DATA)
     assert 0 < final.count() < len(texts) and "ids" in final.columns
+
+
+@pytest.mark.parametrize("name", ["op3_warc", "op7_minhash_near_dedup"])
+def test_query_agrees_with_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, DATA), con.execute(queries.ORACLE_SQL[name])
+    assert got.columns == [d[0] for d in want.description]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)

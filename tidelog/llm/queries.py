@@ -71,4 +71,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The records that a page table must give, their digests in base32 by groups of five bits of the hexadecimal ones.
+_WARC_SQL = """with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+n as (select *, list_transform(range(1, 41), lambda i: instr('0123456789abcdef', hex[i]) - 1) as half from p),
+d as (select page_id, url, strlen(html) as payload_bytes, array_to_string(list_transform(range(32), lambda g: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((half[g * 5 // 4 + 1] * 16 + coalesce(half[g * 5 // 4 + 2], 0)) // (2 ** (3 - g * 5 % 4))::bigint) % 32 + 1]), '') as payload_digest from n),
+f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, url from f"""
+#: All pairs of documents that share a shingle, linked by their whole sets, and what is reachable from each document.
+_NEAR_DUPLICATES_SQL = r"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')] else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) end as shingles from w),
+g as (select doc_id, len(shingles) as n, unnest(shingles) as shingle from s),
+pairs as (select a.doc_id as u, b.doc_id as v, a.n as nu, b.n as nv, count(*) as same from g a join g b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+links as (select u, v from pairs where 100 * same >= 85 * (nu + nv - same)), both_ways as (select u, v from links union all select v, u from links),
+reach as (select doc_id, doc_id as other from s union select reach.doc_id, v from reach join both_ways on other = u)
+select doc_id, len(shingles)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join (select doc_id, min(other) as component_id from reach group by all) using (doc_id)"""
+#: The other operators train models, search approximately or run a tokenizer: SQL can't express them, tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op3_warc": _WARC_SQL, "op7_minhash_near_dedup": _NEAR_DUPLICATES_SQL}
