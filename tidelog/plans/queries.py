@@ -711,6 +711,22 @@ def dossier_json(spark, sf_dir):
     return sinks.as_json(d, ("incident_id",))
 
 
+@query("snk2_dossier_facts", f"""with recursive {BURST_CANDIDATES}, {_HYPOTHESES}, {_SEQUENCES},
+dh as (select incident_id, count(*) as suggestions, min_by(cause, rank) as cause, min_by(reason, rank) as reason from hyp group by incident_id), dq as (select incident_id, count(*) as sequences, min_by(usr, rank) as login from seq group by incident_id),
+dc as (select incident_id, category, count(*) as n from inc group by incident_id, category qualify row_number() over (partition by incident_id order by count(*) desc, min(t * 10000000 + row)) = 1), dz as (select incident_id, count(distinct category) as categories, least(30, count(*)) as evidence from inc group by incident_id)
+select incident_id, host_key, top.n as count, kind, coalesce(suggestions, 0)::bigint as suggestions, cause, reason, coalesce(sequences, 0)::bigint as sequences, login, categories, category, dc.n as category_count, evidence
+from top join dz using (incident_id) join dc using (incident_id) left join dh using (incident_id) left join dq using (incident_id)""")
+def dossier_facts(spark, sf_dir):
+    """Dossiers of bursts written as JSON, with some of their facts read from it again."""
+    d = sinks.as_json(analysis.dossiers(burst_events(spark, sf_dir), PARAMS), ("incident_id",))
+    told = lambda path: F.get_json_object("json", f"$.{path}")
+    size = lambda part: F.coalesce(F.json_array_length(told(part)), F.lit(0)).cast("long").alias(part)
+    return d.select(
+        "incident_id", told("host_key").alias("host_key"), told("count").cast("long").alias("count"), told("kind").alias("kind"), size("suggestions"), told("suggestions[0].cause").alias("cause"), told("suggestions[0].reason").alias("reason"),
+        size("sequences"), told("sequences[0].user").alias("login"), size("categories"), told("categories[0].name").alias("category"), told("categories[0].count").cast("long").alias("category_count"), size("evidence"),
+    )
+
+
 @query("snk4_tickets")
 def tickets(spark, sf_dir):
     return sinks.ticket(analysis.dossiers(events(spark, sf_dir), PARAMS))
