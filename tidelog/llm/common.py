@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes hashed at once; bounds the working arrays at about 50 bytes for each byte of text.
 BLOCK_BYTES = 1 << 20
@@ -105,8 +106,8 @@ class Words:
     ``starts``/``ends`` are byte places in the block, ``first[d]:first[d + 1]`` the words of text d.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None):
-        """keep: bytes to leave out of the hashed words (True: part of a word); all but white space by default."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = None, fold: bool = True):
+        """keep: bytes to leave out of the hashed words (True: part of a word); all but white space by default. fold: hash A-Z as a-z."""
         n = len(data)
         word = ~_SPACE[data] if keep is None else keep[data]
         begins = np.zeros(n + 1, dtype=bool)
@@ -121,7 +122,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        np.cumsum(((_LOWER[data] if fold else data).astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
 
     def counts(self) -> np.ndarray:
@@ -146,6 +147,28 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
+def bitmap(keys: DataFrame, bits_each: int = 16, most_bits: int = 1 << 28) -> bytes:
+    """A bitmap of the places of the distinct longs in the column ``key``; its size follows from their number, up to ``most_bits``.
+
+    It holds every key, and others by chance: a sixteenth of them, more where the size is at its bound.
+    """
+    seen = stored(keys.select("key"), "keys")
+    size = min(most_bits, max(1 << 18, 1 << (seen.count() * bits_each).bit_length()))
+    bit = F.pmod("key", F.lit(size))
+    rows = seen.select(F.floor(bit / 32768).cast("int").alias("bucket"), F.pmod(bit, F.lit(32768)).alias("bit")).groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toLocalIterator()
+    out = bytearray(size // 8)
+    for r in rows:
+        out[r["bucket"] * 4096 : r["bucket"] * 4096 + 4096] = r["bits"]
+    return bytes(out)
+
+
+def held(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys a ``bitmap`` holds."""
+    table = np.frombuffer(bits, dtype=np.uint8)
+    place = (keys.astype(np.uint64) & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
 def long_array(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, curves, decontaminate, langid, licenses, lm, minhash, sharding, toxicity, warc
+from tidelog.llm import bpe, curves, decontaminate, langid, licenses, lm, minhash, sharding, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"), length=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_bpe_chunk_reuse": op2_bpe_chunk_reuse,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 #: The records that a page table must give, their digests in base32 by groups of five bits of the hexadecimal ones.
 _WARC_SQL = """with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
@@ -85,5 +91,14 @@ pairs as (select a.doc_id as u, b.doc_id as v, a.n as nu, b.n as nv, count(*) as
 links as (select u, v from pairs where 100 * same >= 85 * (nu + nv - same)), both_ways as (select u, v from links union all select v, u from links),
 reach as (select doc_id, doc_id as other from s union select reach.doc_id, v from reach join both_ways on other = u)
 select doc_id, len(shingles)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join (select doc_id, min(other) as component_id from reach group by all) using (doc_id)"""
+#: Windows of 20 words by place; the words of all but the first of equal ones go.
+_SUBSTRINGS_SQL = r"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+v as (select doc_id, list_transform(range(1, len(words) - 18), lambda i: array_to_string(words[i:i + 19], ' ')) as windows from w where len(words) >= 20),
+g as (select doc_id, unnest(windows) as said, generate_subscripts(windows, 1) as i from v),
+r as (select doc_id, i from g qualify row_number() over (partition by said order by doc_id, i) > 1),
+c as (select distinct doc_id, unnest(range(i, i + 20)) as k from r),
+o as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as k from w),
+s as (select doc_id, count(c.k) as n_removed, coalesce(string_agg(word, ' ' order by o.k) filter (c.k is null), '') as kept from o left join c using (doc_id, k) group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join s using (doc_id)"""
 #: The other operators train models, search approximately or run a tokenizer: SQL can't express them, tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op3_warc": _WARC_SQL, "op7_minhash_near_dedup": _NEAR_DUPLICATES_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc": _WARC_SQL, "op7_minhash_near_dedup": _NEAR_DUPLICATES_SQL, "op12_substring_dedup": _SUBSTRINGS_SQL}
