@@ -147,12 +147,12 @@ def test_neighbours(spark):
 
 
 def test_neighbours_in_windows_that_grow_with_the_table(spark):
-    """Windows are smaller than the table; queries of the check tables, then places on the curves in a larger table."""
-    rows = duckdb.sql("select vec_id, embedding from '/root/testdata/check_s/embeddings.parquet/*.parquet' order by vec_id").fetchall()
-    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    """Windows are smaller than the table; queries of one table, then places on the curves in a larger one."""
+    ids, x = np.arange(10_000), np.random.default_rng(7).standard_normal((10_000, 64))
     assert 2 * curves.reach(len(x), 5) + 1 < len(x) / 10
     got = collections.defaultdict(list)
-    for r in queries.QUERIES["op5_hilbert_neighbours"](spark, "/root/testdata/check_s").orderBy("query_id", "rank").collect():
+    table = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.array(list(x))})).repartition(8)
+    for r in curves.search(table, k=5, every=50).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     hit = total = 0
     for q in np.flatnonzero(ids % 50 == 0):
