@@ -1,6 +1,6 @@
 """Alignment of two tokenizers' tokens, with corpus counts of linked id pairs under a minimal perfect hash.
 
-A text is cut into units before each space that follows anything but white space. No token of either tokenizer crosses
+A text is cut into units before each space or line feed that follows anything but white space. No token of either tokenizer crosses
 these cuts, so that a unit's tokens, groups and links are the same wherever it stands; a task aligns a unit once.
 
 1. A first pass aligns all texts and stores how often each batch links each pair of ids.
@@ -15,8 +15,9 @@ The table is broadcast in slices of a bounded size; where it has several, texts
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
-import os
 import re
 from collections.abc import Iterator
 
@@ -32,16 +33,18 @@ from tidelog.llm.common import mix, stored
 SHARD_PAIRS, SLICE_PAIRS, SEGMENT, FAN = 1 << 17, 4 << 20, 1 << 16, 16
 #: Bits of a level for each pair that is left, and levels at most.
 SPREAD, LEVELS = 1.6, 48
-#: Units that a task keeps, and bytes of the longest one kept.
-KEPT_UNITS, KEPT_BYTES = 200_000, 80
+#: Units that a task keeps, and bytes of them.
+KEPT_UNITS, KEPT_BYTES = 300_000, 32 << 20
 #: Bytes of texts whose results are sent on at once.
 SENT_BYTES = 4 << 20
 _B_BITS = 16
-_UNITS = re.compile(r"(?<=\S)(?= )")
+#: Where a text is cut into units; white space ahead of a cut hinders the quick way of cutting.
+_CUTS, _GAPS = re.compile(r"(?<=\S)(?=[ \n])"), re.compile(r"\s[ \n]")
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Tokenizers:
-    """Both tokenizers with the bytes of each id."""
+    """Both tokenizers with the bytes of each id, and the units aligned so far."""
 
     _known: dict[tuple[str, str], Tokenizers] = {}
 
@@ -52,39 +55,125 @@ class Tokenizers:
         return cls._known[a_path, b_path]
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.a.no_truncation()
-        self.a.no_padding()
-        shown = _byte_symbols()
-        tokens = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size(with_added_tokens=True))]
-        self.a_bytes = [bytes(shown[ch] for ch in t) if all(ch in shown for ch in t) else t.encode() for t in tokens]
+
+        with open(a_path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.encode_a, a_bytes = _byte_level(file)
+        self.a_size = np.array([len(x) for x in a_bytes], np.int64)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
-        if len(self.b_bytes) >= 1 << _B_BITS or any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(len(self.b_bytes))):
-            raise ValueError("B's pieces must have their spaces at the front, and ids below 65,536")
-        self.units: dict[str, Unit] = {}
-
-    def ids(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        a = [x.ids for x in self.a.encode_batch(units, add_special_tokens=False)]
-        # B adds the space that a unit begins with; where nothing else is left, a letter ahead keeps it from adding one.
-        letter = len(self.b.encode("a"))
-        b = self.b.encode([x[1:] for x in units], num_threads=1) if units else []
-        for unit, x, y in zip(units, a, b, strict=True):
-            yield x, y if unit.strip(" ") else self.b.encode("a" + unit)[letter:]
-
-    def aligned(self, units: list[str]) -> dict[str, Unit]:
-        """The units of a batch, those known and those aligned now."""
-        if len(self.units) > KEPT_UNITS:
-            self.units.clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.units]
-        out = {u: Unit(u, a, b, self) for u, (a, b) in zip(new, self.ids(new), strict=True)}
-        self.units.update((u, x) for u, x in out.items() if len(u) <= KEPT_BYTES)
-        return out
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        # Ids with what follows them in groups, of A then of B: another id of the side, or the side's end.
+        n, m = len(a_bytes), len(pieces)
+        self.shown = np.array([f"{k}{x}" for size, marks in ((n, ",|"), (m, ",;")) for x in marks for k in range(size)], dtype=object)
+        self._shown_at = (0, n, 2 * n, 2 * n + m)
+        if len(pieces) >= 1 << _B_BITS or any("▁" in x.lstrip("▁") or "\n" in x for x in pieces):
+            raise ValueError("B's pieces must have their spaces at the front and no line feeds, and ids below 65,536")
+        self._letter = len(self.b.encode("a"))
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all units. A unit's row of ``sums``: tokens of A and of B, groups, links, best links, sum of counts, and whether its bytes differ."""
+        self.codes: dict = {}
+        self.links: list[np.ndarray] = []
+        self.groups: list[str] = []
+        self.sums = np.zeros((1 << 12, 7), np.int64)
+        self.size = 0
+
+    def full(self) -> bool:
+        return len(self.codes) > KEPT_UNITS or self.size > KEPT_BYTES
+
+    def add(self, docs: list[list], with_groups: bool) -> tuple[int, np.ndarray]:
+        """Align the units that aren't known yet; the number of those known before, and the links of the new ones."""
+        known = len(self.codes)
+        new = [k for k in dict.fromkeys(itertools.chain.from_iterable(docs)) if k not in self.codes]
+        self.codes.update(zip(new, range(known, known + len(new)), strict=True))
+        units = [_unit(k) for k in new]
+        # B adds the space that a unit begins with; where there is none, or nothing else, a letter ahead keeps it from adding one.
+        quick = [u[0] == " " and bool(u.strip(" ")) for u in units]
+        b = self.b.encode([u[1:] if q else "a" + u for u, q in zip(units, quick, strict=True)], num_threads=1) if units else []
+        b = [x if q else x[self._letter :] for x, q in zip(b, quick, strict=True)]
+        a = [*map(self.encode_a, units)]
+        sums, links, groups = self._align([u.encode() for u in units], a, b, with_groups)
+        while len(self.sums) < known + len(new):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        self.sums[known : known + len(new)] = sums
+        self.links.append(links)
+        self.groups += groups
+        self.size += sum(map(len, units))
+        return known, links
+
+    def _align(self, raw: list[bytes], a: list[list[int]], b: list[list[int]], with_groups: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Rows of ``sums``, the links of all units one after the other, and the groups of each.
+
+        The units stand in a row as one text. Each stretch between two ends of tokens, of either side, is one link: of the
+        tokens that cover it.
+        """
+        n = len(raw)
+        flat = [np.fromiter(itertools.chain.from_iterable(x), np.int64) for x in (a, b)]
+        owner = [np.repeat(np.arange(n), [len(x) for x in side]) for side in (a, b)]
+        size = [self.a_size[flat[0]], self.b_size[flat[1]]]
+        want = np.array([len(x) for x in raw], np.int64)
+        differs = np.zeros(n, bool)
+        for k in (0, 1):
+            differs |= np.bincount(owner[k], size[k], n).astype(np.int64) != want
+        for k, (text, ids) in enumerate(zip(raw, b, strict=True)):
+            if not differs[k] and b"".join([self.b_bytes[i] for i in ids]) != text:
+                differs[k] = True
+        for k in (0, 1):
+            keep = ~differs[owner[k]]
+            flat[k], owner[k], size[k] = flat[k][keep], owner[k][keep], size[k][keep]
+        ends = [np.cumsum(x) for x in size]
+        every = np.union1d(*ends)
+        at = [np.searchsorted(e, every) for e in ends]
+        links = flat[0][at[0]] << _B_BITS | flat[1][at[1]]
+        of = owner[0][at[0]]
+        common = np.isin(ends[0], ends[1], assume_unique=True)
+        sums = np.zeros((n, 7), np.int64)
+        for k, x in enumerate((owner[0], owner[1], owner[0][common], of)):
+            sums[:, k] = np.bincount(x, minlength=n)
+        sums[:, 6] = differs
+        if not with_groups:
+            return sums, links, []
+        # Groups end at common ends; ids of A come first in each.
+        last = [common, np.isin(ends[1], ends[0], assume_unique=True)]
+        number = [np.cumsum(x) - x for x in last]
+        order = np.argsort(np.concatenate([2 * number[0], 2 * number[1] + 1]), kind="stable")
+        which = np.concatenate([flat[0] + np.where(last[0], self._shown_at[1], self._shown_at[0]), flat[1] + np.where(last[1], self._shown_at[3], self._shown_at[2])])
+        shown = self.shown[which[order]].tolist()
+        bounds = np.append(0, np.cumsum(sums[:, 0] + sums[:, 1])).tolist()
+        return sums, links, ["".join(shown[i:j])[:-1] for i, j in itertools.pairwise(bounds)]
+
+
+def _byte_level(file: dict):
+    """(encode, bytes of each id) of a byte-level BPE file of the tokenizers library.
+
+    Where the order of merges is that of ids, as usual, the ids are ranks, by which tiktoken merges alike and faster.
+    """
+    model, cut = file["model"], file["pre_tokenizer"] or {}
+    shown = _byte_symbols()
+    raw = lambda t: bytes(shown[ch] for ch in t) if all(ch in shown for ch in t) else t.encode()
+    tokens = model["vocab"] | {t["content"]: t["id"] for t in file["added_tokens"]}
+    by_id = [b""] * (max(tokens.values()) + 1)
+    for t, i in tokens.items():
+        by_id[i] = raw(t)
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    special = {t["content"] for t in file["added_tokens"] if t["special"]}
+    alike = model["type"] == "BPE" and not file["normalizer"] and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and special == {t["content"] for t in file["added_tokens"]}
+    if alike and not model.get("ignore_merges") and not model.get("dropout") and all(model["vocab"].get(m) == 256 + k for k, m in enumerate(merges)):
+        import tiktoken
+
+        ranks = {raw(t): i for t, i in model["vocab"].items() if t not in special}
+        return tiktoken.Encoding("own", pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, by_id
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_str(json.dumps(file))
+    own.encode_special_tokens = True
+    own.no_truncation()
+    own.no_padding()
+    return lambda unit: own.encode(unit, add_special_tokens=False).ids, by_id
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -94,54 +183,32 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Unit:
-    """Tokens, groups and links of a unit; ``same`` tells whether both tokenizers give its bytes back."""
-
-    __slots__ = ("same", "n_a", "n_b", "n_groups", "links", "groups", "value")
-
-    def __init__(self, text: str, a: list[int], b: list[int], of: Tokenizers):
-        raw = text.encode()
-        self.same = b"".join([of.a_bytes[i] for i in a]) == raw and b"".join([of.b_bytes[i] for i in b]) == raw
-        self.value: tuple[int, int, int] | None = None
-        self.n_a, self.n_b, self.n_groups, self.links, self.groups = len(a), len(b), 0, [], ""
-        if not self.same:
-            return
-        parts, i, j, i0, j0 = [], 0, 0, 0, 0
-        at_a, at_b = len(of.a_bytes[a[0]]), len(of.b_bytes[b[0]])
-        while True:
-            self.links.append(a[i] << _B_BITS | b[j])
-            if at_a == at_b:
-                parts.append(",".join(map(str, a[i0 : i + 1])) + "|" + ",".join(map(str, b[j0 : j + 1])))
-                i0, j0 = i + 1, j + 1
-                if i0 == len(a):
-                    break
-                i, j = i0, j0
-                at_a += len(of.a_bytes[a[i]])
-                at_b += len(of.b_bytes[b[j]])
-            elif at_a < at_b:
-                i += 1
-                at_a += len(of.a_bytes[a[i]])
-            else:
-                j += 1
-                at_b += len(of.b_bytes[b[j]])
-        self.n_groups, self.groups = len(parts), ";".join(parts)
-
-
-def _units(raw: bytes | None) -> list[str]:
-    """Units of a space and the text; none for a null or empty text, or for bytes that aren't UTF-8."""
+def _unit(key) -> str:
+    """The unit that a key stands for: most begin with a space, which is left out."""
+    return key[0] if isinstance(key, tuple) else key if key[:1] == "\n" else " " + key
+
+
+def _keys(raw: bytes | None) -> list:
+    """Keys of the units of a space and the text; none for a null or empty text, or for bytes that aren't UTF-8.
+
+    A unit begins with the space or line feed after anything but white space.
+    """
     if not raw:
         return []
     try:
-        return _UNITS.split(" " + raw.decode())
+        text = raw.decode()
     except UnicodeDecodeError:
         return []
+    if not _GAPS.search(" " + text):
+        return text.replace("\n", " \n").split(" ")
+    return [u if u[0] == "\n" else u[1:] if u[1:2] != "\n" else (u,) for u in _CUTS.split(" " + text)]
 
 
-def _runs(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[str]]]]:
-    """Runs of texts of a bounded size: the first one's number and the units of each."""
+def _runs(texts: list[bytes | None]) -> Iterator[tuple[int, list[list]]]:
+    """Runs of texts of a bounded size: the first one's number and the keys of each."""
     first, size, part = 0, 0, []
     for k, raw in enumerate(texts):
-        part.append(_units(raw))
+        part.append(_keys(raw))
         size += len(raw or b"")
         if size >= SENT_BYTES:
             yield first, part
@@ -150,26 +217,39 @@ def _runs(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[str]]]]:
         yield first, part
 
 
+def _coded(docs: list[list], of: Tokenizers) -> Iterator[list[int]]:
+    """Codes of each text's units; none where one of them doesn't keep its bytes."""
+    get = of.codes.__getitem__
+    differs = of.sums[:, 6]
+    for d in docs:
+        codes = [*map(get, d)]
+        yield [] if codes and differs[codes].any() else codes
+
+
 def _counted(a_path: str, b_path: str):
-    """(pair, n): how often each batch links each pair of ids."""
+    """(pair, n): how often a task links each pair of ids, a row for each pair and some KEPT_UNITS units."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Tokenizers.of(a_path, b_path)
+        of.clear()
+        times = np.zeros(0, np.int64)
+
+        def rows() -> pa.RecordBatch:
+            links, sizes = np.concatenate([np.zeros(0, np.int64), *of.links]), of.sums[: len(of.codes), 3]
+            pairs, place = np.unique(links, return_inverse=True)
+            sums = np.bincount(place, np.repeat(np.pad(times, (0, len(sizes) - len(times))), sizes), len(pairs)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[sums > 0]), pa.array(sums[sums > 0])], names=["pair", "n"])
+
         for batch in batches:
-            total: dict[Unit, int] = {}
             for _, docs in _runs(batch.column("text").to_pylist()):
-                new = of.aligned([u for d in docs for u in d])
-                for d in docs:
-                    found = [new[u] if u in new else of.units[u] for u in d]
-                    if all([u.same for u in found]):
-                        for u in found:
-                            total[u] = total.get(u, 0) + 1
-            links = np.fromiter((x for u in total for x in u.links), np.int64)
-            times = np.repeat(np.fromiter(total.values(), np.int64), np.fromiter((len(u.links) for u in total), np.int64))
-            pairs, place = np.unique(links, return_inverse=True)
-            sums = np.zeros(len(pairs), np.int64)
-            np.add.at(sums, place, times)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums)], names=["pair", "n"])
+                of.add(docs, False)
+                seen = np.bincount(np.fromiter(itertools.chain.from_iterable(_coded(docs, of)), np.int64), minlength=len(times))
+                times = seen + np.pad(times, (0, len(seen) - len(times)))
+                if of.full():
+                    yield rows()
+                    of.clear()
+                    times = np.zeros(0, np.int64)
+        yield rows()
 
     return count
 
@@ -326,34 +406,25 @@ def _looked_up(a_path: str, b_path: str, table):
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Tokenizers.of(a_path, b_path)
+        of.clear()
         index, counts, best = table.value
-        if getattr(of, "table", None) is not index:
-            of.units.clear()
-            of.table = index
-
-        def value(units: list[Unit]) -> None:
-            """Tokens, groups, links, links of the best count and sum of counts of each unit."""
-            links = np.fromiter((x for u in units for x in u.links), np.int64)
-            at = index.find(links)
-            count = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
-            top = (at >= 0) & (count == best[links & ((1 << _B_BITS) - 1)])
-            ends = np.cumsum([len(u.links) for u in units])
-            sums, tops = (np.append(0, np.cumsum(x))[np.append(0, ends)] for x in (count, top.astype(np.int64)))
-            for u, x, y in zip(units, np.diff(tops).tolist(), np.diff(sums).tolist(), strict=True):
-                u.value = (u.n_a, u.n_b, u.n_groups, len(u.links), x, y)
-
         for batch in batches:
             for first, docs in _runs(batch.column("text").to_pylist()):
-                new = of.aligned([u for d in docs for u in d])
-                if new:
-                    value([*new.values()])
-                sums, groups = np.zeros((len(docs), 6), np.int64), []
-                for k, d in enumerate(docs):
-                    found = [new[u] if u in new else of.units[u] for u in d]
-                    ok = all([u.same for u in found])
-                    if found and ok:
-                        sums[k] = np.array([u.value for u in found], np.int64).sum(axis=0)
-                    groups.append(";".join([u.groups for u in found]) if ok else "")
+                if of.full():
+                    of.clear()
+                known, links = of.add(docs, True)
+                sizes = of.sums[known : len(of.codes), 3]
+                at = index.find(links)
+                count = np.where(at >= 0, counts[at], 0) if len(counts) else np.zeros(len(links), np.int64)
+                top = (at >= 0) & (count == best[links & ((1 << _B_BITS) - 1)])
+                ends = np.append(0, np.cumsum(sizes))
+                for column, x in ((4, top), (5, count)):
+                    of.sums[known : known + len(sizes), column] = np.diff(np.append(0, np.cumsum(x.astype(np.int64)))[ends])
+                sums, groups, text = np.zeros((len(docs), 6), np.int64), [], of.groups.__getitem__
+                for k, codes in enumerate(_coded(docs, of)):
+                    if codes:
+                        sums[k] = of.sums[codes, :6].sum(axis=0)
+                    groups.append(";".join(map(text, codes)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first : first + len(docs)], *(pa.array(sums[:, k]) for k in range(6)), pa.array(groups, pa.string())], names=["doc_id", *_SUMS, "groups"])
 
     return align
