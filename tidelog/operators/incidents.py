@@ -15,6 +15,7 @@ from tidelog.catalog import DEFAULT, Catalog
 from tidelog.functions.text import UNKNOWN
 from tidelog.operators.windows import AT, bucket_of, small, usable
 from tidelog.schema import LOOKBACK, MOST_EVIDENCE, Params
+from tidelog.shared import cut
 
 #: Distributions of a dossier: field, column, entries at most, and whether only events with an endpoint count.
 FIELDS = (
@@ -147,44 +148,99 @@ def hypotheses(rows: DataFrame, previous: DataFrame, scope: tuple[str, ...] = ()
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("percent"), "cause")))
 
 
-def auth_sequences(rows: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
-    """Three or more failed logins from one address for one user, then a login: the first ten of each window.
+_PLACES = "array<struct<source:string,row:bigint>>"
+#: Failures that a login must follow to end a sequence.
+_LEAST_FAILURES = 3
+
 
-    A login after fewer failures takes none of them away; one that ends a sequence takes them all. Failures are
-    summed up between logins first, and only these sums are folded.
+def _stretches(logins: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, part, steps): logins dealt out by range of key and time, so that those of one key lie in many stretches.
+
+    steps: failures up to each login of the stretch, with the first one's time and the first four places, and the login.
     """
-    key = [*scope, "incident_id"]
-    keys = [*key, "src", "user"]
     place = ["timestamp", "_file", "row"]
-    logins = rows.filter(F.col("category").isin("auth_failure", "auth_success") & (F.col("network.src") != "") & (F.col("network.user") != ""))
-    logins = logins.select(*key, F.col("network.src").alias("src"), F.col("network.user").alias("user"), "timestamp", F.col("source").alias("_file"), "row", (F.col("category") == "auth_success").alias("ok"))
-    ordered = Window.partitionBy(*keys).orderBy(*place)
-    logins = logins.withColumn("segment", F.count_if("ok").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
-    at = F.row_number().over(Window.partitionBy(*keys, "segment").orderBy(F.col("ok"), *place))
-    logins = logins.withColumn("n", at)
-    segments = logins.groupBy(*keys, "segment").agg(
+    dealt = logins.repartitionByRange(*keys, *place).withColumn("part", F.spark_partition_id())
+    ordered = Window.partitionBy(*keys, "part").orderBy(*place)
+    dealt = dealt.withColumn("segment", F.count_if("ok").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    dealt = dealt.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "part", "segment").orderBy(F.col("ok"), *place)))
+    segments = dealt.groupBy(*keys, "part", "segment").agg(
         F.count_if(~F.col("ok")).alias("failures"),
         F.min(F.when(~F.col("ok"), F.col("timestamp"))).alias("begin"),
         F.sort_array(F.collect_list(F.when(~F.col("ok") & (F.col("n") <= 4), F.struct("n", F.col("_file").alias("source"), "row")))).alias("firsts"),
         F.max(F.when(F.col("ok"), F.struct("timestamp", F.col("_file").alias("source"), "row"))).alias("success"),
     )
-    steps = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("segment", "failures", "begin", F.transform("firsts", lambda x: x.dropFields("n")).alias("rows"), "success"))).alias("steps"))
-    chain = "struct<failures:bigint,begin:timestamp,end:timestamp,rows:array<struct<source:string,row:bigint>>,end_at:struct<source:string,row:bigint>>"
-    state = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("timestamp").alias("begin"), F.array().cast("array<struct<source:string,row:bigint>>").alias("rows"), F.array().cast(f"array<{chain}>").alias("out"))
-
-    def fold(a, x):
-        n, begin = a["n"] + x["failures"], F.coalesce(a["begin"], x["begin"])
-        rows_ = F.slice(F.concat(a["rows"], x["rows"]), 1, 4)
-        ends = x["success"].isNotNull() & (n >= 3)
+    step = F.struct("segment", "failures", "begin", F.transform("firsts", lambda x: x.dropFields("n")).alias("rows"), "success")
+    return cut(segments.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(step)).alias("steps")))
+
+
+def _open(n: Column, begin: Column, rows: Column) -> list[Column]:
+    """Failures that no login has taken yet: their number, the first one's time and the first four places."""
+    return [n.cast("long").alias("n"), begin.cast("timestamp").alias("begin"), rows.cast(_PLACES).alias("rows")]
+
+
+def _step(a: Column, x: Column) -> tuple[tuple[Column, Column, Column], Column, tuple[Column, Column, Column]]:
+    """After a step: (open failures with its own, whether its login takes them, what is open then)."""
+    n, begin, rows = a["n"] + x["failures"], F.coalesce(a["begin"], x["begin"]), F.slice(F.concat(a["rows"], x["rows"]), 1, 4)
+    ends = x["success"].isNotNull() & (n >= _LEAST_FAILURES)
+    return (n, begin, rows), ends, (F.when(ends, 0).otherwise(n), F.when(~ends, begin), F.when(ends, F.array().cast(_PLACES)).otherwise(rows))
+
+
+def _through(steps: Column, held: int) -> Column:
+    """What a stretch does to ``held`` open failures before it (3: or more): (n, begin, rows, taken).
+
+    taken: a login took what was open before; n is then what is open at the end, else what the stretch adds.
+    """
+
+    def fold(a: Column, x: Column) -> Column:
+        _, ends, left = _step(a, x)
+        return F.struct(*_open(*left), (a["taken"] | ends).alias("taken"))
+
+    end = F.aggregate(steps, F.struct(*_open(F.lit(held), F.lit(None), F.array()), F.lit(False).alias("taken")), fold)
+    return F.transform(F.array(end), lambda e: F.struct(*_open(F.when(e["taken"], e["n"]).otherwise(e["n"] - held), e["begin"], e["rows"]), e["taken"].alias("taken")))[0]
+
+
+def _entries(stretches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, part, entry): the failures open before each stretch, from what the stretches before it do, one after the other.
+
+    A key has a row for each range that it lies in.
+    """
+    does = F.array(*(_through(F.col("steps"), k) for k in range(_LEAST_FAILURES + 1)))
+    of_key = stretches.select(*keys, F.struct("part", does.alias("does")).alias("s")).groupBy(*keys).agg(F.array_sort(F.collect_list("s"), lambda a, b: a["part"] - b["part"]).alias("all"))
+    none = F.struct(*_open(F.lit(0), F.lit(None), F.array()))
+
+    def fold(a: Column, x: Column) -> Column:
+        before, does = a["entry"], F.get(x["does"], F.least(a["entry"]["n"], F.lit(_LEAST_FAILURES)).cast("int"))
+        n, begin, rows = before["n"] + does["n"], F.coalesce(before["begin"], does["begin"]), F.slice(F.concat(before["rows"], does["rows"]), 1, 4)
+        after = F.struct(*_open(F.when(does["taken"], does["n"]).otherwise(n), F.when(does["taken"], does["begin"]).otherwise(begin), F.when(does["taken"], does["rows"]).otherwise(rows)))
+        return F.struct(after.alias("entry"), F.concat(a["out"], F.array(F.struct(x["part"].alias("part"), before.alias("entry")))).alias("out"))
+
+    kept = f"array<struct<part:int,entry:struct<n:bigint,begin:timestamp,rows:{_PLACES}>>>"
+    found = F.aggregate("all", F.struct(none.alias("entry"), F.array().cast(kept).alias("out")), fold)["out"]
+    return of_key.select(*keys, F.explode(found).alias("e")).select(*keys, "e.part", "e.entry")
+
+
+def auth_sequences(rows: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Three or more failed logins from one address for one user, then a login: the first ten of each window.
+
+    A login after fewer failures takes none of them away; one that ends a sequence takes them all. What a stretch of
+    logins does depends on the failures open before it only by their number up to three: each stretch tells what it does
+    to each, these are composed along a key's stretches, and then each stretch finds its sequences by itself.
+    """
+    key = [*scope, "incident_id"]
+    keys = [*key, "src", "user"]
+    logins = rows.filter(F.col("category").isin("auth_failure", "auth_success") & (F.col("network.src") != "") & (F.col("network.user") != ""))
+    logins = logins.select(*key, F.col("network.src").alias("src"), F.col("network.user").alias("user"), "timestamp", F.col("source").alias("_file"), "row", (F.col("category") == "auth_success").alias("ok"))
+    stretches = _stretches(logins, keys)
+    chain = f"struct<failures:bigint,begin:timestamp,end:timestamp,rows:{_PLACES},end_at:struct<source:string,row:bigint>>"
+
+    def fold(a: Column, x: Column) -> Column:
+        (n, begin, rows_), ends, left = _step(a, x)
         made = F.struct(n.alias("failures"), begin.alias("begin"), x["success"]["timestamp"].alias("end"), F.concat(rows_, F.array(x["success"].dropFields("timestamp"))).alias("rows"), x["success"].dropFields("timestamp").alias("end_at"))
-        return F.struct(
-            F.when(ends, F.lit(0).cast("long")).otherwise(n).alias("n"),
-            F.when(~ends, begin).alias("begin"),
-            F.when(ends, F.array().cast("array<struct<source:string,row:bigint>>")).otherwise(rows_).alias("rows"),
-            F.when(ends, F.concat(a["out"], F.array(made))).otherwise(a["out"]).alias("out"),
-        )
-
-    found = steps.select(*keys, F.explode(F.aggregate("steps", state, fold)["out"]).alias("c")).select(*keys, "c.*")
+        return F.struct(*_open(*left), F.when(ends, F.concat(a["out"], F.array(made))).otherwise(a["out"]).alias("out"))
+
+    begun = stretches.join(_entries(stretches, keys), [*keys, "part"])
+    state = F.struct(*_open(F.col("entry.n"), F.col("entry.begin"), F.col("entry.rows")), F.array().cast(f"array<{chain}>").alias("out"))
+    found = begun.select(*keys, F.explode(F.aggregate("steps", state, fold)["out"]).alias("c")).select(*keys, "c.*")
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("end", "end_at"))
     out = found.withColumn("rank", rank).filter("rank <= 10").drop("end_at")
     return out.withColumn("rows_at", F.col("rows")).withColumn("rows", F.transform("rows_at", lambda x: x["row"]))

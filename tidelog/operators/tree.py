@@ -1,4 +1,7 @@
-"""Starts of processes, what the process does next, and what else happens on the host around that time."""
+"""Starts of processes, what the process does next, and what else happens on the host around that time.
+
+Starts meet events on host and bin of time, so that under a scope, where there are many, a pair is only made within reach.
+"""
 
 from __future__ import annotations
 
@@ -56,14 +59,27 @@ def _named(shown: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     return shown.select(*(F.col(c).alias(f"s_{c}") for c in dict.fromkeys((*scope, "host_key", "process", *AT, "match_process", "target_pid", "start_no"))))
 
 
+def _binned(events: DataFrame, named: DataFrame, before: int, after: int) -> tuple[DataFrame, DataFrame]:
+    """Events with the bin of time that they fall in, and starts with each bin that their interval of seconds touches.
+
+    Bins are as long as the interval's longer side, so that a start is in three of them at most, and meets each event
+    of its interval in one.
+    """
+    width = max(before, after) * 1_000_000
+    bin_of = lambda t: F.floor(t / F.lit(width)).cast("long")
+    at = F.unix_micros("s_timestamp")
+    return events.withColumn("bin", bin_of(F.unix_micros("timestamp"))), named.withColumn("s_bin", F.explode(F.sequence(bin_of(at - before * 1_000_000), bin_of(at + after * 1_000_000))))
+
+
 def follow_ups(events: DataFrame, shown: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """(scope, start_no, source, row, rank, total): events of the started process within half an hour.
 
     They end before its next start, as far as that has the same pid. The starts are few; events stay where they are until only matches are left. ``total`` counts all, of which 20 are given.
     """
-    s = small(_named(shown, scope), scope)
     e = with_lifecycle(events).select(*dict.fromkeys((*scope, "host_key", "process", "pid", *AT)), F.col("start").isNotNull().alias("starts"))
-    same = [F.col(c) == F.col(f"s_{c}") for c in (*scope, "host_key")]
+    e, s = _binned(e, _named(shown, scope), 0, FOLLOW_SECONDS)
+    s = small(s, scope)
+    same = [F.col(c) == F.col(f"s_{c}") for c in (*scope, "host_key", "bin")]
     after = F.struct(*AT) > F.struct(*(F.col(f"s_{c}").alias(c) for c in AT))
     soon = F.unix_micros("timestamp") <= F.unix_micros("s_timestamp") + FOLLOW_SECONDS * 1_000_000
     pid = (F.col("s_target_pid") == "") | (F.col("pid") == "") | (F.col("pid") == F.col("s_target_pid"))
@@ -83,9 +99,9 @@ def nearby(events: DataFrame, shown: DataFrame, seconds: int, scope: tuple[str,
     Of events as far on both sides, the earlier side comes first. At most 2,000 events are looked at for a start,
     which may leave fewer than ten; scan_limited says that the look ended there.
     """
-    s = small(_named(shown, scope), scope)
-    e = usable(events).select(*dict.fromkeys((*scope, "host_key", "process", *AT)))
-    same = [F.col(c) == F.col(f"s_{c}") for c in (*scope, "host_key")]
+    e, s = _binned(usable(events).select(*dict.fromkeys((*scope, "host_key", "process", *AT))), _named(shown, scope), seconds, seconds)
+    s = small(s, scope)
+    same = [F.col(c) == F.col(f"s_{c}") for c in (*scope, "host_key", "bin")]
     delta = F.unix_micros("timestamp") - F.unix_micros("s_timestamp")
     found = e.join(s, [*same, F.abs(delta) <= seconds * 1_000_000]).withColumn("delta", delta)
     left = F.struct(*AT) < F.struct(*(F.col(f"s_{c}").alias(c) for c in AT))

@@ -697,12 +697,16 @@ def line_numbers(spark, sf_dir):
     return lines.join(sizes.select("source", before.alias("before")), "source").groupBy((F.col("row") + F.col("before")).alias("row")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src7_file_facts")
+@query("src7_file_facts", """with l as (select cast(ts as date) as day, event_id as row, concat('pc-', user_id % 8, ' ', event_type, ' caffè ', event_id) as line from events)
+select strftime(day, '%Y-%m-%d') as day, 'syslog' as kind, (sum(strlen(line)) + count(*))::bigint as content_bytes, 'utf-8' as encoding, sha256(string_agg(line, chr(10) order by row) || chr(10)) as sha256, null::varchar as problem from l group by day""")
 def file_facts(spark, sf_dir):
-    """Checks of files written from the events: a row for each file."""
+    """Checks of files written from the events, one for each day with its lines in order: a row for each file."""
     path = _folder(spark, "facts")
-    records(spark, sf_dir).select(_HEADER).write.options(header=True, escape='"').csv(path)
-    return readers.file_facts(spark, [path], PARAMS).select("kind", "content_bytes", "encoding", "sha256", "problem")
+    line = F.expr("concat('pc-', user_id % 8, ' ', event_type, ' caffè ', event_id)")
+    days = _table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"), "event_id", line.alias("value"))
+    days.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.option("lineSep", "\n").partitionBy("day").text(path)
+    facts = readers.file_facts(spark, [path], PARAMS)
+    return facts.select(F.regexp_extract("source", "day=([^/]*)/", 1).alias("day"), "kind", "content_bytes", "encoding", "sha256", "problem")
 
 
 @query("snk2_dossiers")

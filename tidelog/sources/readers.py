@@ -3,25 +3,23 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidelog.functions.text import normal_header
 from tidelog.operators.issues import FIELD_NAMES
 from tidelog.operators.normalize import normalize, normalize_lines, resolve
 from tidelog.operators.quality import FOUND
 from tidelog.schema import ALIASES, EXPECTED, Params
+from tidelog.shared import cut, stored
+from tidelog.sources import records as R
+from tidelog.sources.lines import FIRST_BYTES, blocks_of, numbered, raw_lines, streamed_facts, wide_lines
 
 _BAD = "_bad_record"
 SEPARATORS = (",", ";", "\t", "|")
-#: Files of up to so many bytes are checked as a whole, larger ones line by line.
+#: Files of up to so many bytes are checked in one expression, larger ones as streams, with the same results.
 WHOLE_BYTES = 64 << 20
 
 
@@ -29,17 +27,12 @@ def _suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
 
 
-def _quotes(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, '[^"]', ""))
-
-
 def file_facts(spark: SparkSession, paths: list[str], params: Params) -> DataFrame:
     """(source, kind, content_bytes, encoding, sha256, problem, first_line) of each .csv, .txt and .log file.
 
     Encoding is UTF-16 by its mark, else UTF-8; size and digest are those of the UTF-8 text. ``problem`` is the
-    code that blocks the file: file_too_large, null_bytes (also for bytes that are no UTF-8), csv_syntax (quotes left open), or null.
-    first_line is the first line of a CSV file that isn't blank. Of files of more than WHOLE_BYTES, the lines are checked
-    where they are read; these are taken for UTF-8 and have no digest. Files over the limit of an import aren't read.
+    code that blocks the file: file_too_large, null_bytes (also for bytes that are no UTF-8), or null. first_line is the
+    first line of a CSV file that isn't blank, FIRST_BYTES of it at most. Files over the limit of an import aren't read.
     """
     kinds = F.when(_suffix(F.col("path")) == "csv", "csv").when(_suffix(F.col("path")).isin("txt", "log"), "syslog")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).withColumn("kind", kinds).filter("kind is not null")
@@ -49,80 +42,40 @@ def file_facts(spark: SparkSession, paths: list[str], params: Params) -> DataFra
     large = ~huge & (F.col("length") > WHOLE_BYTES)
     mark = F.hex(F.substring("content", 1, 2))
     encoding = F.when(mark.isin("FFFE", "FEFF"), "utf-16").otherwise("utf-8")
-    text = F.when(encoding == "utf-16", F.decode("content", "UTF-16")).when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    size = F.octet_length("text").cast("long")
-    too_large = size > most if most else F.lit(False)
-    first = F.when(F.col("kind") == "csv", F.regexp_extract("text", r"(?U)^\uFEFF?(?:[^\S\n]*\n)*([^\n]*)", 1))
-    problem = F.when(too_large, "file_too_large").when(F.col("text").isNull() | (F.instr("text", "\x00") > 0), "null_bytes").when((F.col("kind") == "csv") & (_quotes(F.col("text")) % 2 == 1), "csv_syntax")
+    text = F.when(encoding == "utf-16", F.decode("content", "UTF-16")).otherwise(F.col("content").cast("string"))
+    too_large = lambda size: size > most if most else F.lit(False)
+    told = lambda size, odd: F.when(too_large(size), "file_too_large").when(odd, "null_bytes").alias("problem")
+    first = lambda line: F.when(F.col("kind") == "csv", line).alias("first_line")
     small = listed.filter(~huge & ~large).select(F.col("path").alias("source"), "kind", encoding.alias("encoding"), text.alias("text"))
-    known = small.select("source", "kind", size.alias("content_bytes"), "encoding", F.sha2("text", 256).alias("sha256"), problem.alias("problem"), first.alias("first_line"))
+    size, odd = F.octet_length("text").cast("long"), ~F.is_valid_utf8("text") | (F.instr("text", "\x00") > 0)
+    line = F.substring(F.regexp_extract("text", r"(?U)^﻿?(?:[^\S\n]*\n)*([^\n]*)", 1), 1, FIRST_BYTES)
+    known = small.select("source", "kind", size.alias("content_bytes"), "encoding", F.sha2("text", 256).alias("sha256"), told(size, odd), first(F.when(~odd, line)))
     none = F.lit(None).cast("string")
     over = listed.filter(huge).select(F.col("path").alias("source"), "kind", F.col("length").alias("content_bytes"), none.alias("encoding"), none.alias("sha256"), F.lit("file_too_large").alias("problem"), none.alias("first_line"))
-    by_lines = [(r["path"], r["kind"], r["length"]) for r in listed.filter(large).select("path", "kind", "length").collect()]  # a row for each large file
     out = known.unionByName(over)
-    if not by_lines:
+    rest = listed.filter(large).select("path", "kind").collect()  # a row for each large file
+    if not rest:
         return out
-    lines = _text(spark, [r[0] for r in by_lines])
-    seen = lines.groupBy("source").agg(
-        F.sum(_quotes(F.col("value"))).alias("quotes"),
-        F.bool_or(~F.is_valid_utf8("value") | (F.instr("value", "\x00") > 0)).alias("odd_bytes"),
-        F.min(F.when(F.col("value").rlike(r"(?U)\S"), F.struct("id", "value")))["value"].alias("first"),
-    )
-    sizes = spark.createDataFrame(by_lines, "source string, kind string, content_bytes long")
-    problem = F.when(F.col("content_bytes") > most if most else F.lit(False), "file_too_large").when(F.coalesce("odd_bytes", F.lit(False)), "null_bytes").when((F.col("kind") == "csv") & (F.col("quotes") % 2 == 1), "csv_syntax")
-    return out.unionByName(sizes.join(seen, "source", "left").select("source", "kind", "content_bytes", F.lit("utf-8").alias("encoding"), none.alias("sha256"), problem.alias("problem"), F.when(F.col("kind") == "csv", F.regexp_replace("first", "^\uFEFF", "")).alias("first_line")))
-
-
-def _text(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines of text files with source, block (where their stretch of the file begins) and id, which grows along each file."""
-    return spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the records of each file, and the lines that they begin and end on, in the order in which a task reads them."""
-    here, n, lines = None, 0, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        at = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
-        codes = at("source").dictionary_encode()
-        names, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-        tall = at("breaks").fill_null(0).to_numpy().astype(np.int64) + 1
-        starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        row, last = np.arange(1, len(code) + 1), np.cumsum(tall)
-        for first, end in zip(starts, np.append(starts[1:], len(code)), strict=True):
-            if names[code[first]] != here:
-                here, n, lines = names[code[first]], 0, 0
-            before = last[first] - tall[first]
-            row[first:end] += n - first
-            last[first:end] += lines - before
-            n, lines = int(row[end - 1]), int(last[end - 1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row), pa.array(last - tall + 1), pa.array(last)], names=[*batch.schema.names, "row", "line_start", "line"])
-
-
-def numbered(df: DataFrame) -> DataFrame:
-    """Add row, line_start and line to records of files that a task reads whole (source, breaks: line breaks within the record)."""
-    return df.mapInArrow(_places, T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in ("row", "line_start", "line"))]))
+    streamed = streamed_facts(spark, [r["path"] for r in rest]).join(spark.createDataFrame([tuple(r) for r in rest], "source string, kind string"), "source")
+    return out.unionByName(streamed.select("source", "kind", "content_bytes", "encoding", "sha256", told(F.col("content_bytes"), F.col("odd")), first(F.col("first_line"))))
+
+
+def all_lines(spark: SparkSession, paths: list[str], wide: list[str]) -> DataFrame:
+    """(source, block, id, value) of the lines of files in UTF-8 and, decoded, of the ``wide`` ones in UTF-16."""
+    parts = [raw_lines(spark, paths).drop("size")] if paths else []
+    parts += [wide_lines(spark, wide)] if wide else []
+    return reduce(DataFrame.unionByName, parts)
 
 
 def text_lines(spark: SparkSession, paths: list[str], wide: list[str] | None = None) -> DataFrame:
     """(source, row, line_start, line, value) of the lines of text files that aren't blank; only a line feed ends a line.
 
     Lines are numbered by their place in their stretch of the file and the lines of the stretches before it. ``wide``
-    are files in UTF-16, which are decoded as a whole.
+    are files in UTF-16, each of which is decoded by one task as it streams through.
     """
-    parts = []
-    if paths:
-        lines = _text(spark, paths)
-        held = lines.groupBy("source", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("lines"))
-        before = F.sum("lines").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-        held = held.select("source", "block", (F.coalesce(before, F.lit(0)) + 1 - F.col("first")).alias("shift"))
-        parts.append(lines.join(held, ["source", "block"]).select("source", (F.col("id") + F.col("shift")).alias("row"), "value"))
-    if wide:
-        files = spark.read.format("binaryFile").load(wide).select(F.col("path").alias("source"), F.posexplode(F.split(F.decode("content", "UTF-16"), "\n")).alias("at", "value"))
-        parts.append(files.select("source", (F.col("at") + 1).cast("long").alias("row"), "value"))
-    out = reduce(DataFrame.union, parts)
-    return out.filter(F.col("value").rlike(r"(?U)\S")).select("source", "row", F.col("row").alias("line_start"), F.col("row").alias("line"), "value")
+    lines = all_lines(spark, paths, wide or [])
+    out = numbered(lines, blocks_of(lines)).withColumn("row", F.col("line"))
+    return out.filter(F.col("value").rlike(r"(?U)\S")).select("source", "row", F.col("row").alias("line_start"), "line", "value")
 
 
 def headers(first_lines: list[tuple[str, str | None]], separator: str = "auto") -> list[tuple[str, str, list[str]]]:
@@ -133,7 +86,7 @@ def headers(first_lines: list[tuple[str, str | None]], separator: str = "auto")
     known = {a for names in ALIASES.values() for a in names}
     out = []
     for source, line in first_lines:
-        line = (line or "").lstrip("\ufeff").rstrip("\r")
+        line = (line or "").lstrip("﻿").rstrip("\r")
         cells = {s: next(csv.reader([line], delimiter=s), []) for s in SEPARATORS}
         best = max(SEPARATORS, key=lambda s: sum(normal_header(x) in known for x in cells[s])) if separator == "auto" else separator
         if cells[best]:
@@ -168,21 +121,47 @@ def header_issues(found: list[tuple[str, str, list[str]]]) -> tuple[list[tuple],
     return rows, blocked
 
 
-def csv_records(spark: SparkSession, paths: list[str], separator: str, columns: list[str], encoding: str = "utf-8") -> DataFrame:
-    """Records of CSV files of one header: its columns, source, row, line_start, line, width and malformed.
+class CsvFiles:
+    """CSV files of one separator: which of them need the scan of quotes, which hold faults, and their records.
 
-    Blank rows don't count; a record whose width isn't the header's is malformed and has no cells. Line numbers take in
-    line breaks within cells, but not blank lines. As a cell may hold any, a file is read by one task.
+    Files are read by as many tasks as they have stretches, those with line breaks in cells too.
     """
-    cells = [f"c{k}" for k in range(len(columns))]
-    schema = ", ".join([*(f"{c} string" for c in cells), f"{_BAD} string"])
-    read = spark.read.schema(schema).options(header=True, enforceSchema=True, sep=separator, quote='"', escape='"', multiLine=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, maxCharsPerColumn=-1, nullValue="\x00", emptyValue="").csv(paths)
-    breaks = F.aggregate(F.array(*(F.length(F.regexp_replace(F.coalesce(c, F.lit("")), "[^\n]", "")) for c in cells)), F.lit(0), lambda a, x: a + x)
-    rows = read.select(*cells, _BAD, F.col("_metadata.file_path").alias("source"), breaks.alias("breaks"))
-    out = numbered(rows)
-    bare = F.regexp_replace(F.col(_BAD), r'"(?:[^"]|"")*"', "")  # separators within quotes part no cells
+
+    def __init__(self, spark: SparkSession, sources: list[str], separator: str, wide: set[str] = frozenset()):
+        self.separator = separator
+        self.lines = all_lines(spark, [s for s in sources if s not in wide], [s for s in sources if s in wide])
+        #: A row for each stretch of a file.
+        self.blocks = cut(blocks_of(R.with_maps(self.lines, separator), *R.block_sums()))
+        of_file = self.blocks.groupBy("source").agg(F.sum("moved").alias("moved"), F.sum("faults").alias("faults")).collect()  # a row for each file
+        self.scanned = sorted(r["source"] for r in of_file if r["moved"])
+        self.plain = sorted(r["source"] for r in of_file if not r["moved"])
+        self.faulty = {r["source"]: None for r in of_file if r["faults"] and not r["moved"]}
+        if self.scanned:
+            # Records put together from lines are kept: the check and the events both read them.
+            self._whole = stored(R.records(self.lines, self.blocks, [], self.scanned, separator), "records")
+            bad = self._whole.filter(R.faulty(F.col("value"), separator))
+            self.faulty |= {r["source"]: r["row"] for r in bad.groupBy("source").agg(F.min("row").alias("row")).collect()}
+
+    def records(self, sources: list[str]) -> DataFrame:
+        """(source, row, line_start, line, value) of the files' records after the header; blank ones don't count."""
+        plain, scanned = ([s for s in part if s in set(sources)] for part in (self.plain, self.scanned))
+        parts = [R.records(self.lines, self.blocks, plain, [], self.separator)] if plain else []
+        parts += [self._whole.filter(F.col("source").isin(scanned))] if scanned else []
+        return reduce(DataFrame.unionByName, parts)
+
+
+def cells(records: DataFrame, separator: str, columns: list[str]) -> DataFrame:
+    """Records of files of one header: its columns, source, row, line_start, line, malformed, width and bad.
+
+    A record whose width isn't the header's is malformed and has no cells.
+    """
+    names = [f"c{k}" for k in range(len(columns))]
+    options = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "maxCharsPerColumn": "-1", "maxColumns": "100000", "nullValue": "\x00", "emptyValue": ""}
+    out = records.withColumn("_c", F.from_csv("value", ", ".join(f"{c} string" for c in (*names, _BAD)), options))
+    bad = F.col(f"_c.{_BAD}")
+    bare = F.regexp_replace(bad, r'"(?:[^"]|"")*"', "")  # separators within quotes part no cells
     width = F.size(F.split(bare, "[" + separator + "]", -1))
-    return out.select(*(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in zip(cells, columns, strict=True)), "source", "row", (F.col("line_start") + 1).alias("line_start"), (F.col("line") + 1).alias("line"), F.col(_BAD).isNotNull().alias("malformed"), F.when(F.col(_BAD).isNotNull(), width).alias("width"), F.col(_BAD).alias("bad"))
+    return out.select(*(F.coalesce(F.col(f"_c.{c}"), F.lit("")).alias(n) for c, n in zip(names, columns, strict=True)), "source", "row", "line_start", "line", bad.isNotNull().alias("malformed"), F.when(bad.isNotNull(), width).alias("width"), bad.alias("bad"))
 
 
 def capped(records: DataFrame, limit: int | None) -> DataFrame:
@@ -193,10 +172,10 @@ def capped(records: DataFrame, limit: int | None) -> DataFrame:
 def read_logs(spark: SparkSession, paths: list[str], params: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, found, files) of all CSV and text files: normalised events, FOUND diagnostics, and a row for each file.
 
-    Files with a problem give no events. A row for each file comes to the driver, with the first line of CSV files;
-    contents never do. Files of one header are read as one table.
+    Files with a problem give no events. A row for each file comes to the driver, with the first line of CSV files, cut
+    to FIRST_BYTES; contents never do. Files of one header are read as one table.
     """
-    facts = file_facts(spark, paths, params).cache()
+    facts = cut(file_facts(spark, paths, params))
     listed = facts.select("source", "kind", "problem", "encoding", "first_line").collect()
     good = {k: [r for r in listed if r["kind"] == k and r["problem"] is None] for k in ("csv", "syslog")}
     wide = {r["source"] for r in listed if r["encoding"] == "utf-16"}
@@ -204,13 +183,21 @@ def read_logs(spark: SparkSession, paths: list[str], params: Params = Params())
     heads = headers([(r["source"], r["first_line"]) for r in good["csv"]], params.delimiter)
     more, blocked = header_issues(heads)
     rows += more
-    groups: dict[tuple[str, tuple[str, ...], str], list[str]] = {}
+    by_separator: dict[str, list[str]] = {}
+    for source, separator, _ in heads:
+        if source not in blocked:
+            by_separator.setdefault(separator, []).append(source)
+    tables = {separator: CsvFiles(spark, sources, separator, wide) for separator, sources in by_separator.items()}
+    for table in tables.values():
+        rows += [(s, "csv_syntax", 0, row, None, None, 0, "", "") for s, row in table.faulty.items()]
+        blocked |= set(table.faulty)
+    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
     for source, separator, columns in heads:
         if source not in blocked:
-            groups.setdefault((separator, tuple(columns), "UTF-16" if source in wide else "UTF-8"), []).append(source)
+            groups.setdefault((separator, tuple(columns)), []).append(source)
     events, bad, read = [], [], []
-    for (separator, columns, encoding), sources in groups.items():
-        records = csv_records(spark, sources, separator, list(columns), encoding)
+    for (separator, columns), sources in groups.items():
+        records = cells(tables[separator].records(sources), separator, list(columns))
         read.append(records.select("source", "row", "malformed"))
         records = capped(records, params.max_events)
         code = F.when(F.col("width") > len(columns), "extra_csv_fields").otherwise("missing_csv_fields")
@@ -226,7 +213,7 @@ def read_logs(spark: SparkSession, paths: list[str], params: Params = Params())
     empty = spark.createDataFrame([], "source string, row long, malformed boolean")
     over = F.col("row") > params.max_events if params.max_events else F.lit(False)
     counts = reduce(DataFrame.unionByName, [empty, *read]).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("malformed") & ~over).alias("skipped"), F.count_if(over).alias("over"))
-    stopped = spark.createDataFrame([(s,) for s in {r[0] for r in rows if r[1] in ("duplicate_headers", "empty_header", "unrecognized_columns")}] , "source string").withColumn("stopped", F.lit(True))
+    stopped = spark.createDataFrame([(s,) for s in sorted(blocked)], "source string").withColumn("stopped", F.lit(True))
     n = lambda c: F.coalesce(c, F.lit(0))
     files = (
         facts.join(counts, "source", "left").join(stopped, "source", "left")
