@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +17,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelog.llm import alignment, hardneg, substrings
+from tidelog.llm import alignment, hardneg, sharding, substrings
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 OTHER = "string, begin int, words long, `rows` int, v string, part int, `key` string"
@@ -247,3 +249,27 @@ def test_digests_of_the_queries(spark):
             assert (r.n_a, r.n_b, r.n_groups, r.n_links) == want[:4] and r.groups_sha256 == (hashlib.sha256(want[6].encode()).hexdigest() if want[6] else "")
             assert r.n_a in (0, len(a.encode(" " + texts[r.doc_id], add_special_tokens=False).ids)) and r.n_b in (0, len(b.encode(texts[r.doc_id])))
     assert len(rows) == len(texts) and sum(r.n_links for r in rows) > 0
+
+
+# Sharding of repeated rows, and of maps that aren't there yet
+
+
+def test_sharding_of_repeated_rows(spark, monkeypatch, tmp_path):
+    """A third of the rows are copies of one row; sizes stay near equal, slots gapless, and every row is placed."""
+    monkeypatch.setattr(sharding, "RUN", 64)
+    r = random.Random(8)
+    rows = [(k, "x" * r.randrange(500, 1500)) for k in range(2000)] + [(7, "same " * 200)] * 1000 + [(None, None)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.shard(df, shards=4, slots=1024, map_path=f"file://{tmp_path}/map").collect()
+    want = collections.Counter((i, len(t or "") + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert collections.Counter((x.doc_id, x["size"], x.text_crc32) for x in got) == want
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for x in got:
+        sizes[x.shard] += x["size"]
+        slots[x.shard].append(x.slot)
+    assert max(sizes.values()) - min(sizes.values()) <= 2000 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert {x.map_version for x in got} == {1}
+    again = sharding.shard(df, shards=5, slots=1024, map_path=f"file://{tmp_path}/map").collect()
+    assert {x.map_version for x in again} == {2} and {x.shard for x in again} == set(range(5))
+    of = {x.virtual_slot: x.shard for x in got}
+    assert all(x.shard in (4, of[x.virtual_slot]) for x in again)

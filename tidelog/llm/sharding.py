@@ -18,6 +18,7 @@ from tidelog.llm.common import remove_at_exit, shared_folder, stored
 
 #: Virtual slots. Fixed for the life of a data set; a map has this many rows whatever the data's size.
 SLOTS = 8192
+RUN = 4096
 ROW_OVERHEAD = 8
 MAP_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructField("virtual_slot", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("bytes", T.LongType())])
 
@@ -26,15 +27,22 @@ def slotted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots
     """(id, size, text_crc32, virtual_slot) of each record.
 
     Null texts weigh ROW_OVERHEAD bytes and share the CRC of the empty text; a null id is hashed like any
-    other value. The text takes part in the hash, so that rows of one id spread unless they are equal.
+    other value. The text takes part in the hash, and for repeated rows their running number, so that equal
+    rows spread too: they are counted, and made again from the counts, some RUN of them at a time.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(
+    rows = df.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + ROW_OVERHEAD).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64(F.col(id_col), text).alias("hash"),
+        F.xxhash64(F.lit(1), text, F.col(id_col)).alias("hash2"),
     )
+    copies = rows.groupBy("doc_id", "size", "text_crc32", "hash", "hash2").agg(F.count(F.lit(1)).alias("n"))
+    runs = copies.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"), F.lit(RUN).cast("long"))))
+    each = runs.withColumn("copy", F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, F.col("n")) - 1)))
+    hash_ = F.when(F.col("copy") == 0, F.col("hash")).otherwise(F.xxhash64("hash", "hash2", "copy"))
+    return each.select("doc_id", "size", "text_crc32", F.pmod(hash_, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_loads(records: DataFrame) -> DataFrame:
@@ -104,6 +112,11 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return table.filter(F.col("version") == newest)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def collected(loads: DataFrame) -> dict[int, int]:
     """Bytes by slot on the driver: at most as many rows as there are virtual slots."""
     return {r["virtual_slot"]: r["bytes"] for r in loads.select("virtual_slot", "bytes").collect()}
@@ -115,7 +128,7 @@ def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str
     Law ``bytes``: shards hold nearly equal bytes; ``slot`` counts the records of a shard from 0 without gaps
     (by virtual slot, then id, CRC and size); ``grown_shard`` is null under this law. An empty table gives no
     rows. Equal rows take successive slots in any order. If ``map_path`` is given, the newest map there is
-    kept and edited; otherwise a first version is stored in the shared folder.
+    kept and edited, or the first version made there; otherwise it is made in the shared folder.
     """
     spark = df.sparkSession
     records = stored(slotted(df, id_col, text_col, slots), "records")
@@ -123,11 +136,13 @@ def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str
     counts = {r["virtual_slot"]: (r["bytes"], r["rows"]) for r in table.collect()}
     loads = {k: v[0] for k, v in counts.items()}
     path, version, placed = map_path, 1, None
-    if path:
-        old = load_map(spark, path).collect()
+    old = load_map(spark, path).collect() if path and _exists(spark, path) else []
+    if old:
         placed, version = rebalanced({r["virtual_slot"]: r["shard"] for r in old}, loads, shards), old[0]["version"] + 1
     else:
-        path, placed = f"{shared_folder(spark)}/slot_map", balanced(loads, shards, slots)
+        placed = balanced(loads, shards, slots)
+    if not path:
+        path = f"{shared_folder(spark)}/slot_map"
         remove_at_exit(spark, path)
     save_map(slot_map(spark, placed, loads, version), path)
     after, begins = dict.fromkeys(range(shards), 0), {}
