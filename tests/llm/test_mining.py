@@ -17,7 +17,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelog.llm import alignment, hardneg, sharding, substrings
+from tidelog.llm import alignment, decontaminate, hardneg, sharding, substrings
+from tidelog.llm.common import Words
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 OTHER = "string, begin int, words long, `rows` int, v string, part int, `key` string"
@@ -273,3 +274,40 @@ def test_sharding_of_repeated_rows(spark, monkeypatch, tmp_path):
     assert {x.map_version for x in again} == {2} and {x.shard for x in again} == set(range(5))
     of = {x.virtual_slot: x.shard for x in got}
     assert all(x.shard in (4, of[x.virtual_slot]) for x in again)
+
+
+# Benchmark items of any length at the limit of edits
+
+
+@pytest.mark.parametrize("kind", ["drop", "add"])
+@pytest.mark.parametrize(("length", "trials"), [(20, 60), (80, 60), (200, 30), (800, 12), (1600, 5)])
+def test_long_items_at_the_limit_of_edits(length, trials, kind):
+    r = random.Random(length)
+    said = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    items = [said(length) for _ in range(trials)]
+    prepared = decontaminate.Items(list(range(trials)), [" ".join(x) for x in items])
+    found = 0
+    for k, item in enumerate(items):
+        text = list(item)
+        for _ in range(decontaminate.allowed(length)):
+            at = r.randrange(1, len(text) - 1)
+            text[at : at + (kind == "drop")] = [] if kind == "drop" else said(1)
+        data = " ".join(said(50) + text + said(50)).encode()
+        words = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), decontaminate._WORD)
+        got = prepared.matches(words)
+        assert all(m[1] == k for m in got)
+        found += any(m[2] <= decontaminate.allowed(length) for m in got)
+    assert found >= 0.99 * trials
+
+
+def test_long_items_and_brute_force():
+    """The best passage of a long item is that of the plain edit distance, in texts that hold it twice."""
+    r = random.Random(2)
+    item = [f"w{r.randrange(60)}" for _ in range(180)]
+    near = list(item)
+    for at in (5, 60, 100, 170):
+        near[at] = "other"
+    data = " ".join([*["x"] * 40, *near, *["y"] * 400, *item[:90], "z", *item[90:], *["q"] * 9]).encode()
+    words = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), decontaminate._WORD)
+    prepared = decontaminate.Items([3], [" ".join(item)])
+    assert prepared.matches(words) == [(0, 0, 1, 620, 801)]

@@ -9,7 +9,11 @@ and the least chance that two texts at the edit limit share a bucket. Candidates
 Only windows that can match at all are embedded: if n words differ by k edits, one of the k + 1 stretches
 between edits stays whole and has at least ceil((n - k) / (k + 1)) words, so that a match holds such a run of some item
 of its length, and begins so many words ahead of it as in the item. This drops no match and keeps the work in
-proportion to the text; ``everywhere`` embeds all windows. Documents are
+proportion to the text; ``everywhere`` embeds all windows.
+
+Items of more than PART words are searched by parts: edits that the whole allows can't be more than a fifth of every
+part, so that some part lies within its own limit. A part that is found is followed by the exact edit distance of the whole
+item around it. Documents are
 never shuffled; the benchmark goes to the tasks in blocks of bounded size.
 """
 
@@ -34,6 +38,8 @@ RECALL, SAMPLED, REACHED = 0.999, 2, 1.5
 #: Text bytes of the benchmark that go to the tasks in one pass; a larger one takes several passes.
 ITEM_BYTES = 16 << 20
 _LUT_BITS = 20
+#: Words of the longest text that is embedded as a whole: by deletions alone, walks over longer ones part too soon.
+PART = 80
 #: Letters, digits and all bytes beyond ASCII make words; punctuation doesn't.
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -104,18 +110,27 @@ def edit_match(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass
 class Items:
-    """Prepared benchmark items: their words, run lookup and embeddings."""
+    """Prepared benchmark items, and their parts: words, run lookup and embeddings."""
 
     ids: list[int]
     texts: list[str]
+    #: Words of each item; words of each part, its item and its first word there.
+    items: list[np.ndarray] = field(default_factory=list)
     words: list[np.ndarray] = field(default_factory=list)
+    item: list[int] = field(default_factory=list)
+    offset: list[int] = field(default_factory=list)
 
     def __post_init__(self):
         packed = [t.encode() for t in self.texts]
         offsets = np.cumsum([0, *map(len, packed)])
         found = Words(np.frombuffer(b"".join(packed), dtype=np.uint8), offsets, _WORD)
         kept = [(i, found.hashes[a:b]) for i, a, b in zip(self.ids, found.first[:-1], found.first[1:], strict=True) if b > a]
-        self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
+        self.ids, self.items = [i for i, _ in kept], [w for _, w in kept]
+        for k, w in enumerate(self.items):
+            for part in np.array_split(np.arange(len(w)), -(-len(w) // PART)):
+                self.words.append(w[part])
+                self.item.append(k)
+                self.offset.append(int(part[0]))
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for q in sorted({run_length(int(n)) for n in self.sizes}):
@@ -147,7 +162,7 @@ class Items:
         return np.unique(np.concatenate(found), axis=0)
 
     def candidates(self, words: Words, everywhere: bool = False) -> np.ndarray:
-        """Distinct (text, item, first word) of windows and items that share a bucket."""
+        """Distinct (text, part, first word) of windows and parts that share a bucket."""
         rows, out = self.windows(words, everywhere), [np.zeros((0, 3), np.int64)]
         for n, (keys, owner) in self.tables.items():
             mine = rows[rows[:, 1] == n]
@@ -162,14 +177,28 @@ class Items:
     def matches(self, words: Words, everywhere: bool = False) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, first word, end word) of the best passage of each text and item within the limit."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for text, item, start in self.candidates(words, everywhere).tolist():
-            n, most = int(self.sizes[item]), allowed(int(self.sizes[item]))
+        tried: dict[tuple[int, int], list[int]] = {}
+
+        def passage(pattern: np.ndarray, text: int, start: int) -> tuple[int, int, int]:
+            most = allowed(len(pattern))
+            low, high = max(int(words.first[text]), start - 2 * most), min(int(words.first[text + 1]), start + len(pattern) + 2 * most)
+            edits, a, b = edit_match(pattern, words.hashes[low:high]) if high > low else (len(pattern), 0, 0)
+            return edits, low + a, low + b
+
+        for text, part, start in self.candidates(words, everywhere).tolist():
+            item, pattern = self.item[part], self.words[part]
             if best.get((text, item), (1,))[0] == 0:
                 continue
-            low, high = max(int(words.first[text]), start - 2 * most), min(int(words.first[text + 1]), start + n + 2 * most)
-            edits, a, b = edit_match(self.words[item], words.hashes[low:high])
-            if edits <= most:
-                best[text, item] = min(best.get((text, item), (edits, low + a, low + b)), (edits, low + a, low + b))
+            whole, start_of = self.items[item], start - self.offset[part]
+            most = allowed(len(whole))
+            if len(pattern) < len(whole):
+                # Where the whole has been tried so near, all passages that this part may belong to have been seen.
+                if any(abs(start_of - x) <= most // 2 for x in tried.get((text, item), ())) or passage(pattern, text, start)[0] > allowed(len(pattern)):
+                    continue
+                tried.setdefault((text, item), []).append(start_of)
+            found = passage(whole, text, start_of)
+            if found[0] <= most:
+                best[text, item] = min(best.get((text, item), found), found)
         return [(*key, *value) for key, value in best.items()]
 
 
@@ -221,7 +250,7 @@ def _finder(shared):
             ids = batch.column("doc_id").to_pylist()
             for first, _, data, offsets in blocks(batch.column("text")):
                 words = Words(data, offsets, _WORD)
-                rows = [(ids[first + t], items.ids[i], edits, int(items.sizes[i]), int(words.starts[a] - offsets[t]), int(words.ends[b - 1] - offsets[t])) for t, i, edits, a, b in items.matches(words)]
+                rows = [(ids[first + t], items.ids[i], edits, len(items.items[i]), int(words.starts[a] - offsets[t]), int(words.ends[b - 1] - offsets[t])) for t, i, edits, a, b in items.matches(words)]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "edits", "item_words", "start_byte", "end_byte"])
