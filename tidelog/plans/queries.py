@@ -7,6 +7,7 @@ and ``LOGS`` says the same in SQL. All comparisons are in UTC seconds.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ from tidelog.operators import correlate, incidents, quality, summary, tree, wind
 from tidelog.operators.normalize import enrich, normalize, normalize_lines, with_identity_flags
 from tidelog.plans import analysis
 from tidelog.schema import Params
-from tidelog.sources import readers, sinks
+from tidelog.shared import new_folder
+from tidelog.sources import readers, sinks, store
 
 PARAMS = Params(window_minutes=60, min_events=3, as_of_year=2024)
 S_ = PARAMS.seconds
@@ -90,21 +92,6 @@ def records(spark: SparkSession, sf_dir: str, bursts: bool = False) -> DataFrame
     )
 
 
-def _folder(spark, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-logs-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
 _TABLES: dict[tuple[str, str, str], str] = {}
 
 
@@ -112,7 +99,7 @@ def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFr
     """A table written once for a session and data set, and read by each query that needs it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
-        path = _folder(spark, name)
+        path = new_folder(spark, name)
         make().write.parquet(path)
         _TABLES[key] = path
     return spark.read.parquet(_TABLES[key])
@@ -668,7 +655,7 @@ def csv_export(spark, sf_dir):
 
     Files hold so few records that neither limit of an import is reached, and none is lost on the way back.
     """
-    path = _folder(spark, "csv")
+    path = new_folder(spark, "csv")
     r = records(spark, sf_dir).withColumn("SyslogMessage", F.when(F.col("row") % 5 == 0, F.concat("SyslogMessage", F.lit('\nsecond, "quoted" line'))).otherwise(F.col("SyslogMessage")))
     limits = [x for x in (PARAMS.max_events, PARAMS.max_file_bytes and PARAMS.max_file_bytes // RECORD_BYTES) if x is not None]
     r.select(_HEADER).write.options(maxRecordsPerFile=max(1, min(limits)) if limits else 0, header=True, quote='"', escape='"', sep=";", emptyValue="").csv(path)
@@ -679,7 +666,7 @@ def csv_export(spark, sf_dir):
 @query("src2_text_lines", f"with {LOGS}, p as ({_PRI}) select timestamp, host, process, pid, severity, facility, message, count(*) as n from p group by all")
 def text_file(spark, sf_dir):
     """Events written as lines of text, read again and parsed."""
-    path = _folder(spark, "text")
+    path = new_folder(spark, "text")
     _lines(spark, sf_dir).select("value").write.text(path)
     lines = _kept(spark, sf_dir, "text_lines", lambda: normalize_lines(readers.text_lines(spark, [path]), PARAMS))
     return lines.groupBy(seconds(), "host", "process", "pid", "severity", "facility", "message").agg(F.count(F.lit(1)).alias("n"))
@@ -688,7 +675,7 @@ def text_file(spark, sf_dir):
 @query("win12_line_numbers", "select row_number() over () as row, 1::bigint as n from events")
 def line_numbers(spark, sf_dir):
     """Lines of files, each numbered over all its stretches; rows of the files are told together again."""
-    path = _folder(spark, "numbered")
+    path = new_folder(spark, "numbered")
     _lines(spark, sf_dir).select("value").write.text(path)
     lines = readers.text_lines(spark, [path])
     # A file of n lines gives each number from 1 to n once; numbered on over all files, they are those of the table.
@@ -701,7 +688,7 @@ def line_numbers(spark, sf_dir):
 select strftime(day, '%Y-%m-%d') as day, 'syslog' as kind, (sum(strlen(line)) + count(*))::bigint as content_bytes, 'utf-8' as encoding, sha256(string_agg(line, chr(10) order by row) || chr(10)) as sha256, null::varchar as problem from l group by day""")
 def file_facts(spark, sf_dir):
     """Checks of files written from the events, one for each day with its lines in order: a row for each file."""
-    path = _folder(spark, "facts")
+    path = new_folder(spark, "facts")
     line = F.expr("concat('pc-', user_id % 8, ' ', event_type, ' caffè ', event_id)")
     days = _table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"), "event_id", line.alias("value"))
     days.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.option("lineSep", "\n").partitionBy("day").text(path)
@@ -709,6 +696,77 @@ def file_facts(spark, sf_dir):
     return facts.select(F.regexp_extract("source", "day=([^/]*)/", 1).alias("day"), "kind", "content_bytes", "encoding", "sha256", "problem")
 
 
+def _event_store(spark, sf_dir) -> DataFrame:
+    """The events written by day and read again."""
+    key = (spark.sparkContext.applicationId, sf_dir, "store")
+    if key not in _TABLES:
+        path = new_folder(spark, "store")
+        store.write_events(events(spark, sf_dir), path)
+        _TABLES[key] = path
+    return store.read_events(spark, _TABLES[key])
+
+
+@query("snk1_event_store", f"""with {CANDIDATES}, now as (select incident_id, count(*) as events, min(row) as first_row from top join logs on logs.host_key = top.host_key and logs.bucket = top.bucket group by all),
+before as (select incident_id, count(*) as previous from top join logs on logs.host_key = top.host_key and logs.bucket between top.bucket - {12 * S_} and top.bucket - {S_} group by all)
+select incident_id, events, first_row, coalesce(previous, 0)::bigint as previous from now left join before using (incident_id)""")
+def event_store(spark, sf_dir):
+    """Events written by day; the reported windows and those before them read from the days that they lie in."""
+    stored = _event_store(spark, sf_dir)
+    top = windows.top_incidents(windows.candidates(stored, PARAMS))
+    near = store.around_windows(stored, top, PARAMS)
+    now = incidents.incident_events(near, top, PARAMS).groupBy("incident_id").agg(F.count(F.lit(1)).alias("events"), F.min("row").alias("first_row"))
+    before = incidents.previous_categories(near, top, PARAMS).groupBy("incident_id").agg(F.sum("count").alias("previous"))
+    return now.join(before, "incident_id", "left").select("incident_id", "events", "first_row", F.coalesce("previous", F.lit(0)).cast("long").alias("previous"))
+
+
+_VIEWS = {
+    "host": ({"host": "pc-3"}, "host_key = 'pc-3'"),
+    "levels": ({"levels": ("error", "custom")}, "severity in ('error', 'custom')"),
+    "process": ({"process": "sshd"}, "process = 'sshd'"),
+    "process_contains": ({"process_contains": "SVC"}, "contains(lower(process), 'svc')"),
+    "contains": ({"contains": "Password for USER1"}, "contains(lower(concat_ws(' ', host_key, process, message)), 'password for user1')"),
+    "time": ({"since": "2024-01-05 06:00:00", "until": "2024-01-09 00:00:00", "host": "pc-1"}, "t >= epoch(timestamp '2024-01-05 06:00:00') and t < epoch(timestamp '2024-01-09 00:00:00') and host_key = 'pc-1'"),
+}
+
+
+@query("prj12_views", f"with {LOGS} " + " union all ".join(f"select '{name}' as view, row from logs where {sql}" for name, (_, sql) in _VIEWS.items()))
+def views(spark, sf_dir):
+    """Filters of the views over the stored events, pushed down to days, row groups and Bloom filters."""
+    stored = _event_store(spark, sf_dir)
+    parts = [store.view(stored, **given).select(F.lit(name).alias("view"), "row") for name, (given, _) in _VIEWS.items()]
+    return reduce(DataFrame.union, parts)
+
+
+@query("prj5_event_time", f"""with {LOGS} select row, case when row % 5 in (1, 3, 0) then t end as timestamp, case when row % 5 in (1, 2) then 'EventTime' else 'TimeGenerated' end as timestamp_source, row % 5 in (1, 2) as fallback,
+ row % 5 = 3 as bad_event_time, row % 5 in (2, 4) as bad_time, case when row % 5 in (1, 4, 0) then t + 60 * (row % 5 <> 1)::int end as event_time from logs""")
+def event_time(spark, sf_dir):
+    """Records with two times: EventTime is used only where TimeGenerated is empty, and no value that can't be read is replaced."""
+    r, row = records(spark, sf_dir), F.col("row") % 5
+    at = F.date_format(F.timestamp_seconds(F.unix_timestamp("at") + F.when(row == 1, 0).otherwise(60)), "yyyy-MM-dd'T'HH:mm:ss")
+    r = r.join(_table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("row"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at")), "row")
+    r = r.withColumn("EventTime [UTC]", F.when(row.isin(2, 3), "yesterday").otherwise(at)).withColumn("TimeGenerated", F.when(row.isin(1, 2), F.lit(" - ")).when(row == 4, "31/02/2024 10:00:00").otherwise(F.col("TimeGenerated"))).drop("at")
+    e = normalize(r, PARAMS)
+    has = lambda code: F.array_contains("flags", code)
+    return e.select(
+        "row", seconds(), F.when(F.col("timestamp_source") == "EventTime [UTC]", "EventTime").otherwise(F.col("timestamp_source")).alias("timestamp_source"), has("event_time_fallback").alias("fallback"),
+        F.exists("field_diagnostics", lambda d: d["code"] == "invalid_event_time").alias("bad_event_time"), has("invalid_timestamp").alias("bad_time"), seconds("event_time").alias("event_time"),
+    )
+
+
+@query("snk3_import_json", f"""with {_TWICE}, c as ({_FOUND_SQL}) select 'events' as source, 'warning' as status, (select count(*) from d) as records_read,
+ string_agg(code || ' ' || n, ', ' order by case when code = 'assumed_timezone' then 2 else 1 end, code) as diagnostics, sum(least(5, n))::bigint as examples from c where n > 0""")
+def import_json(spark, sf_dir):
+    """The import report written as JSON, its diagnostics read again in their order: level, then code."""
+    e = _doubled(spark, sf_dir)
+    files = e.groupBy("source").agg(F.count(F.lit(1)).alias("records_read")).select("source", "records_read", F.lit(0).alias("skipped"), F.lit(False).alias("truncated"), F.lit(False).alias("blocked"))
+    found = quality.row_issues(e)
+    path = new_folder(spark, "imports")
+    sinks.write_json(quality.import_report(quality.report(e, found, files), found).select(F.from_json("json", "source string, status string, records_read long, diagnostics array<struct<code:string,level:string,count:long,examples:array<struct<record:long>>>>").alias("j")).select("j.*"), path)
+    back = spark.read.schema("source string, status string, records_read long, diagnostics array<struct<code:string,count:long,examples:array<struct<record:long>>>>").json(path)
+    told = F.array_join(F.transform("diagnostics", lambda d: F.concat_ws(" ", d["code"], d["count"].cast("string"))), ", ")
+    return back.select("source", "status", "records_read", told.alias("diagnostics"), F.aggregate("diagnostics", F.lit(0).cast("long"), lambda a, d: a + F.size(d["examples"])).alias("examples"))
+
+
 @query("snk2_dossiers")
 def dossier_json(spark, sf_dir):
     d = analysis.dossiers(events(spark, sf_dir), PARAMS)

@@ -35,7 +35,7 @@ def nested(parent: DataFrame, child: DataFrame, name: str, order: tuple[str, ...
     return parent.join(rows, [*key], "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
-# Headings and sentences of tickets.
+# Headings and sentences of tickets, here and in the body of ``ticket``.
 _POLICY = "TimeGenerated ha precedenza; se assente o vuoto si usa EventTime. Se entrambi sono vuoti si usa il timestamp nel messaggio. Un valore non valido non viene sostituito. Le colonne [UTC] usano UTC; gli offset espliciti vengono convertiti in UTC."
 _NOTE = "Stesso host, IP sorgente e utente nella finestra; verificare se l'accesso era autorizzato."
 
