@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +11,8 @@ from tidelog.operators.windows import process_counts
 
 #: Rows of each report, and processes of a host that are compared.
 MOST, MOST_PROCESSES = 20, 20
+#: Windows of a span, whose sets of windows are intersected in one row.
+SPAN = 1024
 FIELDS = ("facility", "severity", "host_ip")
 
 
@@ -53,15 +53,27 @@ def active_windows(events: DataFrame, seconds: int, scope: tuple[str, ...] = ())
     return counts.join(activity_rank(events, scope), keys)
 
 
+def shared_windows(active: DataFrame, seconds: int, host: list[str]) -> DataFrame:
+    """(host, first, second, shared_windows): pairs of a host's processes, the more active one first, with windows in common.
+
+    A host's windows are cut into spans; in each, a process has the set of its windows, and sets are intersected: the
+    20 processes of a span are one row, and no pair is made for each window.
+    """
+    number = F.floor(F.col("bucket") / seconds)
+    sets = active.groupBy(*host, "activity", "process", F.floor(number / SPAN).alias("span")).agg(F.collect_list(F.pmod(number, F.lit(SPAN)).cast("short")).alias("at"))
+    spans = sets.groupBy(*host, "span").agg(F.collect_list(F.struct("activity", "process", "at")).alias("all"))
+    later = lambda x: F.filter("all", lambda y: y["activity"] > x["activity"])
+    pair = lambda x, y: F.struct(x["process"].alias("first"), y["process"].alias("second"), F.size(F.array_intersect(x["at"], y["at"])).alias("n"))
+    pairs = spans.select(*host, F.explode(F.flatten(F.transform("all", lambda x: F.transform(later(x), lambda y: pair(x, y))))).alias("p")).select(*host, "p.*")
+    return pairs.filter("n > 0").groupBy(*host, "first", "second").agg(F.sum("n").alias("shared_windows"))
+
+
 def cooccurrence(events: DataFrame, seconds: int, scope: tuple[str, ...] = (), limit: int = MOST) -> DataFrame:
     """(host, first, second, shared_windows, jaccard, rank): process pairs of a host with two shared windows or more."""
     host = [*scope, "host_key"]
     active = active_windows(events, seconds, scope)
     sizes = active.groupBy(*host, "process").agg(F.count(F.lit(1)).alias("windows"), F.max("activity").alias("activity"), F.max("events").alias("events"))
-    a, b = active.alias("a"), active.alias("b")
-    same = reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*host, "bucket")))
-    # At most 190 pairs a host and window: 20 processes are compared.
-    pairs = a.join(b, same & (F.col("a.activity") < F.col("b.activity"))).groupBy(*(F.col(f"a.{c}").alias(c) for c in host), F.col("a.process").alias("first"), F.col("b.process").alias("second")).agg(F.count(F.lit(1)).alias("shared_windows"))
+    pairs = shared_windows(active, seconds, host)
     side = lambda name: sizes.select(*host, F.col("process").alias(name), F.col("windows").alias(f"n_{name}"), F.col("activity").alias(f"r_{name}"), F.col("events").alias(f"e_{name}"))
     told = pairs.filter("shared_windows >= 2").join(side("first"), [*host, "first"]).join(side("second"), [*host, "second"])
     jaccard = F.bround(F.col("shared_windows") / (F.col("n_first") + F.col("n_second") - F.col("shared_windows")), 3)
