@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelog.llm.common import blocks, stored
+from tidelog.llm.common import blocks, stored, tidy
 
 #: The rolling hash sees so many bytes; a chunk has this many bytes on average, and at most the greatest number.
 WINDOW, AVERAGE, GREATEST = 32, 512, 8192
@@ -375,15 +375,15 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    digests = stored(docs.select("key", "text").mapInArrow(_digests, "key long, digests binary"), "digests")
-    bits = spark.sparkContext.broadcast(_repeated(digests.select("digests").mapInArrow(_counted, "digest binary, n long")))
-    chunks = docs.select("text").mapInArrow(_shared_chunks(bits), "digest binary, chunk binary").groupBy("digest").agg(F.first("chunk").alias("chunk"))
-    ids = chunks.mapInArrow(_encode_chunks(tokenizer_path), "digest binary, ids binary")
-    places = digests.mapInArrow(_places(bits), "key long, digest binary").distinct()
+    digests = stored(docs.select("key", "text").mapInArrow(tidy(_digests), "key long, digests binary"), "digests")
+    bits = spark.sparkContext.broadcast(_repeated(digests.select("digests").mapInArrow(tidy(_counted), "digest binary, n long")))
+    chunks = docs.select("text").mapInArrow(tidy(_shared_chunks(bits)), "digest binary, chunk binary").groupBy("digest").agg(F.first("chunk").alias("chunk"))
+    ids = chunks.mapInArrow(tidy(_encode_chunks(tokenizer_path)), "digest binary, ids binary")
+    places = digests.mapInArrow(tidy(_places(bits)), "key long, digest binary").distinct()
     given = places.join(ids, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "ids")).alias("chunks"))
     result = OUTPUT if with_ids else RESULT
-    own = docs.mapInArrow(_own(tokenizer_path, bits, with_ids), f"key long, packed binary, {result}")
-    return own.join(given, "key", "left").drop("key").mapInArrow(_joined(tokenizer_path, with_ids), result)
+    own = docs.mapInArrow(tidy(_own(tokenizer_path, bits, with_ids)), f"key long, packed binary, {result}")
+    return own.join(given, "key", "left").drop("key").mapInArrow(tidy(_joined(tokenizer_path, with_ids)), result)
 
 
 def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -394,4 +394,4 @@ def decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([encoder.decode(x.as_py() or b"") for x in batch.column("ids")], pa.string())], names=["doc_id", "text"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(back, "doc_id long, text string")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(back), "doc_id long, text string")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Words, blocks, grams, mix
+from tidelog.llm.common import Words, blocks, grams, mix, tidy
 
 #: One edit is allowed for so many words of an item.
 EDITS_PER = 5
@@ -268,7 +268,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for items in _item_blocks(benchmark, item_id_col, item_text_col):
-        part = docs.mapInArrow(_finder(_Shared(items)), PAIRS)
+        part = docs.mapInArrow(tidy(_finder(_Shared(items))), PAIRS)
         out = part if out is None else out.union(part)
     return out
 
@@ -289,5 +289,5 @@ def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_c
         return keep
 
     for items in _item_blocks(benchmark, item_id_col, item_text_col):
-        df = df.mapInArrow(keeper(_Shared(items)), df.schema)
+        df = df.mapInArrow(tidy(keeper(_Shared(items))), df.schema)
     return df

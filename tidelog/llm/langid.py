@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import _LOWER, blocks, stored
+from tidelog.llm.common import _LOWER, blocks, stored, tidy
 from tidelog.llm.linear import sample
 
 #: Labelled rows that the trigram model is fitted on at most (more only where ids repeat).
@@ -129,7 +129,7 @@ def _counts(df: DataFrame, model: TextModel, shared) -> dict[str, DataFrame]:
     n = len(model.languages)
     of = [f"p{k}" for k in range(n)]
     schema = "_host string, _domain string, _declared string, _suffix string, " + ", ".join(f"{p} double" for p in of)
-    rows = df.select("_text", "_host", "_domain", "_declared", "_suffix").mapInArrow(_text_posteriors(shared), schema)
+    rows = df.select("_text", "_host", "_domain", "_declared", "_suffix").mapInArrow(tidy(_text_posteriors(shared)), schema)
     sums = [F.sum(p).alias(p) for p in of]
     cube = stored(rows.groupBy("_host", "_domain", "_declared", "_suffix").agg(*sums), "counts")
     total = [x or 0.0 for x in cube.agg(*sums).first()]
@@ -202,7 +202,7 @@ def identify(df: DataFrame, model: TextModel, keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keys), pa.array([names[b] for b in best], pa.string()), pa.array(top), batch.column(batch.schema.get_field_index("_declared")), pa.array((best == len(names) - 1) | (top < LEAST_POSTERIOR))], names=[*keys, "language", "posterior", "declared", "rejected"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "language string, posterior double, declared string, rejected boolean"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def clean_documents(df: DataFrame, model: TextModel) -> DataFrame:
@@ -220,4 +220,4 @@ def clean_documents(df: DataFrame, model: TextModel) -> DataFrame:
             row = batch.column(batch.schema.get_field_index("_row")).filter(pa.array(good))
             yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in row.type])
 
-    return rows.mapInArrow(keep, df.schema)
+    return rows.mapInArrow(tidy(keep), df.schema)

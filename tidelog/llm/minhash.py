@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Words, blocks, grams, long_array, stored
+from tidelog.llm.common import Words, blocks, grams, long_array, stored, tidy
 from tidelog.llm.graph import components
 
 SHINGLE = 5
@@ -175,11 +175,11 @@ def _exact(percent: int):
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The (u, v) pairs of classes whose full sets reach the threshold."""
     named = lambda side: [F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("sig",))]
-    pruned = pairs.join(classes.select(*named("u")), "u").join(classes.select(*named("v")), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_pruned(percent / 100), "u long, v long")
+    pruned = pairs.join(classes.select(*named("u")), "u").join(classes.select(*named("v")), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(tidy(_pruned(percent / 100)), "u long, v long")
     pruned = stored(pruned, "pairs")
     packed = _texts_of(pruned.select(F.col("u").alias("id")).union(pruned.select(F.col("v").alias("id"))), classes, texts)
     side = lambda s: packed.select(F.col("id").alias(s), F.col("digest").alias(f"digest_{s}"), F.col("packed").alias(f"packed_{s}"))
-    return stored(pruned.join(side("u"), "u").join(side("v"), "v").mapInArrow(_exact(percent), "u long, v long").distinct(), "links")
+    return stored(pruned.join(side("u"), "u").join(side("v"), "v").mapInArrow(tidy(_exact(percent)), "u long, v long").distinct(), "links")
 
 
 def _band_keys(sig: np.ndarray) -> np.ndarray:
@@ -247,7 +247,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _texts_of(needed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, digest, packed): the compressed texts of the classes named by ``needed.id``."""
     wanted = needed.distinct().join(classes.select("id", "digest"), "id")
-    return stored(texts.join(wanted, texts.doc_id == wanted.id).select("id", "digest", "text").mapInArrow(_compressed, "id long, digest binary, packed binary"), "texts")
+    return stored(texts.join(wanted, texts.doc_id == wanted.id).select("id", "digest", "text").mapInArrow(tidy(_compressed), "id long, digest binary, packed binary"), "texts")
 
 
 def _across(bands: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -280,10 +280,10 @@ def _across(bands: DataFrame, classes: DataFrame, labels: DataFrame, texts: Data
 
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and (digest, component) of all classes."""
-    sketches = stored(docs.mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary"), "sketches")
+    sketches = stored(docs.mapInArrow(tidy(_sketch), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary"), "sketches")
     known = sketches.filter("doc_id is not null and digest is not null")
     classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")), "classes")
-    bands = stored(classes.select("id", "sig").mapInArrow(_bands, "bucket long, band int, id long"), "bands")
+    bands = stored(classes.select("id", "sig").mapInArrow(tidy(_bands), "bucket long, band int, id long"), "bands")
     # Stored first, so that both sides of the join are plain exchanges, whose large partitions Spark splits.
     leaders = stored(bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "leaders")
     shared = stored(bands.join(leaders, "bucket").select("bucket", "band", "id", "leader"), "shared")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Words, blocks
+from tidelog.llm.common import Words, blocks, tidy
 from tidelog.llm.decontaminate import _WORD
 from tidelog.llm.linear import Lookup, fit_logistic, logit, sample, softmax, word_starts
 
@@ -224,7 +224,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names=["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"])
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(score, "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
+    return docs.mapInArrow(tidy(score), "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
 
 
 def clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,4 +237,4 @@ def clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield batch.filter(pa.array(_scores(shared, batch.column(batch.schema.get_field_index(text_col)))[:, -1] < threshold))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(tidy(keep), df.schema)
