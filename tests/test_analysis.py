@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
@@ -128,11 +129,11 @@ def test_delimiters_lines_and_utf16(load, spark, tmp_path):
     assert found.count() == 0 and not any(r.blocked for r in files.collect())
 
 
-def test_large_files_are_checked_by_lines(load, spark, tmp_path, monkeypatch):
+def test_large_files_are_streamed(load, spark, tmp_path, monkeypatch):
     whole, _, _ = load([row(k, "x, y") for k in range(9)], "a.csv")
     monkeypatch.setattr(readers, "WHOLE_BYTES", 50)
     events, found, files = load([row(k, "x, y") for k in range(9)], "b.csv")
-    assert events.count() == whole.count() == 9 and found.count() == 0 and files.first().sha256 is None
+    assert events.count() == whole.count() == 9 and found.count() == 0 and files.first().sha256 == hashlib.sha256((tmp_path / "b.csv").read_bytes()).hexdigest()
     _, found, files = load([row(0, "x"), '1,2,"open'], "c.csv")
     assert [r.code for r in found.collect()] == ["csv_syntax"] and files.first().blocked
 
