@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import REPO
-from tidelog.operators import incidents, tree, windows
+from tidelog.operators import correlate, incidents, tree, windows
+from tidelog.operators.places import AT, WHERE, counted
 from tidelog.schema import Params
 from tidelog.sources import store
 
@@ -101,3 +102,33 @@ def test_entry_without_a_package_of_the_training_data_part():
     """A package that the subpackage needs is missing: its queries go, all others stay."""
     code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 55 and set(s) <= set(q) and not any(k.startswith('op') or k == 'pipeline' for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("keys", [["host"], ["source", "host"]])
+def test_first_places_are_the_least_structs(spark, many_parts, keys):
+    """Times before the epoch and with microseconds, rows far into a file, equal times in several files, a null key."""
+    r = random.Random(7)
+    times = [datetime(1969, 12, 31, 23, 59, 59, 999999), datetime(1970, 1, 1), datetime(1902, 3, 4), START, START + timedelta(microseconds=1), datetime(9999, 12, 31, 23, 59, 59)]
+    rows = [(r.choice("abc"), r.choice(["x", "y", None]), r.choice(times), r.choice([1, 2, 2**62 + k])) for k in range(300)]
+    df = spark.createDataFrame(rows, "source string, host string, timestamp timestamp, row long").repartition(5)
+    for at in (AT, WHERE):
+        got = counted(df, keys, at)
+        want = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*at)).alias("first"))
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert counted(df.limit(0), keys).count() == 0
+
+
+def test_events_are_counted_in_hash_tables(spark, tmp_path):
+    """With sources as scope, no aggregate of events sorts; else only the counts of sources are put together by a sort."""
+    columns = "timestamp timestamp, source string, row long, host_key string, process string, pid string, facility string, severity string, host_ip string"
+    spark.createDataFrame([(START, "f", 1, "h", "p", "1", "a", "b", "c")], columns).write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    plans = [lambda scope: windows.process_counts(e, 300, scope), lambda scope: correlate.associations(e, scope), lambda scope: tree.first_observations(e, scope)]
+    for plan in plans:
+        assert "SortAggregate" not in _plan(plan(("source",)))
+        text = _plan(plan(()))
+        assert text.count("HashAggregate") >= 2 and text.rindex("HashAggregate") > text.rfind("SortAggregate")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions.text import UNKNOWN
+from tidelog.operators.places import WHERE, counted
 from tidelog.operators.windows import process_counts
 
 #: Rows of each report, and processes of a host that are compared.
@@ -25,8 +26,8 @@ def associations(events: DataFrame, scope: tuple[str, ...] = (), limit: int = MO
     keys = [*scope, "host_key", "process"]
     known = events.filter(F.col("host_key").isNotNull() & (F.col("process") != UNKNOWN))
     value = F.explode(F.array(*(F.struct(F.lit(f"process_{f}").alias("relation"), F.col(f).alias("value")) for f in FIELDS)))
-    place = F.struct("source", "row").alias("place")
-    counts = known.select(*keys, place, value.alias("p")).select(*keys, "place", "p.relation", "p.value").groupBy(*keys, "relation", "value").agg(F.count(F.lit(1)).alias("count"), F.min("place").alias("first"))
+    base = [*dict.fromkeys((*keys, *WHERE))]
+    counts = counted(known.select(*base, value.alias("p")).select(*base, "p.relation", "p.value"), [*keys, "relation", "value"], WHERE)
     # Each event has one value of a field, unknown ones too, so that the counts of a relation add up to the process.
     total = F.sum("count").over(Window.partitionBy(*keys, "relation"))
     rank = F.row_number().over(Window.partitionBy(*scope, "relation").orderBy(F.desc("count"), "first", "host_key", "process", "value"))

@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from tidelog.catalog import DEFAULT, Catalog
 from tidelog.functions.text import UNKNOWN
-from tidelog.operators.windows import AT, bucket_of, small, usable
+from tidelog.operators.places import AT, counted
+from tidelog.operators.windows import bucket_of, small, usable
 from tidelog.schema import LOOKBACK, MOST_EVIDENCE, Params
 from tidelog.shared import cut
 
@@ -61,8 +62,9 @@ def distributions(rows: DataFrame, scope: tuple[str, ...] = (), catalog: Catalog
         value = F.when(network, value) if field == "direction" else F.nullif(value, F.lit("")) if field in ("source", "destination") else value
         pairs.append(F.struct(F.lit(field).alias("field"), value.alias("name")))
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("total"), F.count_if(network).alias("with_endpoints"))
-    values = rows.select(*key, *AT, F.explode(F.array(*pairs)).alias("p")).select(*key, *AT, "p.field", "p.name").filter("name is not null")
-    counts = values.groupBy(*key, "field", "name").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*AT)).alias("first"))
+    base = [*dict.fromkeys((*key, *AT))]
+    values = rows.select(*base, F.explode(F.array(*pairs)).alias("p")).select(*base, "p.field", "p.name").filter("name is not null")
+    counts = counted(values, [*key, "field", "name"])
     rank = F.row_number().over(Window.partitionBy(*key, "field").orderBy(F.desc("count"), "first"))
     limit = F.lit(1 << 30)
     for field, _, _, most in FIELDS:
@@ -116,7 +118,8 @@ def hypotheses(rows: DataFrame, previous: DataFrame, scope: tuple[str, ...] = ()
         F.count_if(F.col("category") == "scan_alert").alias("scans"),
     )
     totals = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("total"))
-    peers = matching.filter((F.col("gate") == "auth_peer") & (F.col("network.src") != "")).groupBy(*key, "cause", F.col("network.src").alias("peer")).agg(F.count(F.lit(1)).alias("attempts"), F.min(F.struct(*AT)).alias("first"))
+    peers = matching.filter((F.col("gate") == "auth_peer") & (F.col("network.src") != "")).select(*dict.fromkeys((*key, *AT)), "cause", F.col("network.src").alias("peer"))
+    peers = counted(peers, [*key, "cause", "peer"]).withColumnRenamed("count", "attempts")
     best = Window.partitionBy(*key, "cause").orderBy(F.desc("attempts"), "first")
     peers = peers.withColumn("r", F.row_number().over(best)).filter("r = 1").select(*key, "cause", "peer", "attempts")
     firsts = matching.withColumn("r", F.row_number().over(Window.partitionBy(*key, "cause").orderBy(*AT))).filter("r <= 5")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidelog.catalog import DEFAULT, Catalog
 from tidelog.functions.text import UNKNOWN
 from tidelog.operators.incidents import label
+from tidelog.operators.places import WHERE, counted
 from tidelog.operators.windows import bucket_of, small
 
 MOST_BINS = 600
@@ -35,7 +36,7 @@ def distribution(events: DataFrame, column: str, limit: int | None = None, skip:
     """
     name = F.col(column)
     kept = name.isNotNull() & ~name.isin(*skip) if skip else name.isNotNull()
-    counts = events.groupBy(*scope, name.alias("name"), kept.alias("_kept")).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("source", "row")).alias("first"))
+    counts = counted(events.select(*dict.fromkeys((*scope, *WHERE)), name.alias("name"), kept.alias("_kept")), [*scope, "name", "_kept"], WHERE)
     total = counts.groupBy(*scope).agg(F.sum("count").alias("total"))
     top = _first(counts.filter("_kept"), limit, scope, [F.desc("count"), "first"])
     top = top.join(total, [*scope]) if scope else top.crossJoin(F.broadcast(total))
@@ -46,7 +47,8 @@ def process_messages(events: DataFrame, processes: int = 30, messages: int = 5,
     """(scope, process, count, percent, message, message_count, message_rank) of the commonest processes and their templates."""
     top = distribution(events, "process", processes, scope=scope).select(*scope, F.col("name").alias("process"), "count", "percent")
     keys = [*scope, "process"]
-    counts = events.join(small(top.select(*keys), scope), keys).groupBy(*keys, F.col("template").alias("message")).agg(F.count(F.lit(1)).alias("message_count"), F.min(F.struct("source", "row")).alias("first"))
+    rows = events.join(small(top.select(*keys), scope), keys).select(*dict.fromkeys((*keys, *WHERE)), F.col("template").alias("message"))
+    counts = counted(rows, [*keys, "message"], WHERE).withColumnRenamed("count", "message_count")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("message_count"), "first"))
     return counts.withColumn("message_rank", rank).filter(F.col("message_rank") <= messages).join(small(top, scope), keys).select(*keys, "count", "percent", "message", "message_count", "message_rank")
 

@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from tidelog.functions.classify import lifecycle
 from tidelog.functions.text import UNKNOWN
-from tidelog.operators.windows import AT, small, usable
+from tidelog.operators.places import AT, counted
+from tidelog.operators.windows import small, usable
 
 #: Starts shown, seconds that follow-ups may take, follow-ups and neighbours shown, neighbours looked at.
 MOST_STARTS, FOLLOW_SECONDS, MOST_FOLLOWING, MOST_NEARBY, MOST_INSPECTED = 100, 1800, 20, 10, 2000
@@ -25,7 +26,7 @@ def with_lifecycle(events: DataFrame) -> DataFrame:
 def first_observations(events: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """The first event of each (host, process, pid), by time and place."""
     keys = [*scope, "host_key", "process", "pid"]
-    out = usable(events).groupBy(*keys).agg(F.min(F.struct(*AT)).alias("first"))
+    out = counted(usable(events), keys)
     return out.select(*keys, *(f"first.{c}" for c in AT if c not in scope))
 
 

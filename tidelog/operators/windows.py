@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelog.functions.text import UNKNOWN
+from tidelog.operators.places import AT, counted
 from tidelog.schema import LEAST_BASELINE, LOOKBACK, MOST_INCIDENTS, Params
 
 
-#: An event's place in time. Records of several files are told apart by source and row.
-AT = ("timestamp", "source", "row")
-
-
 def bucket_of(ts: Column, seconds: int) -> Column:
     """First second of the window that an instant falls in, counted from the epoch."""
     return (F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)) * seconds).cast("long")
@@ -30,7 +27,8 @@ def usable(events: DataFrame) -> DataFrame:
 
 def process_counts(events: DataFrame, seconds: int, scope: tuple[str, ...] = ()) -> DataFrame:
     """(scope, host_key, process, bucket, count, first): events of each process in each window, first by time and place."""
-    return usable(events).groupBy(*scope, "host_key", "process", bucket_of(F.col("timestamp"), seconds).alias("bucket")).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*AT)).alias("first"))
+    rows = usable(events).select(*dict.fromkeys((*scope, "host_key", "process", *AT)), bucket_of(F.col("timestamp"), seconds).alias("bucket"))
+    return counted(rows, [*scope, "host_key", "process", "bucket"])
 
 
 def host_counts(counts: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
