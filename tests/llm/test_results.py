@@ -357,6 +357,23 @@ def test_licences(spark, texts):
     assert [r.license for r in licenses.scan(df, model).orderBy("doc_id").collect()] == list(notes)
 
 
+def test_licences_outside_the_list_and_denials(spark, texts):
+    """Wordings that the training rows hold, and ones that they don't: other denials, other names of licences."""
+    model = licenses.train([t for i, t in sorted(texts.items())][:50])
+    rows = [
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "unknown"), ("Licensed under the EUPL, Version 1.2.", "unknown"),
+        ("This work is licensed under the Zope Public License, version 2.1.", "unknown"), ("Released under the NCSA License.", "unknown"), ("This Source Code Form is subject to the terms of the Erlang Public License, v. 1.1.", "unknown"),
+        ("We never released this under the Apache 2.0 license.", "unknown"), ("It isn't licensed under the GNU General Public License, version 3.", "unknown"), ("The project is no longer released under the MIT License.", "unknown"),
+        ("This code has never been distributed under the GNU GPL v2.", "unknown"), ("We don't distribute our work under the BSD 3-Clause License.", "unknown"),
+        ("This work is licensed under CC BY-NC-ND 3.0", "cc-by-nc-nd"), ("Licensed under CC BY 4.0.", "cc-by"), ("SPDX-License-Identifier: Apache-2.0", "apache"), ("SPDX-License-Identifier: AGPL-3.0-only", "agpl"),
+        ("You may not sell this mug. The text is licensed under the MIT License.", "mit"),
+        *((t, family) for family, ts in licenses.TEMPLATES.items() for t in ts),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = [r.license for r in licenses.scan(df, model).orderBy("doc_id").collect()]
+    assert [(t, g) for (t, w), g in zip(rows, got, strict=True) if g != w] == []
+
+
 def test_wrapped_licences(spark, texts):
     """Notices over several lines, with either line break and as comments; a blank line parts notices."""
     model = licenses.train([t for i, t in sorted(texts.items())][:50])
