@@ -279,7 +279,7 @@ def word_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
 def _training_rows(corpus: list[str], rng: np.random.Generator) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, their classes, and whether each is kept back to calibrate.
 
-    Whole wordings are kept back, never variants of those trained on: the last template of each family, one in three
+    Whole wordings are kept back with their variants (names put into FRAMES may still come near one): the last template of each family, one in three
     unlisted licences, one in five denials, and one in five lines of the corpus.
     """
     fillers = [w for t in (*corpus[:50], *OTHERS) for w in t.split()[:20]]
