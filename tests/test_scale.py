@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import REPO
-from tidelog.operators import correlate, incidents, tree, windows
+from tidelog.operators import correlate, identity, incidents, tree, windows
+from tidelog.operators.normalize import with_identity_flags
 from tidelog.operators.places import AT, WHERE, counted
 from tidelog.schema import Params
 from tidelog.sources import store
@@ -104,6 +105,34 @@ def test_entry_without_a_package_of_the_training_data_part():
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
 
 
+@pytest.mark.parametrize(("bitmaps", "hot"), [(1 << 13, 1 / 10_000), (1 << 13, 0.2), (1, 2.0)])
+def test_repeated_rows_pass_a_filter(spark, many_parts, tmp_path, monkeypatch, bitmaps, hot):
+    """One line makes up a third of the rows, others stand two or three times, most stand alone; also with a filter far too small."""
+    monkeypatch.setattr(identity, "MOST_BITMAPS", bitmaps)
+    monkeypatch.setattr(identity, "HOT_SHARE", hot)
+    r = random.Random(5)
+    lines = [0] * 4000 + [k for k in range(1, 1500) for _ in range(r.choice((2, 3)))] + list(range(10_000, 14_000))
+    r.shuffle(lines)
+    path = str(tmp_path / "rows")
+    columns = "row long, timestamp timestamp, host string, host_ip string, process string, pid string, facility string, severity string, raw string, source string, flags array<string>"
+    spark.createDataFrame([(k, None, f"h{x % 3}" if x % 5 else "unknown", "", "p", None, "", "", f"line {x}", "f", ["seen"]) for k, x in enumerate(lines)], columns).write.parquet(path)
+    events = spark.read.parquet(path)
+    first: dict[int, int] = {}
+    want = {k: ["seen"] + ["identical_records"] * (first.setdefault(x, k) < k) + ["missing_host"] * (x % 5 == 0) for k, x in enumerate(lines)}
+    got = with_identity_flags(events)
+    assert got.columns == events.columns and {x.row: x.flags for x in got.collect()} == want and got.count() == len(lines)
+    assert with_identity_flags(events.filter("raw = 'line 10001'")).count() == 1 and with_identity_flags(events.limit(0)).count() == 0
+
+
+def test_few_unique_rows_are_shuffled(spark):
+    hashes = spark.range(60_000).select(F.xxhash64("id").alias("_h1"), F.xxhash64(F.lit(1), "id").alias("_h2"), "id")
+    bits = -(-20_000 * 16 // (1 << 15))
+    rows = hashes.withColumn("_bitmap", identity._places(bits)[0]).join(identity.bloom(hashes.filter("id < 20000"), bits), "_bitmap", "left")
+    passed = rows.filter(identity.maybe(bits)).select((F.col("id") < 20_000).alias("repeated")).groupBy("repeated").count().collect()
+    told = {r["repeated"]: r["count"] for r in passed}
+    assert told[True] == 20_000 and told.get(False, 0) < 0.03 * 40_000
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

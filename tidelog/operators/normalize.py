@@ -11,6 +11,7 @@ from tidelog.functions.network import clean_ip, with_endpoints
 from tidelog.functions.syslog import FACILITIES, SEVERITIES, normalize_facility, normalize_severity, split_tag, with_parsed_line
 from tidelog.functions.text import UNKNOWN, clean, nonempty, normal_header
 from tidelog.functions.time import with_timestamp
+from tidelog.operators.identity import with_first
 from tidelog.schema import ALIASES, METADATA, Params
 
 DETAIL = "array<struct<code:string,column:string,value:string>>"
@@ -120,13 +121,12 @@ def _flagged(events: DataFrame, text: bool = False) -> DataFrame:
 def with_identity_flags(events: DataFrame, scope: tuple[str, ...] = ("source",)) -> DataFrame:
     """Flag records equal to an earlier one of their scope, and records without host or process.
 
-    Equality is told by 128 bits of hash of the eight fields. Only hashes that occur twice are joined back, so that
-    a line that makes up much of the data is neither sorted nor gathered.
+    Equality is told by 128 bits of hash of the eight fields. Lines that stand alone, and a line that makes up much of the
+    data, are not shuffled whole (``identity.with_first``). Events are read three times: they should be a stored table.
     """
     fields = ["timestamp", "host", "host_ip", "process", "pid", "facility", "severity", "raw"]
     marked = events.withColumn("_h1", F.xxhash64(*scope, *fields)).withColumn("_h2", F.xxhash64(F.lit(1), *reversed(fields), *scope))
-    twice = marked.groupBy("_h1", "_h2").agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    joined = marked.join(twice, ["_h1", "_h2"], "left")
+    joined = with_first(marked)
     more = F.array_compact(F.array(
         F.when(F.col("row") > F.col("_first"), "identical_records"),
         F.when(F.col("host") == UNKNOWN, "missing_host"),
