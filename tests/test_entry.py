@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from tests.conftest import REPO
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["top1_incident_ranking", "win3_process_baseline", "agg5_incident_distributions", "agg12_hypotheses", "agg13_gated_hypotheses", "win10_auth_sequences", "top3_cited_evidence", "agg10_associations", "jn6_nearby", "agg18_diagnostics"]
+CHECKED = ["top1_incident_ranking", "win3_process_baseline", "agg5_incident_distributions", "agg12_hypotheses", "agg13_gated_hypotheses", "win10_auth_sequences", "top3_cited_evidence", "agg10_associations", "jn6_nearby", "agg18_diagnostics", "agg18_examples", "src6_file_diagnostics", "src9_limit", "snk4_ticket_facts"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
