@@ -11,14 +11,14 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.catalog import CAUSES, TECHNIQUES
+from tidelog.catalog import CAUSES, TECHNIQUES, Catalog, Category, Cause
 from tidelog.functions.time import iso_utc, with_timestamp
 from tidelog.operators import incidents, quality, windows
-from tidelog.operators.normalize import normalize, with_identity_flags
+from tidelog.operators.normalize import enrich, normalize, with_identity_flags
 from tidelog.plans import analysis
 from tidelog.plans.queries import _D, _HYPOTHESES, _SEQUENCES, _TABLES, _TWICE, BURST_CANDIDATES, CANDIDATES, LOGS, PARAMS, S_, _doubled, _incident_rows, _kept, _q, _table, burst_events, events, query, records, seconds
 from tidelog.shared import new_folder
-from tidelog.sources import readers, sinks
+from tidelog.sources import catalogs, readers, sinks
 
 #: Separator and header of each kind of export.
 _HEADERS = {
@@ -132,6 +132,20 @@ def accepted_files(spark, sf_dir):
     return facts.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("content_bytes").alias("content_bytes"))
 
 
+_OWN = Catalog(
+    (Category("odd", "Clicks of some users", (r"\bsrc=10\.0\.0\.[13]\b",)), Category("tick", "Ticks", (r"tick [0-9]*[02468] ", r"^started"), (r"svc[0-3]\b",))), (Cause("busy", "Many ticks", "operativa", ("tick",), 3, 10, ("Look",)),), (), version="own"
+)
+
+
+@query("src10_catalog_file", f"with {LOGS}, c as (select case when regexp_matches(message, '\\bsrc=10\\.0\\.0\\.[13]\\b', 'i') then 'odd' when regexp_matches(message, 'tick [0-9]*[02468] |^started', 'i') and not regexp_matches(message, 'svc[0-3]\\b', 'i') then 'tick' else 'other' end as category from logs) select category, count(*) as count from c group by category")
+def catalog_file(spark, sf_dir):
+    """Events classified by a catalogue of one's own, read from a JSON file."""
+    path = new_folder(spark, "catalog")
+    spark.createDataFrame([(catalogs.as_json(_OWN),)], "value string").coalesce(1).write.text(path)
+    own = catalogs.read_catalog(spark, path)
+    return enrich(events(spark, sf_dir).drop("category", "template", "network"), own).groupBy("category").agg(F.count(F.lit(1)).alias("count"))
+
+
 # --- times and provenance --------------------------------------------------------------------------------------
 
 _ZONES = ["+05:30", "-03:30", "+14:00", "-14:00"]
