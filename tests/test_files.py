@@ -129,3 +129,15 @@ def test_files_of_any_size_alike(spark, tmp_path, monkeypatch, stretched):
     assert {n for n, r in told.items() if r[5]} == {"f.log", "g.txt"} and told["c.csv"][6] == told["a.csv"][6] == HEADER
     assert {r[0].rsplit("/", 1)[1] for r in events[0]} == {"a.csv", "b.csv", "c.csv", "d.log", "e.log", "k b+c%20.log"}
     assert [r[1:4] for r in events[0] if r[0].endswith("b.csv")] == [r[1:4] for r in events[0] if r[0].endswith("a.csv")]
+
+
+def test_each_header_comes_once(spark, tmp_path, monkeypatch):
+    """Many files of few headers: the driver looks at each different first line once."""
+    seen = []
+    plain = readers.headers
+    monkeypatch.setattr(readers, "headers", lambda lines, separator="auto": seen.extend(lines) or plain(lines, separator))
+    for k in range(40):
+        (tmp_path / f"{k}.csv").write_text((f"{HEADER}\nh{k},m,p\n", f"Msg;Computer\nm;h{k}\n", "", "\n \n")[k % 4 if k < 8 else k % 2])
+    events, _, files = readers.read_logs(spark, [f"file://{tmp_path}"], P)
+    assert sorted(line for _, line in seen if line) == [HEADER, "Msg;Computer"] and sorted(r.host for r in events.collect()) == sorted(f"h{k}" for k in range(40) if k % 4 < 2 or k >= 8)
+    assert files.filter("not blocked and records_read = 1").count() == 36

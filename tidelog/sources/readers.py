@@ -79,18 +79,18 @@ def text_lines(spark: SparkSession, paths: list[str], wide: list[str] | None = N
 
 
 def headers(first_lines: list[tuple[str, str | None]], separator: str = "auto") -> list[tuple[str, str, list[str]]]:
-    """(source, separator, columns) of CSV files by their first lines.
+    """(key, separator, columns) of the first lines of CSV files, given as (key, line).
 
     An unknown separator is the one by which the line has most known names.
     """
     known = {a for names in ALIASES.values() for a in names}
     out = []
-    for source, line in first_lines:
+    for key, line in first_lines:
         line = (line or "").lstrip("﻿").rstrip("\r")
         cells = {s: next(csv.reader([line], delimiter=s), []) for s in SEPARATORS}
         best = max(SEPARATORS, key=lambda s: sum(normal_header(x) in known for x in cells[s])) if separator == "auto" else separator
         if cells[best]:
-            out.append((source, best, cells[best]))
+            out.append((key, best, cells[best]))
     return sorted(out)
 
 
@@ -172,15 +172,18 @@ def capped(records: DataFrame, limit: int | None) -> DataFrame:
 def read_logs(spark: SparkSession, paths: list[str], params: Params = Params()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, found, files) of all CSV and text files: normalised events, FOUND diagnostics, and a row for each file.
 
-    Files with a problem give no events. A row for each file comes to the driver, with the first line of CSV files, cut
-    to FIRST_BYTES; contents never do. Files of one header are read as one table.
+    Files with a problem give no events. A row for each file comes to the driver, and the different first lines of CSV
+    files, cut to FIRST_BYTES, each once; contents never do. Files of one header are read as one table.
     """
     facts = cut(file_facts(spark, paths, params))
-    listed = facts.select("source", "kind", "problem", "encoding", "first_line").collect()
+    facts_ = facts.withColumn("header", F.sha2("first_line", 256))
+    listed = facts_.select("source", "kind", "problem", "encoding", "header").collect()
+    lines = facts_.filter("kind = 'csv' and problem is null and header is not null").groupBy("header").agg(F.first("first_line").alias("line")).collect()
     good = {k: [r for r in listed if r["kind"] == k and r["problem"] is None] for k in ("csv", "syslog")}
     wide = {r["source"] for r in listed if r["encoding"] == "utf-16"}
     rows = [(r["source"], r["problem"], 0, None, None, None, 0, "", "") for r in listed if r["problem"]]
-    heads = headers([(r["source"], r["first_line"]) for r in good["csv"]], params.delimiter)
+    of_line = {key: (separator, columns) for key, separator, columns in headers([tuple(r) for r in lines], params.delimiter)}
+    heads = sorted((r["source"], *of_line[r["header"]]) for r in good["csv"] if r["header"] in of_line)
     more, blocked = header_issues(heads)
     rows += more
     by_separator: dict[str, list[str]] = {}
