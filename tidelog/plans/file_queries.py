@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.catalog import CAUSES, TECHNIQUES, Catalog, Category, Cause
@@ -72,7 +72,11 @@ def exports(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-_V = F.regexp_extract("source", "v=([0-9])/", 1).cast("int").alias("v")
+def _v() -> Column:
+    """The kind of export that a file's path tells."""
+    return F.regexp_extract("source", "v=([0-9])/", 1).cast("int").alias("v")
+
+
 _ROWS = """x as (select event_id as e, (user_id % 8)::int as v, date_part('day', ts) as day, date_part('month', ts) as month, event_id % 10 in (3, 4) as malformed, row_number() over (partition by user_id % 8 order by event_id) as nth from events where user_id % 8 <> 7),
 vs as (select v::int as v from range(8) r(v))"""
 _CODES = {  # codes of rows: kinds of export that have them, and when
@@ -93,14 +97,14 @@ def file_diagnostics(spark, sf_dir):
     e, found, _ = readers.read_logs(spark, [exports(spark, sf_dir)], PARAMS)
     flagged = with_identity_flags(_kept(spark, sf_dir, "exported_rows", lambda: e))
     told = quality.diagnostics(found.unionByName(quality.row_issues(flagged)))
-    return told.select(_V, "code", "count", F.size("examples").cast("long").alias("shown"))
+    return told.select(_v(), "code", "count", F.size("examples").cast("long").alias("shown"))
 
 
 def _files(spark, sf_dir, params) -> DataFrame:
     e, _, files = readers.read_logs(spark, [exports(spark, sf_dir)], params)
     kept = e.groupBy("source").agg(F.count(F.lit(1)).alias("events"), F.max("row").alias("last_row"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return files.join(kept, "source", "left").select(_V, "records_read", "skipped", "truncated", "blocked", none("events"), none("last_row"))
+    return files.join(kept, "source", "left").select(_v(), "records_read", "skipped", "truncated", "blocked", none("events"), none("last_row"))
 
 
 def _files_sql(taken: str, truncated: str) -> str:
