@@ -249,13 +249,18 @@ def auth_sequences(rows: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("rows_at", F.col("rows")).withColumn("rows", F.transform("rows_at", lambda x: x["row"]))
 
 
-def evidence_rows(rows: DataFrame, causes: DataFrame, sequences: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
-    """(scope, incident_id, source, row) of the 30 events shown for each window: those cited first, then the earliest."""
+def evidence_rows(rows: DataFrame, causes: DataFrame | None = None, sequences: DataFrame | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, incident_id, source, row) of the 30 events shown for each window: those cited first, then the earliest.
+
+    Without causes or sequences nothing is cited by them.
+    """
     key = [*scope, "incident_id"]
     other = [c for c in key if c != "source"]
     cited_by = lambda df, part, column: df.select(*other, F.lit(part).alias("part"), F.col("rank").alias("a"), F.posexplode(column).alias("b", "x")).select(*other, "part", "a", "b", "x.source", "x.row")
     earliest = rows.withColumn("a", F.row_number().over(Window.partitionBy(*key).orderBy(*AT))).filter(F.col("a") <= MOST_EVIDENCE)
-    cited = cited_by(causes, 0, "evidence_at").union(cited_by(sequences, 1, "rows_at")).union(earliest.select(*other, F.lit(2).alias("part"), "a", F.lit(0).alias("b"), "source", "row"))
+    cited = earliest.select(*other, F.lit(2).alias("part"), "a", F.lit(0).alias("b"), "source", "row")
+    for part, df, column in ((0, causes, "evidence_at"), (1, sequences, "rows_at")):
+        cited = cited if df is None else cited.union(cited_by(df, part, column))
     cited = cited.groupBy(*other, "source", "row").agg(F.min(F.struct("part", "a", "b")).alias("place"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("place", "source", "row"))
     return cited.withColumn("rank", rank).filter(F.col("rank") <= MOST_EVIDENCE).select(*other, "source", "row", F.col("rank").alias("evidence_rank"))
