@@ -129,7 +129,9 @@ class CsvFiles:
 
     def __init__(self, spark: SparkSession, sources: list[str], separator: str, wide: set[str] = frozenset()):
         self.separator = separator
-        self.lines = all_lines(spark, [s for s in sources if s not in wide], [s for s in sources if s in wide])
+        # Where stretches begin, and the ids in them, follow from how a scan is cut, which may change from one job to the next
+        # (with the cores at hand, as when an executor is lost): lines are read once, and all that follows uses these.
+        self.lines = stored(all_lines(spark, [s for s in sources if s not in wide], [s for s in sources if s in wide]), "lines")
         #: A row for each stretch of a file.
         self.blocks = cut(blocks_of(R.with_maps(self.lines, separator), *R.block_sums()))
         of_file = self.blocks.groupBy("source").agg(F.sum("moved").alias("moved"), F.sum("faults").alias("faults")).collect()  # a row for each file
