@@ -27,6 +27,8 @@ def pick(columns: list[str]) -> tuple[Column, Column, Column]:
     """(clean value, original value, column name) of the first column with a value, or of the first one."""
     if not columns:
         return F.lit(""), F.lit(""), F.lit(None).cast("string")
+    if len(columns) == 1:
+        return clean(F.col(f"`{columns[0]}`")), F.coalesce(F.col(f"`{columns[0]}`"), F.lit("")), F.lit(columns[0])
     value = F.coalesce(*(nonempty(clean(F.col(f"`{c}`"))) for c in columns), F.lit(""))
     which, original = F.lit(columns[0]), F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))
     for c in reversed(columns):
