@@ -271,6 +271,51 @@ def test_lm_learns_from_all_training_rows(spark, texts, monkeypatch):
     assert full > sum(map(one, held))
 
 
+def test_lm_is_fitted_on_every_window(spark, texts, monkeypatch):
+    """Tasks go on over all windows of all training rows, however few the driver's start is made on."""
+    source = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coder, seen, further = lm.Subwords.of(source), spark.sparkContext.accumulator(0), lm._further
+
+    def counted(*given):
+        work = further(*given)
+
+        def run(batches):
+            for batch in work(batches):
+                seen.add(batch.column("n")[0].as_py())
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(lm, "_further", counted)
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 256)
+    monkeypatch.setattr(lm, "WINDOWS_A_TASK", 4_000)
+    lm.score(spark.read.parquet(f"{DATA}/documents.parquet"), source)
+    sizes = [len(coder.encoding.encode_ordinary("".join(" " + w.decode() for w in lowered_words(t)))) + 1 for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    assert seen.value == sum(-(-n // lm.BLOCK) for n in sizes) > 10_000
+
+
+def test_lm_windows_and_slopes():
+    """Tiles are the windows, and the slopes of the weights are those of the loss that is told place by place."""
+    rng = np.random.default_rng(5)
+    model = lm.frequencies(1e5 / np.arange(1, 3001), rng.poisson(0.5, (lm.SYMBOLS + 1, lm.SYMBOLS)))
+    for sizes in ([], [0], [1], [16], [31, 32, 33, 0, 1, 16, 700], rng.integers(0, 200, 300)):
+        bounds = np.cumsum([0, *sizes])
+        ids = rng.integers(0, 3000, bounds[-1])
+        x, place = lm.windows(model.symbol[ids], bounds, lm.SYMBOLS)
+        tiles, goal, first = lm._tiles(model.symbol[ids], model.number[ids], bounds, lm.SYMBOLS)
+        assert np.array_equal(np.hstack([tiles[first], tiles[first + 1]]), x) and np.array_equal(goal[first + 1], np.append(model.number[ids], -1)[place])
+    ids = rng.integers(0, 3000, 41)
+    x, place = lm.windows(model.symbol[ids], np.array([0, 41]), lm.SYMBOLS)
+    model.weights = {n: rng.standard_normal(v.shape).astype(np.float32) * 0.3 for n, v in model.weights.items()}
+    weights, got = {n: v.astype(np.float64) for n, v in model.weights.items()}, lm._gradients(model, x.astype(np.int64), np.append(model.number[ids], -1)[place])
+    for n, v in weights.items():
+        way, told = rng.standard_normal(v.shape), []
+        for step in (1e-4, -1e-4):
+            model.weights = weights | {n: v + step * way}
+            told.append(-plain_attention(model, ids) / len(ids))
+        assert abs((told[0] - told[1]) / 2e-4 - (got[n] * way).sum()) < 1e-3 * max(1, abs((got[n] * way).sum())), n
+
+
 def plain_attention(model, ids):
     """Log probability of a text, place by place, from the unfolded weights."""
     w, total = model.weights, 0.0

@@ -7,10 +7,9 @@ a frequent id or a set of rare ones, told apart by their frequencies. Texts are
 of two blocks, where the first block is context and the second is scored, so that each id is scored once.
 Everything that depends on one id alone is folded into tables after training.
 
-All of it is learned from all training rows: counts of ids and of pairs of symbols are sums over them, and the windows
-that the attention's weights are fitted on are drawn from all of them by a hash, LEAST_WINDOWS and a share of all that
-grows with the corpus. A first fit on the driver sees LEAST_WINDOWS of them; then tasks go on from it, each over its
-part of all windows drawn, and their weights are averaged.
+All of it is learned from all training rows: counts of ids and of pairs of symbols are sums over them, and the
+attention's weights are fitted on every window of them. The driver makes a start on LEAST_WINDOWS, drawn by a hash; then
+tasks go on from it, each over all windows of the rows dealt to it, and their weights are averaged.
 
 Texts are tokenised once, and their ids stored; all later passes read these. Word counts are exact counts over all
 training rows. Words that are frequent in a bounded sample are counted in arrays and their counts broadcast, the list
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import _LOWER, Words, binaries, blocks, flat_values, list_of, long_array, mix, stored
 from tidelog.llm.linear import Lookup, sample
 
-#: Windows drawn at any size, and one of so many besides; windows of a step and of a task of the training.
-LEAST_WINDOWS, SHARE, WINDOWS_A_STEP, WINDOWS_A_TASK = 1 << 16, 256, 160, 1 << 15
+#: Windows that the driver's start is made on; windows of a step there; of a step and of a task of the fit on all windows.
+LEAST_WINDOWS, WINDOWS_A_STEP, WINDOWS_A_LATER_STEP, WINDOWS_A_TASK = 1 << 16, 160, 320, 1 << 17
 #: Rows that the list of words counted in arrays is drawn from, and its length.
 LISTED_ROWS, FREQUENT = 1200, 1 << 16
 #: Ids in a block; symbols, and how many of these are sets of rare ids; clusters of the output (and members of each).
@@ -234,6 +233,23 @@ def windows(symbols: np.ndarray, bounds: np.ndarray, before: int, chosen=None) -
     return x, place
 
 
+def _tiles(symbols: np.ndarray, numbers: np.ndarray, bounds: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``windows`` gives, each block once: (input symbols, numbers to predict with -1 for none, first blocks of all windows).
+
+    A window is a block and the one after it, of which the second one's numbers are predicted.
+    """
+    sizes = np.diff(bounds)
+    many = -(-sizes // BLOCK) + 1
+    last = np.cumsum(many) - 1
+    at = np.arange(len(symbols)) + np.repeat((last - many + 2) * BLOCK - bounds[:-1], sizes)
+    x, goal = np.full(many.sum() * BLOCK + 1, before, dtype=np.int16), np.full(many.sum() * BLOCK, -1, dtype=np.int16)
+    x[at + 1], goal[at] = symbols, numbers
+    x[at[bounds[1:][sizes > 0] - 1] + 1] = before  # nothing is predicted from a text's last symbol
+    first = np.ones(many.sum(), dtype=bool)
+    first[last] = False
+    return x[:-1].reshape(-1, BLOCK), goal.reshape(-1, BLOCK), np.flatnonzero(first)
+
+
 def _distance(d: np.ndarray) -> np.ndarray:
     """[query, key] biases; keys after the query are shut out."""
     gap = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)
@@ -313,18 +329,20 @@ class Descent:
             self.model.weights[n] -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-6)).astype(np.float32)
 
 
-def _further(start):
-    """Weights after the windows of a task, begun from the driver's, with their number."""
+def _further(start, kind: np.dtype, most: int):
+    """Weights after all windows of a task's rows, begun from the driver's, with their number. most: about as many windows."""
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = start.value, 0
+        model, seen, rng = start.value, 0, np.random.default_rng(20240601)
         model.weights = {n: v.copy() for n, v in model.weights.items()}
         descent = Descent(model)
-        for batch in batches:
-            x, goal = _unpacked(batch.column("symbols"), batch.column("goal"))
-            for k in range(0, len(x), WINDOWS_A_STEP):
-                seen += len(x[k : k + WINDOWS_A_STEP])
-                descent.down(x[k : k + WINDOWS_A_STEP], goal[k : k + WINDOWS_A_STEP], 0.002 * max(0.05, 1 - seen / WINDOWS_A_TASK))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                ids, bounds = flat_values(whole.column("ids").slice(begin, 512), kind)
+                x, goal, first = _tiles(model.symbol[ids], model.number[ids], bounds, SYMBOLS)
+                for at in np.array_split(rng.permutation(first), -(-len(first) // WINDOWS_A_LATER_STEP) or 1):
+                    seen += len(at)
+                    descent.down(np.hstack([x[at], x[at + 1]]).astype(np.int64), goal[at + 1], 0.002 * max(0.05, 1 - seen / most))
         if seen:
             values = np.concatenate([v.ravel() for v in model.weights.values()])
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), list_of(values, np.array([len(values)]), pa.float32())], names=["n", "values"])
@@ -374,13 +392,12 @@ def train(training: DataFrame, coder: Subwords) -> Attention:
     model = frequencies(counts, total(training.select("ids"), (SYMBOLS + 1) * SYMBOLS, follow).reshape(-1, SYMBOLS))
     most = training.select(F.sum(F.ceil(F.octet_length("ids") / (BLOCK * kind.itemsize)))).first()[0] or 0
     tables = spark.sparkContext.broadcast((model.symbol, model.number, kind))
-    drawn = training.select("row", "ids").mapInArrow(_drawing(LEAST_WINDOWS / max(most, 1) + 1 / SHARE, tables), "symbols binary, goal binary, hash long")
-    drawn = stored(drawn, "windows")
+    drawn = training.select("row", "ids").mapInArrow(_drawing(1.05 * LEAST_WINDOWS / max(most, 1), tables), "symbols binary, goal binary, hash long")
     first = drawn.orderBy("hash", "symbols", "goal").limit(LEAST_WINDOWS).toArrow()
     begin(model, *_unpacked(first["symbols"].combine_chunks(), first["goal"].combine_chunks()))
-    tasks = max(1, -(-drawn.count() // WINDOWS_A_TASK))
-    parts = drawn.repartition(tasks, F.pmod(F.xxhash64("hash", "symbols"), F.lit(tasks)))
-    mean = parts.mapInArrow(_further(spark.sparkContext.broadcast(model)), "n long, values array<float>").select("n", F.posexplode("values").alias("place", "v"))
+    tasks = max(1, -(-most // WINDOWS_A_TASK))
+    parts = training.select("row", "ids").repartition(tasks, "row").sortWithinPartitions(F.xxhash64("row"), "row")
+    mean = parts.mapInArrow(_further(spark.sparkContext.broadcast(model), kind, -(-most // tasks)), "n long, values array<float>").select("n", F.posexplode("values").alias("place", "v"))
     mean = mean.groupBy("place").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v")).orderBy("place").toArrow()["v"].to_numpy().astype(np.float32)
     at = 0
     for n, v in model.weights.items():
@@ -391,56 +408,68 @@ def train(training: DataFrame, coder: Subwords) -> Attention:
     return model
 
 
-def _loss_slope(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True, initial=-1e30))
-    z /= z.sum(axis=1, keepdims=True)
-    z[np.arange(len(z)), chosen] -= 1
+def _loss_slopes(z: np.ndarray, chosen: np.ndarray, weight: np.float32) -> np.ndarray:
+    """Weighted slopes of each row's loss; overwrites z, whose entries are log probabilities plus small terms."""
+    np.exp(z, out=z)
+    z *= (weight / (z @ np.ones(SIDE, z.dtype)))[:, None]
+    z.ravel()[np.arange(0, z.size, SIDE) + chosen] -= weight
     return z
 
 
+_GAP = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)
+
+
 def _gradients(model: Attention, x: np.ndarray, goal: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss over the windows' real places; ``goal`` holds the numbers to predict, -1 for none."""
+    """Gradients of the mean loss over the windows' real places; ``goal`` holds the numbers to predict, -1 for none.
+
+    What depends on one symbol alone is folded into tables first. The sums over symbols are counts by column.
+    """
     w, scale = model.weights, 1 / np.sqrt(np.float32(WIDTH))
-    e = w["e"][x]
-    here, real = e[:, BLOCK:], goal >= 0
-    q, k, v = here @ w["q"], e @ w["k"], e @ w["v"]
-    a = np.matmul(q, k.transpose(0, 2, 1)) * scale + _distance(w["d"])
-    a = np.exp(a - a.max(axis=2, keepdims=True))
-    a /= a.sum(axis=2, keepdims=True)
-    h = np.matmul(a, v) + here @ w["r"] + w["c"]
-    on = h > 0
-    h = h * on
-    flat, before, weight = h[real], x[:, BLOCK:][real], np.float32(1 / max(real.sum(), 1))
-    number = goal[real]
-    order = np.argsort(number, kind="stable")
-    flat, before, cluster, member = flat[order], before[order], number[order] // SIDE, number[order] % SIDE
-    z = _loss_slope(flat @ w["o"] + model.cluster_after[before], cluster) * weight
-    out = {"o": flat.T @ z, "m": np.zeros_like(w["m"])}
-    df = z @ w["o"].T
-    z, edges = model.member_after[before, cluster], np.searchsorted(cluster, np.arange(SIDE + 1)).tolist()
-    for c in range(SIDE):
-        i, j = edges[c], edges[c + 1]
-        slope = _loss_slope(z[i:j] + flat[i:j] @ w["m"][c], member[i:j]) * weight
-        out["m"][c] = flat[i:j].T @ slope
-        df[i:j] += slope @ w["m"][c].T
-    dh, back = np.zeros_like(h), np.empty_like(df)
-    back[order] = df
-    dh[real] = back
-    dh *= on
-    out |= {"c": dh.sum(axis=(0, 1)), "r": np.tensordot(here, dh, ((0, 1), (0, 1)))}
-    da = np.matmul(dh, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dh)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    gap = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)
-    out["d"] = np.bincount(np.clip(gap, 0, None).ravel(), weights=(ds.sum(axis=0) * (gap >= 0)).ravel(), minlength=2 * BLOCK).astype(np.float32)
-    dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale
-    out |= {"q": np.tensordot(here, dq, ((0, 1), (0, 1))), "k": np.tensordot(e, dk, ((0, 1), (0, 1))), "v": np.tensordot(e, dv, ((0, 1), (0, 1)))}
-    de = dk @ w["k"].T + dv @ w["v"].T
-    de[:, BLOCK:] += dq @ w["q"].T + dh @ w["r"].T
-    rows, order = de.reshape(-1, WIDTH), np.argsort(x.ravel(), kind="stable")
-    names, first = np.unique(x.ravel()[order], return_index=True)
-    out["e"] = np.zeros_like(w["e"])
-    out["e"][names] = np.add.reduceat(rows[order], first, axis=0)
+    e, now, ones = w["e"], x[:, BLOCK:], np.ones((2 * BLOCK, 1), np.float32)
+    q, k, v = (e @ w["q"] * scale).take(now, axis=0), (e @ w["k"]).take(x, axis=0), (e @ w["v"]).take(x, axis=0)
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a += _distance(w["d"])
+    a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a *= 1 / np.matmul(a, ones)
+    h = np.matmul(a, v)
+    h += (e @ w["r"] + w["c"]).take(now, axis=0)
+    np.maximum(h, 0, out=h)
+    number = goal.ravel().astype(np.int16)
+    at = np.argsort(number, kind="stable")[np.count_nonzero(number < 0) :]
+    number, before, flat = number[at].astype(np.int64), now.ravel()[at], h.reshape(-1, HIDDEN).take(at, axis=0)
+    cluster, weight = number // SIDE, np.float32(1 / max(len(at), 1))
+    z = model.cluster_after.take(before, axis=0)
+    z += flat @ w["o"]
+    _loss_slopes(z, cluster, weight)
+    out, df = {"o": flat.T @ z, "m": np.zeros_like(w["m"])}, z @ w["o"].T
+    z, edges = model.member_after.reshape(-1, SIDE).take(before * SIDE + cluster, axis=0), np.searchsorted(cluster, np.arange(SIDE + 1)).tolist()
+    parts = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
+    for c, part in parts:
+        z[part] += flat[part] @ w["m"][c]
+    _loss_slopes(z, number % SIDE, weight)
+    for c, part in parts:
+        np.matmul(flat[part].T, z[part], out=out["m"][c])
+        df[part] += z[part] @ w["m"][c].T
+    df *= flat > 0
+    dh = np.zeros_like(h)
+    dh.reshape(-1, HIDDEN)[at] = df
+    da, dv = np.matmul(dh, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dh)
+    da -= np.matmul(da * a, ones)
+    da *= a
+    out |= {"c": df.sum(axis=0), "d": np.bincount(np.clip(_GAP, 0, None).ravel(), weights=(da.sum(axis=0) * (_GAP >= 0)).ravel(), minlength=2 * BLOCK).astype(np.float32)}
+    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
+    dq *= scale
+    mine, de = e.take(x, axis=0), np.zeros((*x.shape, WIDTH), np.float32)
+    for start, slopes in ((0, {"k": dk, "v": dv}), (BLOCK, {"q": dq, "r": dh})):
+        here, back = np.ascontiguousarray(mine[:, start:]).reshape(-1, WIDTH), 0
+        for n, g in slopes.items():
+            g = g.reshape(-1, g.shape[2])
+            out[n] = here.T @ g
+            back = back + g @ w[n].T
+        de[:, start:] += back.reshape(len(x), -1, WIDTH)
+    symbols, rows = x.ravel(), de.reshape(-1, WIDTH)
+    out["e"] = np.stack([np.bincount(symbols, rows[:, i], SYMBOLS + 1) for i in range(WIDTH)], axis=1).astype(np.float32)
     return out
 
 
