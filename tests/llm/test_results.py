@@ -316,6 +316,24 @@ def test_lm_windows_and_slopes():
         assert abs((told[0] - told[1]) / 2e-4 - (got[n] * way).sum()) < 1e-3 * max(1, abs((got[n] * way).sum())), n
 
 
+def test_lm_slopes_of_runs():
+    """Slopes of windows that follow one another in runs are those of the same windows taken one by one, past text ends too."""
+    rng = np.random.default_rng(7)
+    model = lm.frequencies(1e5 / np.arange(1, 3001), rng.poisson(0.5, (lm.SYMBOLS + 1, lm.SYMBOLS)))
+    bounds = np.cumsum([0, *rng.integers(1, 300, 40)])
+    ids = rng.integers(0, 3000, bounds[-1])
+    x, goal, first = lm._tiles(model.symbol[ids], model.number[ids], bounds, lm.SYMBOLS)
+    x, goal = x[: (len(x) - 1) // 8 * 8 + 1], goal[: (len(x) - 1) // 8 * 8 + 1]
+    for size in (0.3, 30.0):  # small and large scores
+        model.weights = {n: rng.standard_normal(v.shape).astype(np.float32) * np.float32(size if n in "qk" else 0.3) for n, v in model.weights.items()}
+        rows = np.arange(0, len(x) - 1, 8)[:, None] + np.arange(9)
+        runs = lm._gradients(model, x[rows].reshape(len(rows), -1).astype(np.int64), goal[rows[:, 1:]].reshape(len(rows), -1))
+        first = first[first < len(x) - 1]
+        single = lm._gradients(model, np.hstack([x[first], x[first + 1]]).astype(np.int64), goal[first + 1])
+        for n, v in single.items():
+            assert np.isfinite(v).all() and np.abs(runs[n] - v).max() < 1e-4 * np.abs(v).max(), n
+
+
 def plain_attention(model, ids):
     """Log probability of a text, place by place, from the unfolded weights."""
     w, total = model.weights, 0.0

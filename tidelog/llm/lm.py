@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import _LOWER, Words, binaries, blocks, flat_values, list_of, long_array, mix, stored
 from tidelog.llm.linear import Lookup, sample
 
-#: Windows that the driver's start is made on; windows of a step there; of a step and of a task of the fit on all windows.
-LEAST_WINDOWS, WINDOWS_A_STEP, WINDOWS_A_LATER_STEP, WINDOWS_A_TASK = 1 << 16, 160, 320, 1 << 17
+#: Windows that the driver's start is made on; windows of a step there; of a run, a step and a task of the fit on all windows.
+LEAST_WINDOWS, WINDOWS_A_STEP, RUN, WINDOWS_A_LATER_STEP, WINDOWS_A_TASK = 1 << 16, 160, 16, 320, 1 << 17
 #: Rows that the list of words counted in arrays is drawn from, and its length.
 LISTED_ROWS, FREQUENT = 1200, 1 << 16
 #: Ids in a block; symbols, and how many of these are sets of rare ids; clusters of the output (and members of each).
 BLOCK = 16
 SYMBOLS, RARE_SETS = 1024, 24
 SIDE = 32
-WIDTH, HIDDEN = 16, 32
+WIDTH, HIDDEN = 8, 16
 #: Ids scored at once; bounds the working arrays at about 1 kB for each.
 AT_ONCE = 8192
 #: Words that a worker remembers the ids of.
@@ -161,32 +161,20 @@ class Attention:
     tables: dict[str, np.ndarray] = field(default_factory=dict)
 
     def fold(self) -> None:
-        """Tables of what depends on one symbol or on a pair of symbols alone: ``pair`` holds exp of query times key."""
-        w = self.weights
-        look = w["e"] @ w["q"] @ (w["e"] @ w["k"]).T / np.sqrt(np.float32(WIDTH))
-        top = look.max(axis=1, keepdims=True)
-        self.tables = {"pair": np.exp(look - top).ravel(), "near": np.exp(_distance(w["d"])), "v": np.hstack([w["e"] @ w["v"], np.ones((SYMBOLS + 1, 1), np.float32)]), "r": w["e"] @ w["r"] + w["c"]}
+        """Tables of what depends on one symbol or on a distance alone."""
+        self.tables = {"symbol": _table(self.weights), "distance": _distance(self.weights["d"])}
 
     def score(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Natural log probability of each text's ids."""
-        symbols, place = windows(self.symbol[ids], bounds, SYMBOLS)
-        out = np.zeros(len(ids), dtype=np.float32)
-        t, step, numbers = self.tables, AT_ONCE // BLOCK, self.number[ids].astype(np.uint16)
-        for k in range(0, len(symbols), step):
-            x, at = symbols[k : k + step], place[k : k + step]
-            now = x[:, BLOCK:]
-            a = t["pair"].take(now[:, :, None] * np.int32(SYMBOLS + 1) + x[:, None, :])
-            a *= t["near"]
-            h = np.matmul(a, t["v"].take(x, axis=0))  # the last column sums up the shares
-            h = h[:, :, :HIDDEN] / h[:, :, HIDDEN:]
-            h += t["r"].take(now, axis=0)
-            np.maximum(h, 0, out=h)
-            real = np.flatnonzero(at.ravel() >= 0)
-            at = at.ravel()[real]
-            number = numbers[at]
-            order = np.argsort(number, kind="stable")
-            real = real[order]
-            h, before, at, number = h.reshape(-1, HIDDEN).take(real, axis=0), now.ravel()[real], at[order], number[order].astype(np.int32)
+        symbols, place, _ = _tiles(self.symbol[ids], np.arange(len(ids)), bounds, SYMBOLS)
+        out, numbers, step = np.zeros(len(ids), dtype=np.float32), self.number[ids].astype(np.int16), AT_ONCE // BLOCK
+        for k in range(0, len(symbols) - 1, step):
+            x, at = symbols[k : k + step + 1].reshape(1, -1), place[k + 1 : k + step + 1].ravel()
+            h = _attend(self.tables["symbol"], self.tables["distance"], x)[3].reshape(-1, HIDDEN)
+            real = np.flatnonzero(at >= 0)
+            real = real[np.argsort(numbers[at[real]], kind="stable")]
+            at = at[real]
+            h, before, number = h.take(real, axis=0), x[0, BLOCK:][real].astype(np.int32), numbers[at].astype(np.int32)
             cluster, member = number // SIDE, number % SIDE
             z = h @ self.weights["o"]
             z += self.cluster_after.take(before, axis=0)
@@ -242,7 +230,7 @@ def _tiles(symbols: np.ndarray, numbers: np.ndarray, bounds: np.ndarray, before:
     many = -(-sizes // BLOCK) + 1
     last = np.cumsum(many) - 1
     at = np.arange(len(symbols)) + np.repeat((last - many + 2) * BLOCK - bounds[:-1], sizes)
-    x, goal = np.full(many.sum() * BLOCK + 1, before, dtype=np.int16), np.full(many.sum() * BLOCK, -1, dtype=np.int16)
+    x, goal = np.full(many.sum() * BLOCK + 1, before, dtype=np.int16), np.full(many.sum() * BLOCK, -1, dtype=numbers.dtype)
     x[at + 1], goal[at] = symbols, numbers
     x[at[bounds[1:][sizes > 0] - 1] + 1] = before  # nothing is predicted from a text's last symbol
     first = np.ones(many.sum(), dtype=bool)
@@ -256,6 +244,41 @@ def _distance(d: np.ndarray) -> np.ndarray:
     return np.where(gap >= 0, d[np.clip(gap, 0, 2 * BLOCK - 1)], np.float32(-1e9)).astype(np.float32)
 
 
+#: Columns of the table of what depends on one symbol alone, but for the last, which is all ones and stands behind _V.
+_Q, _K, _R, _V = slice(0, WIDTH), slice(WIDTH, 2 * WIDTH), slice(2 * WIDTH, 2 * WIDTH + HIDDEN), slice(2 * WIDTH + HIDDEN, 2 * WIDTH + 2 * HIDDEN)
+
+
+def _table(w: dict[str, np.ndarray]) -> np.ndarray:
+    """[symbol, scaled query, key, what is added for the query itself, value, 1]."""
+    e = w["e"]
+    return np.hstack([e @ w["q"] / np.sqrt(np.float32(WIDTH)), e @ w["k"], e @ w["r"] + w["c"], e @ w["v"], np.ones((SYMBOLS + 1, 1), np.float32)])
+
+
+def _views(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries of each window's second block, keys of both, values of both with the ones) of a run's rows of the table."""
+    runs, places, _ = t.shape
+    many = places // BLOCK - 1
+    both = np.lib.stride_tricks.as_strided(t, (runs, many, 2 * BLOCK, t.shape[2]), (t.strides[0], BLOCK * t.strides[1], *t.strides[1:]), writeable=False)
+    return both[:, :, BLOCK:, _Q], both[..., _K], both[..., _V.start :]
+
+
+def _attend(table: np.ndarray, distance: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(rows of the table, shares before division, sums of values and of shares, hidden state) of runs of blocks."""
+    t = table.take(x, axis=0)
+    q, k, v = _views(t)
+    a = np.matmul(q, k.swapaxes(2, 3))
+    a += distance
+    # where no share can run out of its range, the largest needn't be taken off
+    if np.sqrt((table[:, _Q] ** 2).sum(axis=1).max() * (table[:, _K] ** 2).sum(axis=1).max()) + abs(distance[distance > -1e8]).max() > 30:
+        a -= a.max(axis=3, keepdims=True)
+    np.exp(a, out=a)
+    sums = np.matmul(a, v)
+    h = sums[..., :HIDDEN] / sums[..., HIDDEN:]
+    h += t[:, BLOCK:, _R].reshape(h.shape)
+    np.maximum(h, 0, out=h)
+    return t, a, sums, h
+
+
 def _pairs(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Number before * SYMBOLS + symbol of each place; SYMBOLS stands before a text."""
     before = np.concatenate([[SYMBOLS], symbols[:-1]])[: len(symbols)].astype(np.int64)
@@ -330,19 +353,27 @@ class Descent:
 
 
 def _further(start, kind: np.dtype, most: int):
-    """Weights after all windows of a task's rows, begun from the driver's, with their number. most: about as many windows."""
+    """Weights after all windows of a task's rows, begun from the driver's, with their number. most: about as many windows.
+
+    A step takes runs of windows that follow one another, drawn without return from some 512 rows, so that a block is
+    looked up once for both windows that hold it.
+    """
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen, rng = start.value, 0, np.random.default_rng(20240601)
         model.weights = {n: v.copy() for n, v in model.weights.items()}
-        descent = Descent(model)
+        descent, numbers, a_step = Descent(model), model.number.astype(np.int16), WINDOWS_A_LATER_STEP // RUN
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 ids, bounds = flat_values(whole.column("ids").slice(begin, 512), kind)
-                x, goal, first = _tiles(model.symbol[ids], model.number[ids], bounds, SYMBOLS)
-                for at in np.array_split(rng.permutation(first), -(-len(first) // WINDOWS_A_LATER_STEP) or 1):
-                    seen += len(at)
-                    descent.down(np.hstack([x[at], x[at + 1]]).astype(np.int64), goal[at + 1], 0.002 * max(0.05, 1 - seen / most))
+                x, goal, _ = _tiles(model.symbol[ids], numbers[ids], bounds, SYMBOLS)
+                fill = ((0, -(len(x) - 1) % RUN), (0, 0))
+                x, goal = np.pad(x, fill, constant_values=SYMBOLS), np.pad(goal, fill, constant_values=-1)
+                runs = rng.permutation((len(x) - 1) // RUN) * RUN
+                for at in np.array_split(runs, -(-len(runs) // a_step) or 1):
+                    rows = at[:, None] + np.arange(RUN + 1)
+                    descent.down(x[rows].reshape(len(at), -1).astype(np.int64), goal[rows[:, 1:]].reshape(len(at), -1), 0.02 * max(0.05, 1 - seen / most))
+                    seen += np.count_nonzero((goal[rows[:, 1:]] >= 0).any(axis=2))
         if seen:
             values = np.concatenate([v.ravel() for v in model.weights.values()])
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), list_of(values, np.array([len(values)]), pa.float32())], names=["n", "values"])
@@ -408,69 +439,58 @@ def train(training: DataFrame, coder: Subwords) -> Attention:
     return model
 
 
-def _loss_slopes(z: np.ndarray, chosen: np.ndarray, weight: np.float32) -> np.ndarray:
-    """Weighted slopes of each row's loss; overwrites z, whose entries are log probabilities plus small terms."""
-    np.exp(z, out=z)
-    z *= (weight / (z @ np.ones(SIDE, z.dtype)))[:, None]
-    z.ravel()[np.arange(0, z.size, SIDE) + chosen] -= weight
-    return z
-
-
-_GAP = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)
-
-
 def _gradients(model: Attention, x: np.ndarray, goal: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss over the windows' real places; ``goal`` holds the numbers to predict, -1 for none.
+    """Gradients of the mean loss over the real places of runs; ``goal`` holds the numbers to predict, -1 for none.
 
-    What depends on one symbol alone is folded into tables first. The sums over symbols are counts by column.
+    A run (a row of x) is one or more blocks after a first one, which is context alone. What depends on one symbol alone is
+    folded into a table first. The sums over symbols are counts by column.
     """
-    w, scale = model.weights, 1 / np.sqrt(np.float32(WIDTH))
-    e, now, ones = w["e"], x[:, BLOCK:], np.ones((2 * BLOCK, 1), np.float32)
-    q, k, v = (e @ w["q"] * scale).take(now, axis=0), (e @ w["k"]).take(x, axis=0), (e @ w["v"]).take(x, axis=0)
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a += _distance(w["d"])
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a *= 1 / np.matmul(a, ones)
-    h = np.matmul(a, v)
-    h += (e @ w["r"] + w["c"]).take(now, axis=0)
-    np.maximum(h, 0, out=h)
+    w, e, many = model.weights, model.weights["e"], goal.shape[1] // BLOCK
+    of = np.hstack([w["q"] / np.sqrt(np.float32(WIDTH)), w["k"], w["r"], w["v"]])
+    t, a, sums, h = _attend(_table(w), _distance(w["d"]), x)
+    part = 1 / sums[..., HIDDEN:]
+    alone = sums[..., :HIDDEN] * part
     number = goal.ravel().astype(np.int16)
     at = np.argsort(number, kind="stable")[np.count_nonzero(number < 0) :]
-    number, before, flat = number[at].astype(np.int64), now.ravel()[at], h.reshape(-1, HIDDEN).take(at, axis=0)
+    number, before, flat = number[at].astype(np.int64), x[:, BLOCK:].ravel()[at], h.reshape(-1, HIDDEN).take(at, axis=0)
     cluster, weight = number // SIDE, np.float32(1 / max(len(at), 1))
-    z = model.cluster_after.take(before, axis=0)
-    z += flat @ w["o"]
-    _loss_slopes(z, cluster, weight)
-    out, df = {"o": flat.T @ z, "m": np.zeros_like(w["m"])}, z @ w["o"].T
-    z, edges = model.member_after.reshape(-1, SIDE).take(before * SIDE + cluster, axis=0), np.searchsorted(cluster, np.arange(SIDE + 1)).tolist()
-    parts = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
-    for c, part in parts:
-        z[part] += flat[part] @ w["m"][c]
-    _loss_slopes(z, number % SIDE, weight)
-    for c, part in parts:
-        np.matmul(flat[part].T, z[part], out=out["m"][c])
-        df[part] += z[part] @ w["m"][c].T
+    z, df, edges = np.empty((len(at), 2 * SIDE), np.float32), np.empty_like(flat), np.searchsorted(cluster, np.arange(SIDE + 1)).tolist()
+    parts, to = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i], np.concatenate([np.broadcast_to(w["o"], w["m"].shape), w["m"]], axis=2)
+    for c, rows in parts:
+        np.matmul(flat[rows], to[c], out=z[rows])
+    z[:, :SIDE] += model.cluster_after.take(before, axis=0)
+    z[:, SIDE:] += model.member_after.reshape(-1, SIDE).take(before * SIDE + cluster, axis=0)
+    np.exp(z, out=z)
+    halves = z.reshape(-1, SIDE)
+    halves *= (weight / (halves @ np.ones(SIDE, z.dtype)))[:, None]
+    for start, chosen in ((0, cluster), (SIDE, number % SIDE)):
+        z.ravel()[np.arange(start, z.size, 2 * SIDE) + chosen] -= weight
+    led = np.zeros(to.shape, np.float32)
+    for c, rows in parts:
+        np.matmul(flat[rows].T, z[rows], out=led[c])
+        np.matmul(z[rows], to[c].T, out=df[rows])
+    out = {"o": led[:, :, :SIDE].sum(axis=0), "m": led[:, :, SIDE:]}
     df *= flat > 0
-    dh = np.zeros_like(h)
+    back = np.zeros((len(x), many + 1, BLOCK, of.shape[1]), np.float32)  # slopes of what was taken from the table
+    dh = np.zeros((len(x), many, BLOCK, HIDDEN), np.float32)
     dh.reshape(-1, HIDDEN)[at] = df
-    da, dv = np.matmul(dh, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dh)
-    da -= np.matmul(da * a, ones)
+    back[:, 1:, :, _R] = dh
+    g = np.empty_like(sums)
+    np.multiply(dh, part, out=g[..., :HIDDEN])
+    np.negative(np.einsum("abij,abij->abi", g[..., :HIDDEN], alone), out=g[..., HIDDEN])
+    q, k, v = _views(t)
+    da = np.matmul(g, v.swapaxes(2, 3))
     da *= a
-    out |= {"c": df.sum(axis=0), "d": np.bincount(np.clip(_GAP, 0, None).ravel(), weights=(da.sum(axis=0) * (_GAP >= 0)).ravel(), minlength=2 * BLOCK).astype(np.float32)}
-    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
-    dq *= scale
-    mine, de = e.take(x, axis=0), np.zeros((*x.shape, WIDTH), np.float32)
-    for start, slopes in ((0, {"k": dk, "v": dv}), (BLOCK, {"q": dq, "r": dh})):
-        here, back = np.ascontiguousarray(mine[:, start:]).reshape(-1, WIDTH), 0
-        for n, g in slopes.items():
-            g = g.reshape(-1, g.shape[2])
-            out[n] = here.T @ g
-            back = back + g @ w[n].T
-        de[:, start:] += back.reshape(len(x), -1, WIDTH)
-    symbols, rows = x.ravel(), de.reshape(-1, WIDTH)
-    out["e"] = np.stack([np.bincount(symbols, rows[:, i], SYMBOLS + 1) for i in range(WIDTH)], axis=1).astype(np.float32)
-    return out
+    back[:, 1:, :, _Q] = np.matmul(da, k)
+    for columns, slopes in ((_K, np.matmul(da.swapaxes(2, 3), q)), (_V, np.matmul(a.swapaxes(2, 3), g[..., :HIDDEN]))):
+        back[:, :-1, :, columns] = slopes[:, :, :BLOCK]
+        back[:, 1:, :, columns] += slopes[:, :, BLOCK:]
+    gap = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)
+    out["d"] = np.bincount(np.clip(gap, 0, None).ravel(), weights=(da.sum(axis=(0, 1)) * (gap >= 0)).ravel(), minlength=2 * BLOCK).astype(np.float32)
+    rows = back.reshape(-1, of.shape[1])
+    out["e"] = np.stack([np.bincount(x.ravel(), slopes, SYMBOLS + 1) for slopes in of @ rows.T], axis=1).astype(np.float32)
+    led = e.take(x.ravel(), axis=0).T @ rows
+    return out | {"c": df.sum(axis=0), "q": led[:, _Q] / np.sqrt(np.float32(WIDTH)), "k": led[:, _K], "v": led[:, _V], "r": led[:, _R]}
 
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, words binary, ids binary, rare array<long>, times array<int>"
